@@ -1,0 +1 @@
+"""Incremental versions of the counting questions (Structured Streaming)."""
