@@ -29,21 +29,15 @@ def share_lift(
     rows = pair_counts if groups is None else keep_keys(pair_counts, groups, group, groups_bound)
     if groups is not None:
         group_tot = keep_keys(group_tot, groups, group, groups_bound)
-    share_in = F.col(measure).cast("double") / F.col("_group_total").cast("double")
-    share_all = F.col("_item_total").cast("double") / grand.cast("double")
-    return (
-        rows.join(group_tot, group)
-        .join(item_tot, item)
-        .select(
-            group,
-            item,
-            measure,
-            share_in.alias("share_in_group"),
-            share_all.alias("share_overall"),
-            (share_in / share_all).alias("lift"),
-        )
+    shares = rows.join(group_tot, group).join(item_tot, item).select(
+        group,
+        item,
+        measure,
+        (F.col(measure).cast("double") / F.col("_group_total").cast("double")).alias("share_in_group"),
+        (F.col("_item_total").cast("double") / grand.cast("double")).alias("share_overall"),
     )
-
+    # A second projection, so the scalar subquery is evaluated once per row.
+    return shares.withColumn("lift", F.col("share_in_group") / F.col("share_overall"))
 
 def spread(rows: DataFrame, item: str, group: str, name: str = "n_groups") -> DataFrame:
     """In how many distinct groups each item appears, most widespread first."""

@@ -42,3 +42,36 @@ def recode_sentinel(
     else:
         value = literal_like(df, col, replacement)
     return df.withColumn(col, F.when(F.col(col) == target, value).otherwise(F.col(col)))
+
+
+def mode_from_counts(
+    counts: DataFrame, col: str, count_col: str, exclude: Sequence[object] = ()
+) -> DataFrame:
+    """``mode_of`` computed from a per-value count table instead of the facts."""
+    kept = counts.filter(F.col(col).isNotNull())
+    for value in exclude:
+        kept = kept.filter(F.col(col) != literal_like(counts, col, value))
+    return kept.orderBy(F.col(count_col).desc(), F.col(col).asc()).limit(1).select(col)
+
+
+def recode_counts(
+    counts: DataFrame,
+    col: str,
+    count_cols: Sequence[str],
+    sentinel: object,
+    replacement: object = "mode",
+    mode_count_col: str | None = None,
+) -> DataFrame:
+    """Per-value counts *after* ``recode_sentinel``, from the counts before it.
+
+    Counting then re-keying equals re-keying then counting: the sentinel's
+    row is relabelled and merged into its replacement's.  The facts are
+    read once, by whatever produced ``counts``.
+    """
+    target = literal_like(counts, col, sentinel)
+    if isinstance(replacement, str) and replacement == "mode":
+        value = mode_from_counts(counts, col, mode_count_col or count_cols[0], [sentinel]).scalar()
+    else:
+        value = literal_like(counts, col, replacement)
+    rekeyed = counts.withColumn(col, F.when(F.col(col) == target, value).otherwise(F.col(col)))
+    return rekeyed.groupBy(col).agg(*[F.sum(c).alias(c) for c in count_cols])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import as_list, by_measure, count_of
+from tallyframe.operators.filters import literal_like
+from tallyframe.operators.joins import bounded
 
 TIES = ("dense", "rank", "row")
 
@@ -81,3 +83,60 @@ def counted_top_k_per_group(
     keys = as_list(group) + as_list(item)
     counts = df.groupBy(*keys).agg(count_of(count_col).alias(name))
     return top_k_per_group(counts, group, item, name, k, ties=ties, rank_col=rank_col)
+
+
+def top_groups(
+    pairs: DataFrame,
+    group: str,
+    measure: str,
+    k: int,
+    name: str,
+    sentinel: object = None,
+) -> DataFrame:
+    """Top-k ``group`` values by the summed ``measure`` of an aggregated table.
+
+    With ``sentinel``, the sentinel and NULL groups are left out first (as
+    ``WHERE group <> sentinel``).
+    """
+    totals = pairs.groupBy(group).agg(F.sum(measure).alias(name))
+    if sentinel is not None:
+        totals = totals.filter(F.col(group) != literal_like(totals, group, sentinel))
+    return top_k(totals, name, group, k)
+
+
+def within_top(
+    pairs: DataFrame, top: DataFrame, group: str, k: int, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of ``pairs`` whose ``group`` is in ``top`` (at most k rows, broadcast).
+
+    An inner join on ``top``'s unique keys, so it can carry ``keep`` columns
+    of ``top`` along.
+    """
+    return pairs.join(bounded(top.select(group, *keep), k), group)
+
+
+def rows_of_top_groups(
+    pairs: DataFrame,
+    group: str,
+    measure: str,
+    k: int,
+    total_col: str,
+    sentinel: object = None,
+) -> DataFrame:
+    """All rows of the k groups with the largest summed ``measure``.
+
+    Ties between group totals go to the smaller group key, as in
+    ``top_groups``.  One chain of windows over the aggregated table, so the
+    facts behind ``pairs`` are read once: the per-group total is a window
+    partitioned by group, then a global ``dense_rank`` over (total, group)
+    keeps k groups.  The optimizer puts a partial ``WindowGroupLimit``
+    before the single-partition exchange, so that last task receives at
+    most k groups per upstream partition, whatever the table's size.
+    """
+    src = pairs
+    if sentinel is not None:
+        src = src.filter(F.col(group) != literal_like(src, group, sentinel))
+    with_total = src.withColumn(total_col, F.sum(measure).over(Window.partitionBy(group)))
+    order = Window.orderBy(F.col(total_col).desc_nulls_last(), F.col(group).asc_nulls_first())
+    ranked = with_total.withColumn("_group_rank", F.dense_rank().over(order))
+    return ranked.filter(F.col("_group_rank") <= F.lit(k)).drop("_group_rank")

@@ -1,0 +1,39 @@
+"""Reading physical plans, for tests and reviews.
+
+``plan_text`` captures what ``DataFrame.explain`` prints; the predicates
+below look for the operators the library's plans are meant to use.
+"""
+
+from __future__ import annotations
+
+import contextlib
+import io
+import re
+
+from pyspark.sql import DataFrame
+
+PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
+
+
+def plan_text(df: DataFrame, mode: str = "formatted") -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()
+
+
+def has_python(df: DataFrame) -> bool:
+    text = plan_text(df)
+    return any(node in text for node in PYTHON_NODES)
+
+
+def pushed_filters(df: DataFrame) -> list[str]:
+    return re.findall(r"PushedFilters: \[(.*?)\]", plan_text(df))
+
+
+def read_schemas(df: DataFrame) -> list[str]:
+    return re.findall(r"ReadSchema: (struct<.*?>)", plan_text(df))
+
+
+def count_nodes(df: DataFrame, node: str) -> int:
+    return len(re.findall(rf"\b{re.escape(node)}\b", plan_text(df, "simple")))

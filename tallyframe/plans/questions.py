@@ -17,7 +17,7 @@ from tallyframe.functions.buckets import SEASONS, TIME_OF_DAY_BINS, TIME_OF_DAY_
 from tallyframe.functions.buckets import bucket_intervals, bucket_members
 from tallyframe.functions.calendar import calendar_parts
 from tallyframe.functions.clock import clock_parts
-from tallyframe.operators.counts import crosstab_counts, distinct_count, row_count, value_counts
+from tallyframe.operators.counts import count_of, distinct_count, row_count, value_counts
 from tallyframe.operators.filters import (
     drop_sentinel,
     in_year,
@@ -26,10 +26,17 @@ from tallyframe.operators.filters import (
     only_value,
 )
 from tallyframe.operators.fines import fine_totals, revenue
-from tallyframe.operators.joins import bounded, keep_keys
+from tallyframe.operators.joins import bounded
 from tallyframe.operators.lift import share_lift, spread
-from tallyframe.operators.recode import recode_sentinel
-from tallyframe.operators.topk import counted_top_k_per_group, top_k, top_k_per_group
+from tallyframe.operators.recode import recode_counts, recode_sentinel
+from tallyframe.operators.topk import (
+    counted_top_k_per_group,
+    rows_of_top_groups,
+    top_groups,
+    top_k,
+    top_k_per_group,
+)
+from tallyframe.sources.stage import cut_lineage
 
 STATE = "Registration_State"
 CODE = "Violation_Code"
@@ -72,14 +79,29 @@ def repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode")
     return recode_sentinel(tickets, STATE, sentinel, replacement)
 
 
+def repaired_state_counts(
+    tickets: DataFrame, sentinel: object, replacement: object = "mode"
+) -> DataFrame:
+    """Per-state ``COUNT(state)`` after the repair, from one pass over the facts.
+
+    The per-state counts are checkpointed; the mode and the re-keyed counts
+    are computed from them.
+    """
+    counts = cut_lineage(
+        tickets.groupBy(STATE).agg(F.count(F.col(STATE)).alias("Num_Of_Entries"))
+    )
+    return recode_counts(counts, STATE, ["Num_Of_Entries"], sentinel, replacement)
+
+
 def distinct_states_repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode") -> DataFrame:
     """Q06: distinct states after the repair."""
-    return distinct_states(repaired(tickets, sentinel, replacement))
+    return distinct_states(repaired_state_counts(tickets, sentinel, replacement))
 
 
 def state_counts_repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode") -> DataFrame:
     """Q07: tickets per state after the repair."""
-    return state_counts(repaired(tickets, sentinel, replacement))
+    out = repaired_state_counts(tickets, sentinel, replacement)
+    return out.orderBy(F.col("Num_Of_Entries").desc(), F.col(STATE).asc_nulls_first())
 
 
 # -- frequencies and top-k ------------------------------------------------
@@ -127,23 +149,30 @@ def precinct_code_mix(tickets: DataFrame, precinct: object, k: int = 5) -> DataF
     return top_k(counts, "Frequency_of_Tickets", [CODE, ISSUER], k)
 
 
+def precinct_code_pairs(tickets: DataFrame) -> DataFrame:
+    """Tickets per (issuer precinct, code)."""
+    return tickets.groupBy(ISSUER, CODE).agg(count_of().alias("Frequency_of_Tickets"))
+
+
 def top_precincts_code_mix(
     tickets: DataFrame, n_precincts: int = 3, k: int = 5, sentinel: object = 0
 ) -> DataFrame:
     """Q14: top-k codes in each of the top issuer precincts, stacked.
 
-    The top precincts (at most ``n_precincts`` rows, so broadcast) restrict
-    the facts by a semi join before anything is counted.  Each row carries
-    its precinct's total, ``Precinct_Issuers``; sorting by it gives the
-    reference's stacking order (busiest precinct first).
+    One pass over the facts: the (precinct, code) counts are ranked twice
+    by windows, first precincts by their summed counts (equal to
+    ``COUNT(Issuer_Precinct)`` of Q12), then codes within each kept
+    precinct.  ``Precinct_Issuers`` is the precinct's total; sorting by it
+    gives the reference's stacking order (busiest precinct first).
     """
-    top = top_issuer_precincts(tickets, n_precincts, sentinel)
-    facts = keep_keys(tickets, top, ISSUER, n_precincts)
-    mix = counted_top_k_per_group(
-        facts, ISSUER, CODE, k, name="Frequency_of_Tickets", ties="row"
+    pairs = precinct_code_pairs(tickets)
+    mix = rows_of_top_groups(
+        pairs, ISSUER, "Frequency_of_Tickets", n_precincts, "Precinct_Issuers", sentinel
     )
-    out = mix.join(bounded(top, n_precincts), ISSUER)
-    return out.select(CODE, "Frequency_of_Tickets", ISSUER, "Precinct_Issuers").orderBy(
+    ranked = top_k_per_group(
+        mix, ISSUER, CODE, "Frequency_of_Tickets", k, ties="row", order=False
+    )
+    return ranked.select(CODE, "Frequency_of_Tickets", ISSUER, "Precinct_Issuers").orderBy(
         F.col("Precinct_Issuers").desc(),
         F.col(ISSUER).asc(),
         F.col("Frequency_of_Tickets").desc(),
@@ -179,10 +208,16 @@ def code_frequency(tickets: DataFrame, name: str = "Number_of_tickets") -> DataF
 
 
 def top_codes_by_bin(binned: DataFrame, k: int = 3) -> DataFrame:
-    """Q19: counts per (code, time bin) for the k most frequent codes."""
-    counts = value_counts(binned, CODE, "n", order=False)
-    top = top_k(counts, "n", CODE, k)
-    return crosstab_counts(binned, CODE, BIN, "Number_of_tickets", only=top, only_rows=k)
+    """Q19: counts per (code, time bin) for the k most frequent codes.
+
+    One pass over the facts: (code, bin) counts, then the bins of the k
+    codes with the largest summed counts (``rows_of_top_groups``).
+    """
+    pairs = binned.groupBy(CODE, BIN).agg(count_of().alias("Number_of_tickets"))
+    out = rows_of_top_groups(pairs, CODE, "Number_of_tickets", k, "_code_total").drop("_code_total")
+    return out.orderBy(
+        F.col(CODE).asc_nulls_first(), F.col(BIN).asc_nulls_first(), F.col("Number_of_tickets").desc()
+    )
 
 
 def bin_top_codes(binned: DataFrame, k: int = 3) -> DataFrame:
@@ -274,7 +309,13 @@ def codes_across_precincts(
 
 
 def precinct_code_lift(tickets: DataFrame, n_precincts: int = 3, sentinel: object = 0) -> DataFrame:
-    """E4: share of each code in each top precinct over its share overall."""
-    pairs = value_counts(tickets, [ISSUER, CODE], "Frequency_of_Tickets", order=False)
-    top = top_issuer_precincts(tickets, n_precincts, sentinel)
-    return share_lift(pairs, ISSUER, CODE, "Frequency_of_Tickets", groups=top, groups_bound=n_precincts)
+    """E4: share of each code in each top precinct over its share overall.
+
+    Group, item and grand totals are all read off the (precinct, code)
+    counts, which are checkpointed so the facts are read once.
+    """
+    pairs = cut_lineage(precinct_code_pairs(tickets))
+    top = top_groups(pairs, ISSUER, "Frequency_of_Tickets", n_precincts, "_precinct_total", sentinel)
+    return share_lift(
+        pairs, ISSUER, CODE, "Frequency_of_Tickets", groups=top, groups_bound=n_precincts
+    )

@@ -48,11 +48,26 @@ def local_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if checkpoint_dir(spark) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-ckpt-", dir="/tmp"))
+    ensure_local_checkpoint_dir(spark)
     return spark
 
 
+def ensure_local_checkpoint_dir(spark: SparkSession) -> None:
+    """Give a *local-mode* session a checkpoint folder when it has none.
+
+    On a cluster the folder must be shared by all executors, so nothing is
+    chosen there: ``spark.checkpoint.dir`` is the cluster's to set.
+    """
+    if checkpoint_dir(spark) is not None:
+        return
+    try:
+        master = spark.sparkContext.master
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
+        return
+    if master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-ckpt-", dir="/tmp"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir``, if any."""
     try:

@@ -7,11 +7,12 @@ from tallyframe.sources.records import (
     read_records,
     register_stage,
 )
-from tallyframe.sources.stage import materialize
+from tallyframe.sources.stage import cut_lineage, materialize
 
 __all__ = [
     "TICKET_COLUMNS",
     "clean_name",
+    "cut_lineage",
     "materialize",
     "normalize_columns",
     "read_records",

@@ -1,5 +1,12 @@
 """Materialising a stage in the shared checkpoint folder.
 
+``cut_lineage`` is for small aggregates that several branches of one
+answer read (pair counts, per-key counts): a reliable ``checkpoint`` in
+``spark.checkpoint.dir`` runs the one pass over the facts, and every branch
+then reads the checkpointed rows.  Without it Catalyst pushes each branch's
+filters below the aggregate, the branches stop being identical, exchange
+reuse does not apply and the facts are scanned once per branch.
+
 Many questions over one slice would otherwise each re-read and re-parse the
 source.  ``materialize`` writes the slice once as Parquet under the folder
 named by ``spark.checkpoint.dir`` and returns a DataFrame that reads it back:
@@ -38,3 +45,14 @@ def materialize(
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Eagerly checkpoint ``df`` into the shared checkpoint folder.
+
+    With no folder configured the plan is returned unchanged: still
+    correct, but each branch that reads it recomputes it.
+    """
+    if not checkpoint_dir(df.sparkSession):
+        return df
+    return df.checkpoint(eager=True)
