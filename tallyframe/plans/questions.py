@@ -146,7 +146,8 @@ def precinct_code_mix(tickets: DataFrame, precinct: object, k: int = 5) -> DataF
     """Q13: the k most frequent codes of one issuer precinct."""
     one = only_value(tickets, ISSUER, precinct)
     counts = one.groupBy(CODE, ISSUER).agg(F.count(F.lit(1)).alias("Frequency_of_Tickets"))
-    return top_k(counts, "Frequency_of_Tickets", [CODE, ISSUER], k)
+    top = top_k(counts, "Frequency_of_Tickets", [CODE, ISSUER], k)
+    return top.select(CODE, "Frequency_of_Tickets", ISSUER)
 
 
 def precinct_code_pairs(tickets: DataFrame) -> DataFrame:

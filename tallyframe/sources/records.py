@@ -52,7 +52,7 @@ def typed_column(name: str, dtype: T.DataType, date_format: str | None) -> F.Col
     if isinstance(dtype, T.StringType):
         return F.col(name)
     if isinstance(dtype, T.DateType) and date_format:
-        return F.try_to_date(F.col(name), F.lit(date_format))
+        return F.try_to_date(F.col(name), date_format)
     return F.col(name).try_cast(dtype)
 
 
