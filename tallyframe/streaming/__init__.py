@@ -1 +1,10 @@
 """Incremental versions of the counting questions (Structured Streaming)."""
+
+from tallyframe.streaming.counts import (
+    running_counts,
+    season_stream_counts,
+    start_counts,
+    ticket_stream,
+)
+
+__all__ = ["running_counts", "season_stream_counts", "start_counts", "ticket_stream"]

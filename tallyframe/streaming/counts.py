@@ -1,0 +1,95 @@
+"""Frequencies kept up to date as new ticket files land in a folder.
+
+The batch questions count a fixed file.  When tickets arrive as a stream
+of files, the same per-key counts run under Structured Streaming: the file
+source reads each new file once, the streaming aggregate keeps one state
+row per key (partial aggregation per micro-batch, then a merge into the
+state store), and the query's checkpoint under ``spark.checkpoint.dir``
+lets it resume after a failure without double counting.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyframe.operators.counts import as_list, count_of
+from tallyframe.sources.records import TICKET_COLUMNS, clean_name, typed_column
+from tallyframe.sources.stage import stage_path
+
+
+def ticket_stream(
+    spark: SparkSession,
+    folder: str,
+    header: Sequence[str],
+    columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
+    date_format: str | None = None,
+    max_files_per_trigger: int | None = None,
+) -> DataFrame:
+    """A streaming DataFrame of typed ticket columns from CSV files in ``folder``.
+
+    A stream needs its schema up front: ``header`` lists the file's header
+    names in order; they are cleaned as in ``read_records``.
+    """
+    names = [clean_name(h) for h in header]
+    if len(set(names)) != len(names):
+        raise ValueError("header names collide after cleaning")
+    raw_schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    reader = spark.readStream.schema(raw_schema).option("header", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    raw = reader.csv(folder)
+    missing = [c for c in columns if c not in names]
+    if missing:
+        raise ValueError(f"columns not in the header: {missing}")
+    return raw.select(*[typed_column(c, t, date_format).alias(c) for c, t in columns.items()])
+
+
+def running_counts(
+    stream: DataFrame,
+    keys: str | Sequence[str],
+    name: str = "n",
+    count_col: str | None = None,
+) -> DataFrame:
+    """Streaming per-key counts (same semantics as ``value_counts``)."""
+    return stream.groupBy(*as_list(keys)).agg(count_of(count_col).alias(name))
+
+
+def start_counts(
+    counts: DataFrame,
+    query_name: str,
+    sink: str = "memory",
+    path: str | None = None,
+    checkpoint_location: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Start the counting query.
+
+    ``memory`` (a driver-side table, for small key sets and tests) and
+    ``console`` sinks get ``complete`` output; file sinks cannot take
+    updates, so for them use ``foreachBatch`` in the caller.  The query
+    checkpoint goes under the shared checkpoint folder unless given.
+    """
+    location = checkpoint_location or stage_path(counts, f"stream-{query_name}")
+    writer = (
+        counts.writeStream.queryName(query_name)
+        .outputMode("complete")
+        .format(sink)
+        .option("checkpointLocation", location)
+    )
+    if path:
+        writer = writer.option("path", path)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
+
+def season_stream_counts(stream: DataFrame) -> DataFrame:
+    """Streaming tickets per season (Q22 as a running count)."""
+    from tallyframe.functions.buckets import SEASONS, bucket_members
+
+    labelled = stream.select(bucket_members(F.month("Issue_Date"), SEASONS).alias("Seasonality"))
+    return running_counts(labelled, "Seasonality", "ticket_count")

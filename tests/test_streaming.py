@@ -1,0 +1,43 @@
+"""Running counts over a folder of ticket files equal the batch counts."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from tallyframe.operators import value_counts
+from tallyframe.sources import read_records
+from tallyframe.streaming import running_counts, season_stream_counts, start_counts, ticket_stream
+
+HEADER = ["Summons Number", "Registration State", "Issue Date", "Violation Code",
+          "Vehicle Body Type", "Vehicle Make", "Violation Precinct", "Issuer Precinct",
+          "Violation Time"]
+BATCHES = [
+    ["1,NY,2017-01-15,21,SUBN,FORD,19,19,0143A", "2,NJ,2017-03-02,36,VAN,FORD,14,14,0811A"],
+    ["3,NY,2017-06-09,21,SUBN,HONDA,19,19,1230A", "4,,2017-09-20,38,VAN,FORD,1,1,0400P",
+     "5,NY,2017-11-20,21,SUBN,FORD,19,19,0400P"],
+]
+
+
+def test_stream_counts_match_batch(spark):
+    folder = tempfile.mkdtemp(prefix="tallyframe-stream-", dir="/tmp")
+    for i, lines in enumerate(BATCHES):
+        with open(os.path.join(folder, f"part-{i}.csv"), "w") as fh:
+            fh.write(",".join(HEADER) + "\n" + "\n".join(lines) + "\n")
+    stream = ticket_stream(spark, folder, HEADER, max_files_per_trigger=1)
+    q = start_counts(
+        running_counts(stream, "Registration_State", "Num_Of_Entries", count_col="Registration_State"),
+        "tallyframe_state_counts",
+    )
+    q.awaitTermination(120)
+    got = {r.Registration_State: r.Num_Of_Entries
+           for r in spark.sql("SELECT * FROM tallyframe_state_counts").collect()}
+    batch = read_records(spark, folder)
+    want = {r.Registration_State: r.Num_Of_Entries for r in value_counts(
+        batch, "Registration_State", "Num_Of_Entries", count_col="Registration_State").collect()}
+    assert got == want == {"NY": 3, "NJ": 1, None: 0}
+
+    s = start_counts(season_stream_counts(ticket_stream(spark, folder, HEADER)), "tallyframe_seasons")
+    s.awaitTermination(120)
+    seasons = {r.Seasonality: r.ticket_count for r in spark.sql("SELECT * FROM tallyframe_seasons").collect()}
+    assert seasons == {"Winter": 2, "Spring": 1, "Summer": 1, "Fall": 1}
