@@ -4,6 +4,7 @@ from tallyframe.operators.counts import (
     count_of,
     crosstab_counts,
     distinct_count,
+    group_totals,
     row_count,
     value_counts,
 )
@@ -26,10 +27,23 @@ from tallyframe.operators.fines import (
 )
 from tallyframe.operators.joins import bounded, keep_keys
 from tallyframe.operators.lift import share_lift, spread
-from tallyframe.operators.recode import mode_of, recode_sentinel
-from tallyframe.operators.topk import counted_top_k_per_group, top_k, top_k_per_group
+from tallyframe.operators.recode import mode_from_counts, mode_of, recode_counts, recode_sentinel
+from tallyframe.operators.topk import (
+    counted_top_k_per_group,
+    rows_of_top_groups,
+    top_groups,
+    top_k,
+    top_k_per_group,
+    within_top,
+)
 
 __all__ = [
+    "group_totals",
+    "mode_from_counts",
+    "recode_counts",
+    "rows_of_top_groups",
+    "top_groups",
+    "within_top",
     "RATE_A",
     "RATE_B",
     "bounded",

@@ -44,8 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def clock_text(ts: str) -> F.Column:
-    """``hhmm`` on a 12-hour clock plus ``A``/``P``, e.g. ``0143A``."""
-    return F.concat(F.date_format(F.col(ts), "hhmm"), F.substring(F.date_format(F.col(ts), "a"), 1, 1))
+    """``hhmm`` on a 12-hour clock plus ``A``/``P``, e.g. ``0143A``.
+
+    Built from ``hour``/``minute`` of the wall-clock value, so it does not
+    depend on the session time zone (``date_format`` would go through a
+    zoned timestamp).
+    """
+    h, m = F.hour(F.col(ts)), F.minute(F.col(ts))
+    hour12 = (h + F.lit(11)) % F.lit(12) + F.lit(1)
+    return F.concat(
+        F.lpad(hour12.cast("string"), 2, "0"),
+        F.lpad(m.cast("string"), 2, "0"),
+        F.when(h < F.lit(12), F.lit("A")).otherwise(F.lit("P")),
+    )
 
 
 def event_tickets(spark: SparkSession, sf_dir: str, year: int | None = EVENTS_YEAR) -> DataFrame:
