@@ -61,12 +61,15 @@ def recode_counts(
     sentinel: object,
     replacement: object = "mode",
     mode_count_col: str | None = None,
+    counts_of_col: bool = True,
 ) -> DataFrame:
     """Per-value counts *after* ``recode_sentinel``, from the counts before it.
 
     Counting then re-keying equals re-keying then counting: the sentinel's
     row is relabelled and merged into its replacement's.  The facts are
-    read once, by whatever produced ``counts``.
+    read once, by whatever produced ``counts``.  ``counts_of_col`` says the
+    counts are ``COUNT(col)``: a row re-keyed to NULL (no mode exists) then
+    counts 0, as the NULL group does.  Use ``False`` for ``COUNT(*)``.
     """
     target = literal_like(counts, col, sentinel)
     if isinstance(replacement, str) and replacement == "mode":
@@ -74,4 +77,8 @@ def recode_counts(
     else:
         value = literal_like(counts, col, replacement)
     rekeyed = counts.withColumn(col, F.when(F.col(col) == target, value).otherwise(F.col(col)))
+    if counts_of_col:
+        rekeyed = rekeyed.withColumns(
+            {c: F.when(F.col(col).isNull(), F.lit(0)).otherwise(F.col(c)) for c in count_cols}
+        )
     return rekeyed.groupBy(col).agg(*[F.sum(c).alias(c) for c in count_cols])

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tallyframe.operators.counts import value_counts
 from tallyframe.operators.filters import in_year
 from tallyframe.operators.fines import rate_schedule
 from tallyframe.plans import questions as q
@@ -91,7 +90,7 @@ def ticket_report(
         "q24_top_codes_overall": q.top_code_counts(repaired, 3),
         "q26_zone_a_fines": q.zone_fine_totals(repaired, schedule, bound, "a", 3),
         "q27_zone_b_fines": q.zone_fine_totals(repaired, schedule, bound, "b", 3),
-        "q28_code_frequency": value_counts(repaired, "Violation_Code", "Frequency_of_Tickets"),
+        "q28_code_frequency_top3": q.top_code_counts(repaired, 3),
         "q29_top_code_revenue": q.top_code_revenue(repaired, schedule, bound, 3),
         "e1_bin_top_codes": q.bin_top_codes(binned, 3),
         "e2_top_codes_peak_bin": q.top_codes_peak_bin(binned, 3),

@@ -49,3 +49,43 @@ def test_dense_top_k_per_group_matches_brute_force(spark, data, parts):
     counts = value_counts(df, ["g", "i"], "n", order=False)
     got = {tuple(r) for r in top_k_per_group(counts, "g", "i", "n", 2).collect()}
     assert got == _brute_dense(data, 2)
+
+
+def _brute_top_groups(data, k):
+    totals = Counter(g for g, _i in data)
+    keep = [g for g, _n in sorted(totals.items(), key=lambda kv: (-kv[1], kv[0]))[:k]]
+    pairs = Counter(data)
+    return {(g, i, n, totals[g]) for (g, i), n in pairs.items() if g in keep}
+
+
+@SETTINGS
+@given(data=ROWS, parts=st.integers(min_value=1, max_value=7), k=st.integers(min_value=1, max_value=3))
+def test_rows_of_top_groups_matches_brute_force(spark, data, parts, k):
+    from tallyframe.operators import rows_of_top_groups
+
+    df = spark.createDataFrame(data, "g string, i int").repartition(parts)
+    counts = value_counts(df, ["g", "i"], "n", order=False)
+    got = {tuple(r) for r in rows_of_top_groups(counts, "g", "n", k, "t").collect()}
+    assert got == _brute_top_groups(data, k)
+
+
+STATE_ROWS = st.lists(st.sampled_from(["99", "NY", "NJ", "PA", None]), min_size=1, max_size=40)
+
+
+@SETTINGS
+@given(data=STATE_ROWS)
+def test_recode_counts_equals_recoding_rows(spark, data):
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import recode_counts, recode_sentinel
+
+    df = spark.createDataFrame([(s,) for s in data], "s string")
+    direct = {r.s: r.n for r in recode_sentinel(df, "s", "99").groupBy("s").agg(F.count("s").alias("n")).collect()}
+    counts = df.groupBy("s").agg(F.count("s").alias("n"))
+    assert {r.s: r.n for r in recode_counts(counts, "s", ["n"], "99").collect()} == direct
+    valid = Counter(s for s in data if s not in (None, "99"))
+    if valid:
+        mode = sorted(valid.items(), key=lambda kv: (-kv[1], kv[0]))[0][0]
+        want = dict(valid)
+        want[mode] += data.count("99")
+        assert {s: n for s, n in direct.items() if s is not None} == want
