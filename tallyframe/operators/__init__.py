@@ -4,7 +4,6 @@ from tallyframe.operators.counts import (
     count_of,
     crosstab_counts,
     distinct_count,
-    group_totals,
     row_count,
     value_counts,
 )
@@ -34,16 +33,13 @@ from tallyframe.operators.topk import (
     top_groups,
     top_k,
     top_k_per_group,
-    within_top,
 )
 
 __all__ = [
-    "group_totals",
     "mode_from_counts",
     "recode_counts",
     "rows_of_top_groups",
     "top_groups",
-    "within_top",
     "RATE_A",
     "RATE_B",
     "bounded",

@@ -80,7 +80,3 @@ def crosstab_counts(
         F.col(row_key).asc_nulls_first(), F.col(col_key).asc_nulls_first(), F.col(name).desc()
     )
 
-
-def group_totals(pairs: DataFrame, group: str | Sequence[str], measure: str, name: str) -> DataFrame:
-    """Sum a count column of an aggregated table per ``group``."""
-    return pairs.groupBy(*as_list(group)).agg(F.sum(measure).alias(name))

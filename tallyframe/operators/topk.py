@@ -104,17 +104,6 @@ def top_groups(
     return top_k(totals, name, group, k)
 
 
-def within_top(
-    pairs: DataFrame, top: DataFrame, group: str, k: int, keep: Sequence[str] = ()
-) -> DataFrame:
-    """Rows of ``pairs`` whose ``group`` is in ``top`` (at most k rows, broadcast).
-
-    An inner join on ``top``'s unique keys, so it can carry ``keep`` columns
-    of ``top`` along.
-    """
-    return pairs.join(bounded(top.select(group, *keep), k), group)
-
-
 def rows_of_top_groups(
     pairs: DataFrame,
     group: str,

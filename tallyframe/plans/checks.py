@@ -34,6 +34,3 @@ def pushed_filters(df: DataFrame) -> list[str]:
 def read_schemas(df: DataFrame) -> list[str]:
     return re.findall(r"ReadSchema: (struct<.*?>)", plan_text(df))
 
-
-def count_nodes(df: DataFrame, node: str) -> int:
-    return len(re.findall(rf"\b{re.escape(node)}\b", plan_text(df, "simple")))

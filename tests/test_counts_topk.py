@@ -98,3 +98,11 @@ def test_crosstab_counts_only(spark):
     only = spark.createDataFrame([(1,), (3,)], "c int")
     got = [tuple(r) for r in crosstab_counts(facts, "c", "b", "n", only=only, only_rows=2).collect()]
     assert got == [(1, "x", 2), (1, "y", 1), (3, "z", 1)]
+
+
+def test_null_profile(states):
+    from tallyframe.operators import not_null_rows, null_rows, profile_nulls
+
+    assert null_rows(states, "s").count() == 3
+    assert not_null_rows(states, "s").count() == 9
+    assert profile_nulls(states, ["s"]).first().n_null_s == 3
