@@ -1,10 +1,19 @@
 """Incremental versions of the counting questions (Structured Streaming)."""
 
 from tallyframe.streaming.counts import (
+    daily_counts,
     running_counts,
     season_stream_counts,
     start_counts,
+    start_daily,
     ticket_stream,
 )
 
-__all__ = ["running_counts", "season_stream_counts", "start_counts", "ticket_stream"]
+__all__ = [
+    "daily_counts",
+    "running_counts",
+    "season_stream_counts",
+    "start_counts",
+    "start_daily",
+    "ticket_stream",
+]

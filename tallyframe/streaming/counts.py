@@ -2,10 +2,20 @@
 
 The batch questions count a fixed file.  When tickets arrive as a stream
 of files, the same per-key counts run under Structured Streaming: the file
-source reads each new file once, the streaming aggregate keeps one state
-row per key (partial aggregation per micro-batch, then a merge into the
-state store), and the query's checkpoint under ``spark.checkpoint.dir``
-lets it resume after a failure without double counting.
+source reads each new file once, the streaming aggregate keeps state per
+key (partial aggregation per micro-batch, then a merge into the state
+store), and the query's checkpoint under ``spark.checkpoint.dir`` lets it
+resume after a failure without double counting.
+
+Two outputs:
+
+* ``daily_counts`` + ``start_daily``: counts per (issue day, key) with an
+  event-time watermark, appended to a Parquet table by the file sink once
+  a day is final.  State is bounded by the watermark; nothing passes
+  through the driver.  Totals over any period are a batch sum of it.
+* ``running_counts`` + ``start_counts``: whole-history counts in
+  ``complete`` mode into the driver-side ``memory`` sink, for small key
+  sets and tests.
 """
 
 from __future__ import annotations
@@ -62,27 +72,57 @@ def running_counts(
 def start_counts(
     counts: DataFrame,
     query_name: str,
-    sink: str = "memory",
-    path: str | None = None,
     checkpoint_location: str | None = None,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Start the counting query.
+    """Start whole-history counts into the ``memory`` table ``query_name``."""
+    location = checkpoint_location or stage_path(counts, f"stream-{query_name}")
+    writer = (
+        counts.writeStream.queryName(query_name)
+        .outputMode("complete")
+        .format("memory")
+        .option("checkpointLocation", location)
+    )
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()
+
 
-    ``memory`` (a driver-side table, for small key sets and tests) and
-    ``console`` sinks get ``complete`` output; file sinks cannot take
-    updates, so for them use ``foreachBatch`` in the caller.  The query
-    checkpoint goes under the shared checkpoint folder unless given.
+def daily_counts(
+    stream: DataFrame,
+    keys: str | Sequence[str],
+    name: str = "n",
+    date_col: str = "Issue_Date",
+    lateness: str = "7 days",
+) -> DataFrame:
+    """Streaming counts per (issue day, key), final once the watermark passes.
+
+    Tickets more than ``lateness`` behind the latest issue date seen are
+    late and are not counted; the state kept is at most that many days.
     """
+    event_time = F.col(date_col).cast("timestamp")
+    timed = stream.withColumn("_event_time", event_time).withWatermark("_event_time", lateness)
+    counted = timed.groupBy(F.window("_event_time", "1 day"), *as_list(keys)).agg(
+        F.count(F.lit(1)).alias(name)
+    )
+    return counted.select(F.col("window.start").cast("date").alias(date_col), *as_list(keys), name)
+
+
+def start_daily(
+    counts: DataFrame,
+    path: str,
+    query_name: str,
+    checkpoint_location: str | None = None,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Append final daily counts to the Parquet table at ``path``."""
     location = checkpoint_location or stage_path(counts, f"stream-{query_name}")
     writer = (
         counts.writeStream.queryName(query_name)
-        .outputMode("complete")
-        .format(sink)
+        .outputMode("append")
+        .format("parquet")
+        .option("path", path)
         .option("checkpointLocation", location)
     )
-    if path:
-        writer = writer.option("path", path)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 

@@ -7,7 +7,14 @@ import tempfile
 
 from tallyframe.operators import value_counts
 from tallyframe.sources import read_records
-from tallyframe.streaming import running_counts, season_stream_counts, start_counts, ticket_stream
+from tallyframe.streaming import (
+    daily_counts,
+    running_counts,
+    season_stream_counts,
+    start_counts,
+    start_daily,
+    ticket_stream,
+)
 
 HEADER = ["Summons Number", "Registration State", "Issue Date", "Violation Code",
           "Vehicle Body Type", "Vehicle Make", "Violation Precinct", "Issuer Precinct",
@@ -41,3 +48,25 @@ def test_stream_counts_match_batch(spark):
     s.awaitTermination(120)
     seasons = {r.Seasonality: r.ticket_count for r in spark.sql("SELECT * FROM tallyframe_seasons").collect()}
     assert seasons == {"Winter": 2, "Spring": 1, "Summer": 1, "Fall": 1}
+
+
+def test_daily_counts_append_final_days_to_parquet(spark):
+    folder = tempfile.mkdtemp(prefix="tallyframe-stream-", dir="/tmp")
+    lines = [
+        "1,NY,2017-03-01,21,SUBN,FORD,19,19,0143A",
+        "2,NJ,2017-03-01,21,VAN,FORD,14,14,0811A",
+        "3,NY,2017-03-01,36,SUBN,HONDA,19,19,1230A",
+        "4,NY,2017-03-02,21,VAN,FORD,1,1,0400P",
+        "5,NY,2017-03-20,21,SUBN,FORD,19,19,0400P",
+    ]
+    with open(os.path.join(folder, "part-0.csv"), "w") as fh:
+        fh.write(",".join(HEADER) + "\n" + "\n".join(lines[:3]) + "\n")
+    with open(os.path.join(folder, "part-1.csv"), "w") as fh:
+        fh.write(",".join(HEADER) + "\n" + "\n".join(lines[3:]) + "\n")
+    out = os.path.join(tempfile.mkdtemp(prefix="tallyframe-daily-", dir="/tmp"), "daily")
+    stream = ticket_stream(spark, folder, HEADER, max_files_per_trigger=1)
+    q = start_daily(daily_counts(stream, "Violation_Code", "n", lateness="2 days"), out, "tallyframe_daily")
+    q.awaitTermination(120)
+    got = sorted((str(r.Issue_Date), r.Violation_Code, r.n) for r in spark.read.parquet(out).collect())
+    # March 20 is within the lateness of the latest date seen, so not final yet.
+    assert got == [("2017-03-01", 21, 2), ("2017-03-01", 36, 1), ("2017-03-02", 21, 1)]
