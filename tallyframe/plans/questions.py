@@ -155,6 +155,12 @@ def precinct_code_pairs(tickets: DataFrame) -> DataFrame:
     return tickets.groupBy(ISSUER, CODE).agg(count_of().alias("Frequency_of_Tickets"))
 
 
+def busiest_precinct_code_mix(tickets: DataFrame, k: int = 5, sentinel: object = 0) -> DataFrame:
+    """Q13 with the precinct computed: the k most frequent codes of the
+    busiest issuer precinct (the reference typed it in after reading Q12)."""
+    return top_precincts_code_mix(tickets, 1, k, sentinel).select(CODE, "Frequency_of_Tickets", ISSUER)
+
+
 def top_precincts_code_mix(
     tickets: DataFrame, n_precincts: int = 3, k: int = 5, sentinel: object = 0
 ) -> DataFrame:

@@ -59,7 +59,9 @@ QUERIES: dict[str, Query] = {
     "q12_top_issuer_precincts": lambda s, d: q.top_issuer_precincts(
         _tk(s, d), 5, td.PRECINCT_SENTINEL
     ),
-    "q13_precinct_code_mix": lambda s, d: q.precinct_code_mix(_tk(s, d), td.ONE_PRECINCT, 5),
+    "q13_precinct_code_mix": lambda s, d: q.busiest_precinct_code_mix(
+        _tk(s, d), 5, td.PRECINCT_SENTINEL
+    ),
     "q14_top_precincts_code_mix": lambda s, d: q.top_precincts_code_mix(
         _tk(s, d), 3, 5, td.PRECINCT_SENTINEL
     ),

@@ -58,9 +58,7 @@ def ticket_report(
     seasoned = q.seasons(repaired)
     schedule, bound = rate_schedule(t.sparkSession)
     if precinct is None:
-        one = q.top_precincts_code_mix(repaired, 1, 5, precinct_sentinel).select(
-            "Violation_Code", "Frequency_of_Tickets", "Issuer_Precinct"
-        )
+        one = q.busiest_precinct_code_mix(repaired, 5, precinct_sentinel)
     else:
         one = q.precinct_code_mix(repaired, precinct, 5)
     return {

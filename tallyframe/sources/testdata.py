@@ -19,7 +19,6 @@ ORDERS_YEAR = 1997                 # one of the order years 1995-2001
 STATE_SENTINEL = "4-NOT SPECIFIED"  # plays the state "99"
 PRECINCT_SENTINEL = 0              # erroneous precinct, as in the reference
 MISSING_MARK = "error"             # events of this type lack body type and time
-ONE_PRECINCT = 149                 # plays the single precinct typed in (19)
 
 
 # Declared schemas of the fixture tables that stand in for tickets.  With a
