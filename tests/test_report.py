@@ -48,3 +48,15 @@ def test_report_on_csv(spark):
     assert mix == [(21, 3, 19)]
     for name, df in out.items():
         df.limit(1).collect()  # every answer plans and runs
+
+
+def test_command_line_writes_answers(spark, tmp_path):
+    from tallyframe.__main__ import main
+
+    path = tmp_path / "t.csv"
+    path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
+    out = tmp_path / "out"
+    assert main(["--csv", str(path), "--out", str(out), "--only", "q08_top_codes", "q22_season_counts"]) == 0
+    got = [tuple(r) for r in spark.read.parquet(str(out / "q08_top_codes")).orderBy("Violation_Code").collect()]
+    assert got == [(21, 3), (36, 2), (38, 2)]
+    assert spark.read.parquet(str(out / "q22_season_counts")).count() == 4
