@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import as_list, by_measure, count_of
 from tallyframe.operators.filters import literal_like
-from tallyframe.operators.joins import bounded
 
 TIES = ("dense", "rank", "row")
 

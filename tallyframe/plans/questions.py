@@ -26,7 +26,6 @@ from tallyframe.operators.filters import (
     only_value,
 )
 from tallyframe.operators.fines import fine_totals, revenue
-from tallyframe.operators.joins import bounded
 from tallyframe.operators.lift import share_lift, spread
 from tallyframe.operators.recode import recode_counts, recode_sentinel
 from tallyframe.operators.topk import (
