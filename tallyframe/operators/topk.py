@@ -120,6 +120,12 @@ def rows_of_top_groups(
     keeps k groups.  The optimizer puts a partial ``WindowGroupLimit``
     before the single-partition exchange, so that last task receives at
     most k groups per upstream partition, whatever the table's size.
+
+    Precondition: the per-group total gathers one group's *pairs* (not its
+    facts) in one task, so the items per group must come from a bounded
+    domain (violation codes, time bins), as in every question here.  A
+    hot group with a third of the facts still has at most that many pairs.
+    For unbounded items use ``top_groups`` and join its k keys back.
     """
     src = pairs
     if sentinel is not None:
