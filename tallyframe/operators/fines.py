@@ -54,10 +54,25 @@ def schedule_rows(
     return [(first_code + i, a, b) for i, (a, b) in enumerate(zip(rate_a, rate_b))]
 
 
+def _sql_int(value: int | None) -> str:
+    return "NULL" if value is None else str(int(value))
+
+
 def rate_schedule(spark: SparkSession, rows=None) -> tuple[DataFrame, int]:
-    """The schedule as a DataFrame, with its row count (the broadcast bound)."""
+    """The schedule as a DataFrame, with its row count (the broadcast bound).
+
+    Built as an inline ``VALUES`` table: a local relation whose exact size
+    the planner knows, broadcast without running a job to gather it.
+    """
     data = schedule_rows() if rows is None else list(rows)
-    return spark.createDataFrame(data, SCHEDULE_SCHEMA), len(data)
+    if not data:
+        return spark.createDataFrame([], SCHEDULE_SCHEMA), 0
+    values = ", ".join(f"({_sql_int(c)}, {_sql_int(a)}, {_sql_int(b)})" for c, a, b in data)
+    cols = ", ".join(
+        f"CAST({src} AS {field.dataType.simpleString().upper()}) AS {field.name}"
+        for src, field in zip(("c", "a", "b"), SCHEDULE_SCHEMA.fields)
+    )
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS schedule(c, a, b)"), len(data)
 
 
 def schedule_means(schedule: DataFrame) -> DataFrame:
