@@ -89,3 +89,30 @@ def test_recode_counts_equals_recoding_rows(spark, data):
         want = dict(valid)
         want[mode] += data.count("99")
         assert {s: n for s, n in direct.items() if s is not None} == want
+
+
+CODES = st.lists(st.integers(min_value=0, max_value=40), min_size=1, max_size=80)
+
+
+@SETTINGS
+@given(codes=CODES, zone=st.sampled_from(["a", "b"]))
+def test_fine_totals_equal_row_level_case_sum(spark, codes, zone):
+    from tallyframe.operators import fine_totals, rate_schedule
+    from tallyframe.operators.fines import RATE_A, RATE_B
+
+    rates = dict(zip(range(1, 100), RATE_A if zone == "a" else RATE_B))
+    counts_by_code = Counter(codes)
+    top = sorted(counts_by_code.items(), key=lambda kv: (-kv[1], kv[0]))[:3]
+    chosen = {c for c, _n in top}
+    # SUM(CASE WHEN code IN chosen THEN rate END) per code, row by row
+    want = {}
+    for c in counts_by_code:
+        parts = [rates.get(c) for _ in range(counts_by_code[c])] if c in chosen else []
+        vals = [v for v in parts if v is not None]
+        want[c] = sum(vals) if vals else None
+    schedule, n = rate_schedule(spark)
+    counts = spark.createDataFrame(list(counts_by_code.items()), "Violation_Code int, n long")
+    chosen_df = spark.createDataFrame([(c,) for c in chosen], "Violation_Code int")
+    got = {r.Violation_Code: r.Violation_Fine_Sum
+           for r in fine_totals(counts, schedule, zone, n, codes=chosen_df, codes_bound=3).collect()}
+    assert got == want

@@ -60,3 +60,11 @@ def test_command_line_writes_answers(spark, tmp_path):
     got = [tuple(r) for r in spark.read.parquet(str(out / "q08_top_codes")).orderBy("Violation_Code").collect()]
     assert got == [(21, 3), (36, 2), (38, 2)]
     assert spark.read.parquet(str(out / "q22_season_counts")).count() == 4
+
+
+def test_report_unstaged_with_given_precinct(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
+    out = ticket_report(read_records(spark, str(path)), year=2017, precinct=14, stage=False)
+    assert [tuple(r) for r in out["q13_precinct_code_mix"].collect()] == [(36, 2, 14)]
+    assert out["q02_rows_in_year"].first().n == 7

@@ -70,3 +70,13 @@ def test_daily_counts_append_final_days_to_parquet(spark):
     got = sorted((str(r.Issue_Date), r.Violation_Code, r.n) for r in spark.read.parquet(out).collect())
     # March 20 is within the lateness of the latest date seen, so not final yet.
     assert got == [("2017-03-01", 21, 2), ("2017-03-01", 36, 1), ("2017-03-02", 21, 1)]
+
+
+def test_stream_header_checks(spark):
+    import pytest
+
+    folder = tempfile.mkdtemp(prefix="tallyframe-stream-", dir="/tmp")
+    with pytest.raises(ValueError, match="collide"):
+        ticket_stream(spark, folder, ["a b", "a,_b"])
+    with pytest.raises(ValueError, match="not in the header"):
+        ticket_stream(spark, folder, ["Summons Number"])
