@@ -171,7 +171,13 @@ def top_precincts_code_mix(
     precinct.  ``Precinct_Issuers`` is the precinct's total; sorting by it
     gives the reference's stacking order (busiest precinct first).
     """
-    pairs = precinct_code_pairs(tickets)
+    return mix_of_top_precincts(precinct_code_pairs(tickets), n_precincts, k, sentinel)
+
+
+def mix_of_top_precincts(
+    pairs: DataFrame, n_precincts: int = 3, k: int = 5, sentinel: object = 0
+) -> DataFrame:
+    """Q14 from (precinct, code, ``Frequency_of_Tickets``) counts."""
     mix = rows_of_top_groups(
         pairs, ISSUER, "Frequency_of_Tickets", n_precincts, "Precinct_Issuers", sentinel
     )
@@ -220,6 +226,11 @@ def top_codes_by_bin(binned: DataFrame, k: int = 3) -> DataFrame:
     codes with the largest summed counts (``rows_of_top_groups``).
     """
     pairs = binned.groupBy(CODE, BIN).agg(count_of().alias("Number_of_tickets"))
+    return bins_of_top_codes(pairs, k)
+
+
+def bins_of_top_codes(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """Q19 from (code, bin, ``Number_of_tickets``) counts of timed rows."""
     out = rows_of_top_groups(pairs, CODE, "Number_of_tickets", k, "_code_total").drop("_code_total")
     return out.orderBy(
         F.col(CODE).asc_nulls_first(), F.col(BIN).asc_nulls_first(), F.col("Number_of_tickets").desc()
@@ -231,10 +242,22 @@ def bin_top_codes(binned: DataFrame, k: int = 3) -> DataFrame:
     return counted_top_k_per_group(binned, BIN, CODE, k, name="Number_of_tickets", ties="dense")
 
 
+def top_codes_per_bin(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """E1 from (code, bin, ``Number_of_tickets``) counts of timed rows."""
+    ranked = top_k_per_group(pairs, BIN, CODE, "Number_of_tickets", k, ties="dense", order=False)
+    return ranked.select(BIN, CODE, "Number_of_tickets").orderBy(
+        F.col(BIN).asc_nulls_first(), F.col("Number_of_tickets").desc(), F.col(CODE).asc_nulls_first()
+    )
+
+
 def top_codes_peak_bin(binned: DataFrame, k: int = 3) -> DataFrame:
     """E2: for each of the k most frequent codes, its most frequent bin."""
-    counts = top_codes_by_bin(binned, k)
-    return top_k_per_group(counts, CODE, BIN, "Number_of_tickets", 1, ties="row")
+    return peak_bins(top_codes_by_bin(binned, k))
+
+
+def peak_bins(code_bins: DataFrame) -> DataFrame:
+    """E2 from Q19's rows: the most frequent bin of each code (ties: bin)."""
+    return top_k_per_group(code_bins, CODE, BIN, "Number_of_tickets", 1, ties="row")
 
 
 # -- seasons ----------------------------------------------------------------
@@ -262,6 +285,14 @@ def season_top_codes(seasoned: DataFrame, k: int = 3) -> DataFrame:
     return counted_top_k_per_group(seasoned, SEASON, CODE, k, name="ticket_count", ties="dense")
 
 
+def top_codes_per_season(pairs: DataFrame, k: int = 3) -> DataFrame:
+    """Q23 from (season, code, ``ticket_count``) counts."""
+    ranked = top_k_per_group(pairs, SEASON, CODE, "ticket_count", k, ties="dense", order=False)
+    return ranked.select(SEASON, CODE, "ticket_count").orderBy(
+        F.col(SEASON).asc_nulls_first(), F.col("ticket_count").desc(), F.col(CODE).asc_nulls_first()
+    )
+
+
 # -- fines and revenue ------------------------------------------------------
 
 def top_code_counts(tickets: DataFrame, k: int = 3) -> DataFrame:
@@ -283,6 +314,13 @@ def zone_fine_totals(
     carry a fine, other codes total NULL and sort last.
     """
     counts = value_counts(tickets, CODE, "n", order=False)
+    return zone_fines_from_counts(counts, schedule, schedule_bound, zone, k)
+
+
+def zone_fines_from_counts(
+    counts: DataFrame, schedule: DataFrame, schedule_bound: int | None, zone: str, k: int = 3
+) -> DataFrame:
+    """Q26 / Q27 from per-code ``COUNT(*)`` counts in column ``n``."""
     top = top_k(counts, "n", CODE, k)
     fines = fine_totals(counts, schedule, zone, schedule_bound, codes=top, codes_bound=k)
     return top_k(fines, "Violation_Fine_Sum", CODE, k)
@@ -292,16 +330,27 @@ def top_code_revenue(
     tickets: DataFrame, schedule: DataFrame, schedule_bound: int | None, k: int = 3
 ) -> DataFrame:
     """Q29: count, average zone fine and total for the k most frequent codes."""
-    top = top_code_counts(tickets, k)
+    return revenue_of_top_codes(top_code_counts(tickets, k), schedule, schedule_bound)
+
+
+def revenue_of_top_codes(
+    top: DataFrame, schedule: DataFrame, schedule_bound: int | None
+) -> DataFrame:
+    """Q29 from the top codes with their ``Frequency_of_Tickets``."""
     out = revenue(top, schedule, schedule_bound)
     return out.orderBy(F.col("Frequency_of_Tickets").desc(), CODE)
 
 
+def best_revenue(revenues: DataFrame) -> DataFrame:
+    """E5 from Q29's rows: the code with the largest total (ties: code)."""
+    return top_k(revenues, "Total_Fine_Amount", CODE, 1)
+
+
 def top_revenue_code(
     tickets: DataFrame, schedule: DataFrame, schedule_bound: int | None, k: int = 3
 ) -> DataFrame:
     """E5: of the k most frequent codes, the one with the largest total."""
-    return top_k(top_code_revenue(tickets, schedule, schedule_bound, k), "Total_Fine_Amount", CODE, 1)
+    return best_revenue(top_code_revenue(tickets, schedule, schedule_bound, k))
 
 
 # -- questions asked in comments ------------------------------------------
@@ -320,7 +369,11 @@ def precinct_code_lift(tickets: DataFrame, n_precincts: int = 3, sentinel: objec
     Group, item and grand totals are all read off the (precinct, code)
     counts, which are checkpointed so the facts are read once.
     """
-    pairs = cut_lineage(precinct_code_pairs(tickets))
+    return lift_of_top_precincts(cut_lineage(precinct_code_pairs(tickets)), n_precincts, sentinel)
+
+
+def lift_of_top_precincts(pairs: DataFrame, n_precincts: int = 3, sentinel: object = 0) -> DataFrame:
+    """E4 from (precinct, code, ``Frequency_of_Tickets``) counts of all tickets."""
     top = top_groups(pairs, ISSUER, "Frequency_of_Tickets", n_precincts, "_precinct_total", sentinel)
     return share_lift(
         pairs, ISSUER, CODE, "Frequency_of_Tickets", groups=top, groups_bound=n_precincts
