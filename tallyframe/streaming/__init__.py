@@ -1,19 +1,5 @@
 """Incremental versions of the counting questions (Structured Streaming)."""
 
-from tallyframe.streaming.counts import (
-    daily_counts,
-    running_counts,
-    season_stream_counts,
-    start_counts,
-    start_daily,
-    ticket_stream,
-)
+from tallyframe.streaming.counts import daily_counts, start_daily, ticket_stream, totals_from_daily
 
-__all__ = [
-    "daily_counts",
-    "running_counts",
-    "season_stream_counts",
-    "start_counts",
-    "start_daily",
-    "ticket_stream",
-]
+__all__ = ["daily_counts", "start_daily", "ticket_stream", "totals_from_daily"]

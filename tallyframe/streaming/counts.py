@@ -7,15 +7,11 @@ key (partial aggregation per micro-batch, then a merge into the state
 store), and the query's checkpoint under ``spark.checkpoint.dir`` lets it
 resume after a failure without double counting.
 
-Two outputs:
-
-* ``daily_counts`` + ``start_daily``: counts per (issue day, key) with an
-  event-time watermark, appended to a Parquet table by the file sink once
-  a day is final.  State is bounded by the watermark; nothing passes
-  through the driver.  Totals over any period are a batch sum of it.
-* ``running_counts`` + ``start_counts``: whole-history counts in
-  ``complete`` mode into the driver-side ``memory`` sink, for small key
-  sets and tests.
+Counts per (issue day, key) are kept with an event-time watermark and
+appended to a Parquet table by the file sink once a day is final
+(``daily_counts`` + ``start_daily``): state is bounded by the watermark and
+nothing passes through the driver.  Totals over any period are a batch
+sum of that table (``totals_from_daily``).
 """
 
 from __future__ import annotations
@@ -27,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyframe.operators.counts import as_list, count_of
+from tallyframe.operators.counts import as_list
 from tallyframe.sources.records import TICKET_COLUMNS, clean_name, typed_column
 from tallyframe.sources.stage import stage_path
 
@@ -59,34 +55,6 @@ def ticket_stream(
     return raw.select(*[typed_column(c, t, date_format).alias(c) for c, t in columns.items()])
 
 
-def running_counts(
-    stream: DataFrame,
-    keys: str | Sequence[str],
-    name: str = "n",
-    count_col: str | None = None,
-) -> DataFrame:
-    """Streaming per-key counts (same semantics as ``value_counts``)."""
-    return stream.groupBy(*as_list(keys)).agg(count_of(count_col).alias(name))
-
-
-def start_counts(
-    counts: DataFrame,
-    query_name: str,
-    checkpoint_location: str | None = None,
-    available_now: bool = True,
-) -> StreamingQuery:
-    """Start whole-history counts into the ``memory`` table ``query_name``."""
-    location = checkpoint_location or stage_path(counts, f"stream-{query_name}")
-    writer = (
-        counts.writeStream.queryName(query_name)
-        .outputMode("complete")
-        .format("memory")
-        .option("checkpointLocation", location)
-    )
-    writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start()
-
-
 def daily_counts(
     stream: DataFrame,
     keys: str | Sequence[str],
@@ -127,9 +95,20 @@ def start_daily(
     return writer.start()
 
 
-def season_stream_counts(stream: DataFrame) -> DataFrame:
-    """Streaming tickets per season (Q22 as a running count)."""
-    from tallyframe.functions.buckets import SEASONS, bucket_members
-
-    labelled = stream.select(bucket_members(F.month("Issue_Date"), SEASONS).alias("Seasonality"))
-    return running_counts(labelled, "Seasonality", "ticket_count")
+def totals_from_daily(
+    spark: SparkSession,
+    path: str,
+    keys: str | Sequence[str],
+    name: str = "n",
+    start: str | None = None,
+    end: str | None = None,
+    date_col: str = "Issue_Date",
+) -> DataFrame:
+    """Batch totals per key over the final days in ``[start, end)`` of a
+    daily-count table: the running counts, summed on the executors."""
+    daily = spark.read.parquet(path)
+    if start is not None:
+        daily = daily.filter(F.col(date_col) >= F.lit(start).cast("date"))
+    if end is not None:
+        daily = daily.filter(F.col(date_col) < F.lit(end).cast("date"))
+    return daily.groupBy(*as_list(keys)).agg(F.sum(name).alias(name))

@@ -7,14 +7,7 @@ import tempfile
 
 from tallyframe.operators import value_counts
 from tallyframe.sources import read_records
-from tallyframe.streaming import (
-    daily_counts,
-    running_counts,
-    season_stream_counts,
-    start_counts,
-    start_daily,
-    ticket_stream,
-)
+from tallyframe.streaming import daily_counts, start_daily, ticket_stream, totals_from_daily
 
 HEADER = ["Summons Number", "Registration State", "Issue Date", "Violation Code",
           "Vehicle Body Type", "Vehicle Make", "Violation Precinct", "Issuer Precinct",
@@ -26,28 +19,21 @@ BATCHES = [
 ]
 
 
-def test_stream_counts_match_batch(spark):
+def test_daily_totals_match_batch_counts_of_final_days(spark):
     folder = tempfile.mkdtemp(prefix="tallyframe-stream-", dir="/tmp")
     for i, lines in enumerate(BATCHES):
         with open(os.path.join(folder, f"part-{i}.csv"), "w") as fh:
             fh.write(",".join(HEADER) + "\n" + "\n".join(lines) + "\n")
+    out = os.path.join(tempfile.mkdtemp(prefix="tallyframe-daily-", dir="/tmp"), "daily")
     stream = ticket_stream(spark, folder, HEADER, max_files_per_trigger=1)
-    q = start_counts(
-        running_counts(stream, "Registration_State", "Num_Of_Entries", count_col="Registration_State"),
-        "tallyframe_state_counts",
-    )
+    q = start_daily(daily_counts(stream, "Registration_State", "n", lateness="1 day"), out, "tallyframe_state_daily")
     q.awaitTermination(120)
-    got = {r.Registration_State: r.Num_Of_Entries
-           for r in spark.sql("SELECT * FROM tallyframe_state_counts").collect()}
-    batch = read_records(spark, folder)
-    want = {r.Registration_State: r.Num_Of_Entries for r in value_counts(
-        batch, "Registration_State", "Num_Of_Entries", count_col="Registration_State").collect()}
-    assert got == want == {"NY": 3, "NJ": 1, None: 0}
-
-    s = start_counts(season_stream_counts(ticket_stream(spark, folder, HEADER)), "tallyframe_seasons")
-    s.awaitTermination(120)
-    seasons = {r.Seasonality: r.ticket_count for r in spark.sql("SELECT * FROM tallyframe_seasons").collect()}
-    assert seasons == {"Winter": 2, "Spring": 1, "Summer": 1, "Fall": 1}
+    got = {r.Registration_State: r.n for r in totals_from_daily(spark, out, "Registration_State").collect()}
+    # The latest day seen (2017-11-20) is within the lateness, so not final yet.
+    batch = read_records(spark, folder).filter("Issue_Date < DATE'2017-11-20'")
+    want = {r.Registration_State: r.n for r in value_counts(batch, "Registration_State", "n").collect()}
+    assert got == want == {"NY": 2, "NJ": 1, None: 1}
+    assert totals_from_daily(spark, out, "Registration_State", start="2017-03-01", end="2017-07-01").count() == 2
 
 
 def test_daily_counts_append_final_days_to_parquet(spark):
