@@ -89,7 +89,7 @@ def ticket_report(
         repaired = q.repaired(t, state_sentinel, state_replacement)
         cube = count_cube(t, midnight)
         answers = cube_answers(
-            tickets, t, cube, state_sentinel, state_replacement, precinct_sentinel, precinct
+            t, cube, state_sentinel, state_replacement, precinct_sentinel, precinct
         )
         binned = q.time_bins(repaired, midnight)
         answers.update(
@@ -194,7 +194,6 @@ def _total(counts: DataFrame, measure: str, name: str) -> DataFrame:
 
 
 def cube_answers(
-    tickets: DataFrame,
     t: DataFrame,
     cube: DataFrame,
     state_sentinel: object,
