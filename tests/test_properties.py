@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 
 from tallyframe.operators import top_k, top_k_per_group, value_counts
@@ -116,3 +116,48 @@ def test_fine_totals_equal_row_level_case_sum(spark, codes, zone):
     got = {r.Violation_Code: r.Violation_Fine_Sum
            for r in fine_totals(counts, schedule, zone, n, codes=chosen_df, codes_bound=3).collect()}
     assert got == want
+
+
+def _python_rule(text, midnight):
+    """The clock rule stated in plain Python (None = NULL)."""
+    if text is None:
+        return None, "Night"
+    hour_txt, ampm = text[0:2], text[4:5]
+    digits = hour_txt.strip(" ")  # Spark's string-to-int cast trims surrounding spaces
+    hr = int(digits) if digits.isdigit() else None
+    if hr is None:
+        h = None
+    elif hr != 12 and ampm == "P":
+        h = hr + 12
+    elif midnight == "strict" and hr == 12 and ampm == "A":
+        h = 0
+    else:
+        h = hr
+    label = "Night"
+    for name, lo, hi in (("Late_Night", 0, 3), ("Early_Morning", 4, 7), ("Morning", 8, 11),
+                         ("Afternoon", 12, 15), ("Evening", 16, 19)):
+        if h is not None and lo <= h <= hi:
+            label = name
+            break
+    return h, label
+
+
+TIMES = st.one_of(
+    st.builds(lambda h, m, a: f"{h:02d}{m:02d}{a}", st.integers(0, 13), st.integers(0, 59), st.sampled_from("AP")),
+    st.text(alphabet="0123456789APx ", min_size=0, max_size=6),
+    st.none(),
+)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(times=st.lists(TIMES, min_size=1, max_size=30), midnight=st.sampled_from(["reference", "strict"]))
+@example(times=[" 8 0P", "1 00A", "  ", "12 0A", "1230A", "1330P", "nan", "2A", "", None], midnight="reference")
+@example(times=[" 8 0P", "1 00A", "  ", "12 0A", "1230A", "1330P", "nan", "2A", "", None], midnight="strict")
+def test_clock_rule_matches_plain_python(spark, times, midnight):
+    from tallyframe.functions import bucket_intervals, hour24
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string")
+    got = [(r.h, r.b) for r in df.select(
+        "i", hour24("t", midnight).alias("h"), bucket_intervals(hour24("t", midnight)).alias("b")
+    ).orderBy("i").collect()]
+    assert got == [_python_rule(t, midnight) for t in times]
