@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.operators.filters import in_year
 
@@ -21,25 +22,19 @@ PRECINCT_SENTINEL = 0              # erroneous precinct, as in the reference
 MISSING_MARK = "error"             # events of this type lack body type and time
 
 
-# Declared schemas of the fixture tables that stand in for tickets.  With a
-# schema the reader skips inferring one from the Parquet footers.
-SCHEMAS = {
-    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
-    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
-    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
-    "value DOUBLE, props STRING",
-    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
-    "c_mktsegment STRING",
-    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
-    "p_retailprice DOUBLE",
-}
+# Parquet schema of each fixture file, read from its footer on first use and
+# reused afterwards, so later reads skip the footer (exact types, no guess).
+_SCHEMAS: dict[str, T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reader = spark.read
-    if name in SCHEMAS:
-        reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def clock_text(ts: str) -> F.Column:
