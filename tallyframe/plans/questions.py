@@ -157,7 +157,15 @@ def precinct_code_pairs(tickets: DataFrame) -> DataFrame:
 def busiest_precinct_code_mix(tickets: DataFrame, k: int = 5, sentinel: object = 0) -> DataFrame:
     """Q13 with the precinct computed: the k most frequent codes of the
     busiest issuer precinct (the reference typed it in after reading Q12)."""
-    return top_precincts_code_mix(tickets, 1, k, sentinel).select(CODE, "Frequency_of_Tickets", ISSUER)
+    return mix_of_busiest_precinct(precinct_code_pairs(tickets), k, sentinel)
+
+
+def mix_of_busiest_precinct(pairs: DataFrame, k: int = 5, sentinel: object = 0) -> DataFrame:
+    """Q13 from (precinct, code, ``Frequency_of_Tickets``) counts: one
+    precinct is kept, so a plain top-k (no per-group window) finishes it."""
+    one = rows_of_top_groups(pairs, ISSUER, "Frequency_of_Tickets", 1, "_precinct_total", sentinel)
+    top = top_k(one, "Frequency_of_Tickets", [CODE, ISSUER], k)
+    return top.select(CODE, "Frequency_of_Tickets", ISSUER)
 
 
 def top_precincts_code_mix(
@@ -225,13 +233,19 @@ def top_codes_by_bin(binned: DataFrame, k: int = 3) -> DataFrame:
     One pass over the facts: (code, bin) counts, then the bins of the k
     codes with the largest summed counts (``rows_of_top_groups``).
     """
-    pairs = binned.groupBy(CODE, BIN).agg(count_of().alias("Number_of_tickets"))
-    return bins_of_top_codes(pairs, k)
+    return bins_of_top_codes(code_bin_pairs(binned), k)
+
+
+def code_bin_pairs(binned: DataFrame) -> DataFrame:
+    """Timed tickets per (code, time bin)."""
+    return binned.groupBy(CODE, BIN).agg(count_of().alias("Number_of_tickets"))
 
 
-def bins_of_top_codes(pairs: DataFrame, k: int = 3) -> DataFrame:
+def bins_of_top_codes(pairs: DataFrame, k: int = 3, order: bool = True) -> DataFrame:
     """Q19 from (code, bin, ``Number_of_tickets``) counts of timed rows."""
     out = rows_of_top_groups(pairs, CODE, "Number_of_tickets", k, "_code_total").drop("_code_total")
+    if not order:
+        return out
     return out.orderBy(
         F.col(CODE).asc_nulls_first(), F.col(BIN).asc_nulls_first(), F.col("Number_of_tickets").desc()
     )
@@ -252,7 +266,7 @@ def top_codes_per_bin(pairs: DataFrame, k: int = 3) -> DataFrame:
 
 def top_codes_peak_bin(binned: DataFrame, k: int = 3) -> DataFrame:
     """E2: for each of the k most frequent codes, its most frequent bin."""
-    return peak_bins(top_codes_by_bin(binned, k))
+    return peak_bins(bins_of_top_codes(code_bin_pairs(binned), k, order=False))
 
 
 def peak_bins(code_bins: DataFrame) -> DataFrame:

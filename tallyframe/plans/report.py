@@ -219,9 +219,7 @@ def cube_answers(
         return top_k(src, name, key, k)
 
     if precinct is None:
-        one = q.mix_of_top_precincts(pairs, 1, 5, precinct_sentinel).select(
-            CODE, "Frequency_of_Tickets", ISSUER
-        )
+        one = q.mix_of_busiest_precinct(pairs, 5, precinct_sentinel)
     else:
         hit = pairs.filter(F.col(ISSUER) == literal_like(pairs, ISSUER, precinct))
         one = top_k(hit, "Frequency_of_Tickets", [CODE, ISSUER], 5).select(
@@ -277,7 +275,7 @@ def cube_answers(
         "q28_code_frequency_top3": top3,
         "q29_top_code_revenue": revenues,
         "e1_bin_top_codes": q.top_codes_per_bin(timed, 3),
-        "e2_top_codes_peak_bin": q.peak_bins(q.bins_of_top_codes(timed, 3)),
+        "e2_top_codes_peak_bin": q.peak_bins(q.bins_of_top_codes(timed, 3, order=False)),
         "e3_codes_across_precincts": spread(mix, CODE, ISSUER, "n_precincts"),
         "e4_precinct_code_lift": q.lift_of_top_precincts(pairs, 3, precinct_sentinel),
         "e5_top_revenue_code": q.best_revenue(revenues),
