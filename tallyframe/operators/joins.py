@@ -1,11 +1,12 @@
 """Join helpers.
 
 A broadcast hint is only placed on a side whose row count is bounded by
-construction: a ``LIMIT k`` top-k result or the fixed fine schedule.  (The
-mode used for repairs is a scalar subquery, not a join.)  Every other join is left to Catalyst, which broadcasts only when its
-size estimate is under ``spark.sql.autoBroadcastJoinThreshold`` and
-otherwise plans a shuffle join; adaptive execution re-checks that choice
-against the real sizes at run time and splits skewed partitions.
+construction: a ``LIMIT k`` top-k result or the fixed fine schedule (the
+mode used for repairs is a scalar subquery, not a join).  Every other join
+is left to Catalyst, which broadcasts only when its size estimate is under
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a shuffle
+join; adaptive execution re-checks that choice against the real sizes at
+run time and splits skewed partitions.
 """
 
 from __future__ import annotations
