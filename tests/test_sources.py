@@ -102,3 +102,10 @@ def test_materialize_and_cut_lineage_stay_in_checkpoint_dir(spark):
     assert sorted(tuple(r) for r in staged.collect()) == sorted(tuple(r) for r in df.collect())
     cut = cut_lineage(df)
     assert sorted(tuple(r) for r in cut.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_materialize_partitioned(spark):
+    df = spark.range(20).selectExpr("id", "CAST(id % 4 AS INT) AS bucket")
+    staged = materialize(df, "parts", partition_by=["bucket"])
+    assert staged.filter("bucket = 2").count() == 5
+    assert sorted(r.id for r in staged.collect()) == list(range(20))

@@ -66,3 +66,32 @@ def test_stream_header_checks(spark):
         ticket_stream(spark, folder, ["a b", "a,_b"])
     with pytest.raises(ValueError, match="not in the header"):
         ticket_stream(spark, folder, ["Summons Number"])
+
+
+def test_daily_counts_resume_from_checkpoint_without_double_counting(spark):
+    folder = tempfile.mkdtemp(prefix="tallyframe-stream-", dir="/tmp")
+    out = os.path.join(tempfile.mkdtemp(prefix="tallyframe-daily-", dir="/tmp"), "daily")
+    ckpt = os.path.join(tempfile.mkdtemp(prefix="tallyframe-ckpt-", dir="/tmp"), "q")
+
+    def write(i, lines):
+        with open(os.path.join(folder, f"part-{i}.csv"), "w") as fh:
+            fh.write(",".join(HEADER) + "\n" + "\n".join(lines) + "\n")
+
+    def run():
+        stream = ticket_stream(spark, folder, HEADER)
+        q = start_daily(daily_counts(stream, "Violation_Code", "n", lateness="1 day"), out, "tallyframe_resume",
+                        checkpoint_location=ckpt)
+        q.awaitTermination(120)
+
+    write(0, ["1,NY,2017-03-01,21,SUBN,FORD,19,19,0143A", "2,NJ,2017-03-01,21,VAN,FORD,14,14,0811A"])
+    run()  # nothing final yet: 2017-03-01 is within the lateness of the latest day
+    write(1, ["3,NY,2017-03-05,36,SUBN,HONDA,19,19,1230A", "4,NY,2017-03-01,21,VAN,FORD,1,1,0400P"])
+    run()  # restart: part-0 is not read again; row 4 is still on time (watermark 2017-02-28)
+    write(2, ["5,NY,2017-03-09,38,SUBN,FORD,19,19,0400P"])
+    run()
+    got = sorted((str(r.Issue_Date), r.Violation_Code, r.n) for r in spark.read.parquet(out).collect())
+    assert ("2017-03-01", 21, 3) in got
+    assert ("2017-03-05", 36, 1) in got
+    assert all(day != "2017-03-09" for day, _c, _n in got)  # latest day not final yet
+    # rows 1, 2 and 4: part-0 was not counted again after the restarts (that would give 5)
+    assert sum(n for day, _c, n in got if day == "2017-03-01") == 3
