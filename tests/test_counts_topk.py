@@ -106,3 +106,10 @@ def test_null_profile(states):
     assert null_rows(states, "s").count() == 3
     assert not_null_rows(states, "s").count() == 9
     assert profile_nulls(states, ["s"]).first().n_null_s == 3
+
+
+def test_top_k_per_group_two_group_columns(spark):
+    data = [("2017", "W", 1, 5), ("2017", "W", 2, 3), ("2017", "S", 1, 1), ("2016", "W", 9, 2), ("2016", "W", 8, 2)]
+    df = spark.createDataFrame(data, "y string, s string, code int, n long")
+    got = [tuple(r) for r in top_k_per_group(df, ["y", "s"], "code", "n", 1, ties="row").collect()]
+    assert got == [("2016", "W", 8, 2), ("2017", "S", 1, 1), ("2017", "W", 1, 5)]

@@ -109,3 +109,14 @@ def test_materialize_partitioned(spark):
     staged = materialize(df, "parts", partition_by=["bucket"])
     assert staged.filter("bucket = 2").count() == 5
     assert sorted(r.id for r in staged.collect()) == list(range(20))
+
+
+def test_in_year_on_zoned_timestamps_follows_session_zone(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("2016-12-31 23:30:00",), ("2017-01-01 00:30:00",), ("2017-12-31 23:59:59",), ("2018-01-01 00:00:00",)]
+    df = spark.createDataFrame(rows, "s string").select(F.to_timestamp("s").alias("ts"))
+    assert df.schema["ts"].dataType == T.TimestampType()
+    sliced = in_year(df, "ts", 2017)
+    assert sliced.count() == 2
+    assert sliced.count() == df.filter(F.year("ts") == 2017).count()
