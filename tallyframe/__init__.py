@@ -6,4 +6,70 @@ no Python UDF is used.  See ``README.md`` for the map from the reference
 analysis to these functions.
 """
 
+from tallyframe.functions import (
+    SEASONS,
+    TIME_OF_DAY_BINS,
+    bucket_intervals,
+    bucket_members,
+    calendar_parts,
+    clock_parts,
+    hour24,
+    year_range,
+)
+from tallyframe.operators import (
+    crosstab_counts,
+    distinct_count,
+    drop_sentinel,
+    fine_totals,
+    in_year,
+    mode_of,
+    rate_schedule,
+    recode_counts,
+    recode_sentinel,
+    revenue,
+    row_count,
+    rows_of_top_groups,
+    share_lift,
+    top_groups,
+    top_k,
+    top_k_per_group,
+    value_counts,
+)
+from tallyframe.plans.report import ticket_report
+from tallyframe.sources import cut_lineage, materialize, normalize_columns, read_records, register_stage
+
 __version__ = "0.1.0"
+
+__all__ = [
+    "SEASONS",
+    "TIME_OF_DAY_BINS",
+    "bucket_intervals",
+    "bucket_members",
+    "calendar_parts",
+    "clock_parts",
+    "crosstab_counts",
+    "cut_lineage",
+    "distinct_count",
+    "drop_sentinel",
+    "fine_totals",
+    "hour24",
+    "in_year",
+    "materialize",
+    "mode_of",
+    "normalize_columns",
+    "rate_schedule",
+    "read_records",
+    "recode_counts",
+    "recode_sentinel",
+    "register_stage",
+    "revenue",
+    "row_count",
+    "rows_of_top_groups",
+    "share_lift",
+    "ticket_report",
+    "top_groups",
+    "top_k",
+    "top_k_per_group",
+    "value_counts",
+    "year_range",
+]
