@@ -68,3 +68,13 @@ def test_report_unstaged_with_given_precinct(spark, tmp_path):
     out = ticket_report(read_records(spark, str(path)), year=2017, precinct=14, stage=False)
     assert [tuple(r) for r in out["q13_precinct_code_mix"].collect()] == [(36, 2, 14)]
     assert out["q02_rows_in_year"].first().n == 7
+
+
+def test_source_count_with_and_without_observation(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
+    tickets = read_records(spark, str(path))
+    observed = ticket_report(tickets, year=2017)["q01_rows_in_file"]
+    separate = ticket_report(tickets, year=2017, count_source_while_staging=False)["q01_rows_in_file"]
+    assert observed.collect() == separate.collect() == [(8,)]
+    assert observed.schema == separate.schema or observed.columns == separate.columns == ["n"]
