@@ -33,9 +33,17 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--midnight", choices=("reference", "strict"), default="reference")
     parser.add_argument("--no-stage", action="store_true", help="do not stage the year slice")
     parser.add_argument("--only", nargs="*", default=None, help="answer only these questions")
+    parser.add_argument(
+        "--split-mb",
+        type=int,
+        default=None,
+        help="input split size in MB (spark.sql.files.maxPartitionBytes); larger splits stage fewer files",
+    )
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("tallyframe").getOrCreate()
+    if args.split_mb:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", f"{args.split_mb}m")
     tickets = read_records(spark, args.csv, date_format=args.date_format)
     answers = ticket_report(
         tickets,

@@ -56,7 +56,10 @@ def test_command_line_writes_answers(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
     out = tmp_path / "out"
-    assert main(["--csv", str(path), "--out", str(out), "--only", "q08_top_codes", "q22_season_counts"]) == 0
+    assert main(["--csv", str(path), "--out", str(out), "--only", "q08_top_codes", "q22_season_counts",
+                 "--split-mb", "256"]) == 0
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") in ("256m", str(256 * 1024 * 1024))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = [tuple(r) for r in spark.read.parquet(str(out / "q08_top_codes")).orderBy("Violation_Code").collect()]
     assert got == [(21, 3), (36, 2), (38, 2)]
     assert spark.read.parquet(str(out / "q22_season_counts")).count() == 4
