@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import as_list, by_measure, count_of
 from tallyframe.operators.filters import literal_like
+from tallyframe.operators.joins import bounded
 
 TIES = ("dense", "rank", "row")
 
@@ -110,6 +111,7 @@ def rows_of_top_groups(
     k: int,
     total_col: str,
     sentinel: object = None,
+    method: str = "window",
 ) -> DataFrame:
     """All rows of the k groups with the largest summed ``measure``.
 
@@ -125,8 +127,16 @@ def rows_of_top_groups(
     facts) in one task, so the items per group must come from a bounded
     domain (violation codes, time bins), as in every question here.  A
     hot group with a third of the facts still has at most that many pairs.
-    For unbounded items use ``top_groups`` and join its k keys back.
+    For unbounded items use ``method="join"``: the top groups come from an
+    aggregate of the totals (``top_groups``) and their k keys are broadcast
+    and joined back, so no task holds a whole group; ``pairs`` is then read
+    twice, so checkpoint it first (``sources.stage.cut_lineage``).
     """
+    if method == "join":
+        top = top_groups(pairs, group, measure, k, total_col, sentinel)
+        return pairs.join(bounded(top, k), group).select(*pairs.columns, total_col)
+    if method != "window":
+        raise ValueError(f"method must be 'window' or 'join', got {method!r}")
     src = pairs
     if sentinel is not None:
         src = src.filter(F.col(group) != literal_like(src, group, sentinel))

@@ -161,3 +161,15 @@ def test_clock_rule_matches_plain_python(spark, times, midnight):
         "i", hour24("t", midnight).alias("h"), bucket_intervals(hour24("t", midnight)).alias("b")
     ).orderBy("i").collect()]
     assert got == [_python_rule(t, midnight) for t in times]
+
+
+@SETTINGS
+@given(data=ROWS, parts=st.integers(min_value=1, max_value=7), k=st.integers(min_value=1, max_value=3))
+def test_rows_of_top_groups_join_method_matches_window(spark, data, parts, k):
+    from tallyframe.operators import rows_of_top_groups
+
+    df = spark.createDataFrame(data, "g string, i int").repartition(parts)
+    counts = value_counts(df, ["g", "i"], "n", order=False)
+    by_window = {tuple(r) for r in rows_of_top_groups(counts, "g", "n", k, "t").collect()}
+    by_join = {tuple(r) for r in rows_of_top_groups(counts, "g", "n", k, "t", method="join").collect()}
+    assert by_join == by_window == _brute_top_groups(data, k)
