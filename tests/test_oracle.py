@@ -33,6 +33,9 @@ def _norm(v):
     return v
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+
+
 def _digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted(repr(tuple(_norm(r[i]) for i in order)) for r in rows)
@@ -51,5 +54,7 @@ def test_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    spark_types = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema}
+    assert spark_types == {d[0]: str(d[1]) for d in res.description}
     assert len(srows) == len(drows)
     assert _digest(df.columns, srows) == _digest(dcols, drows)
