@@ -51,3 +51,9 @@ def test_scans_read_only_needed_columns(spark):
 def test_one_scan_of_the_facts(spark, name):
     text = plan_text(entry.queries()[name](spark, SF01), "formatted")
     assert len(re.findall(r"(?m)^\(\d+\) Scan parquet", text)) == 1
+
+
+def test_flagship_schema_is_stable_across_scale_factors(spark):
+    smoke = entry.entry(spark).schema
+    for sf in (SF01, "/root/testdata/sf0.1"):
+        assert entry.queries()[entry.FLAGSHIP](spark, sf).schema == smoke
