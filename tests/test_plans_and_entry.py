@@ -57,3 +57,9 @@ def test_flagship_schema_is_stable_across_scale_factors(spark):
     smoke = entry.entry(spark).schema
     for sf in (SF01, "/root/testdata/sf0.1"):
         assert entry.queries()[entry.FLAGSHIP](spark, sf).schema == smoke
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_every_schema_is_stable_across_scale_factors(spark, name):
+    build = entry.queries()[name]
+    assert build(spark, SF001).schema.simpleString() == build(spark, SF01).schema.simpleString()
