@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
+from tallyframe.llm.quality import op2_quality
 from tallyframe.llm.sharding import op1_sharding
 from tallyframe.llm.simhash import op9_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op9_simhash": op9_simhash,
 }
