@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
 from tallyframe.llm.quality import op2_quality
+from tallyframe.llm.secrets import op5_secrets
 from tallyframe.llm.sharding import op1_sharding
 from tallyframe.llm.simhash import op9_simhash
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op9_simhash": op9_simhash,
 }
 
