@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
+from tallyframe.llm.packing import op6_packing
 from tallyframe.llm.quality import op2_quality
 from tallyframe.llm.secrets import op5_secrets
 from tallyframe.llm.sharding import op1_sharding
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
+    "op6_packing": op6_packing,
     "op9_simhash": op9_simhash,
 }
 
