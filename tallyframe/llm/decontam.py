@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import named, staged, table
 
 WINDOW = 10
+FOLLOWERS = 8  # likely characters after a given one in prose (3 bits a character)
 BLOCK_BYTES = 16 << 20  # bytes of patterns searched at once, the broadcast's bound
 # Word characters are digits, letters (lower-cased) and everything beyond ASCII.
 _FOLD = bytearray(b" " * 128 + bytes(range(128, 256)))
@@ -61,9 +62,9 @@ class WuManber:
     def __init__(self, patterns: Iterable[bytes]) -> None:
         self.patterns = sorted(set(patterns))
         self.shortest = min(map(len, self.patterns))
-        block, space = 1, 32
+        block, space = 1, FOLLOWERS
         while space < 2 * self.shortest * len(self.patterns):
-            block, space = block + 1, space * 32
+            block, space = block + 1, space * FOLLOWERS
         self.block = min(block, self.shortest)
         self.far = self.shortest - self.block + 1
         self.shift: dict[bytes, int] = {}
