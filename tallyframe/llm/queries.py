@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
+from tallyframe.llm.html_text import op10_html
 from tallyframe.llm.packing import op6_packing
 from tallyframe.llm.quality import op2_quality
 from tallyframe.llm.secrets import op5_secrets
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op9_simhash": op9_simhash,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {
