@@ -13,6 +13,7 @@ from tallyframe.llm.quality import op2_quality
 from tallyframe.llm.secrets import op5_secrets
 from tallyframe.llm.sharding import op1_sharding
 from tallyframe.llm.simhash import op9_simhash
+from tallyframe.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
 }
