@@ -59,7 +59,12 @@ SWAP_COST, MASK_COST, DROP_COST = 1.0, 2.5, 0.3  # negative log-probabilities of
 MASKS = frozenset("*#%?")
 SEPARATORS = frozenset(".-_~'`^/\\,*")
 TRIM = ".,;:?\"'`()[]{}<>…«»“”„-_&%#*~^/\\"
-SUSPICIOUS = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[\d@$!|+€£¡](?=[^\W\d_])|(?<=[^\W\d_])[\d@$!|+€£]|([^\W\d_])\1\1")
+SUSPICIOUS = re.compile(
+    r"(?<![^\W\d_])(?:[^\W\d_][\W_]+){2,}[^\W\d_](?![^\W\d_])"  # letters spaced out
+    r"|[^\W\d_][*#%?]+[^\W\d_]"  # masked
+    r"|[\d@$!|+€£¡](?=[^\W\d_])|(?<=[^\W\d_])[\d@$!|+€£]"  # swapped
+    r"|([^\W\d_])\1\1"  # drawn out
+)
 LONGEST = 32  # longer tokens are addresses or keys, not words
 
 
