@@ -10,6 +10,7 @@ from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
 from tallyframe.llm.html_text import op10_html
 from tallyframe.llm.packing import op6_packing
 from tallyframe.llm.quality import op2_quality
+from tallyframe.llm.revisits import OP3_SQL, op3_revisits
 from tallyframe.llm.secrets import op5_secrets
 from tallyframe.llm.sharding import op1_sharding
 from tallyframe.llm.simhash import op9_simhash
@@ -18,6 +19,7 @@ from tallyframe.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
+    "op3_revisits": op3_revisits,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
@@ -27,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_revisits": OP3_SQL,
     "op4_decontamination": OP4_SQL,
 }
