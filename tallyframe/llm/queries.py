@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
 from tallyframe.llm.html_text import op10_html
+from tallyframe.llm.lm_scoring import OP8_SQL, op8_lm_scoring
 from tallyframe.llm.packing import op6_packing
 from tallyframe.llm.quality import op2_quality
 from tallyframe.llm.revisits import OP3_SQL, op3_revisits
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_simhash": op9_simhash,
     "op10_html": op10_html,
 }
@@ -31,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_revisits": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op8_lm_scoring": OP8_SQL,
 }
