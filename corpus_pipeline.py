@@ -1,13 +1,97 @@
-"""Corpus preparation in stages, each one of the operators in ``tallyframe.llm``."""
+"""Corpus preparation in five stages, each by one of the operators in ``tallyframe.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+as Parquet and read again as the next stage's ``docs``; all but the last
+return the columns they were given.  Every stage works on all rows that the
+stage before kept:
+
+1. quality: documents that the quality rules reject go, and lines above their
+   host's limit go from the others;
+2. near_duplicates: of each component of similar fingerprints one document
+   stays, the one with the smallest id (null ids last; of equal ids one row);
+3. decontamination: documents that hold a window of a benchmark item go;
+4. secrets: secrets are replaced by a placeholder;
+5. packing: the documents' tokens are packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.llm.common import staged, table
+from tallyframe.llm.decontam import benchmark_hits
+from tallyframe.llm.packing import pack_documents
+from tallyframe.llm.quality import cleaned
+from tallyframe.llm.secrets import redacted
+from tallyframe.llm.simhash import near_duplicates
+
+
+BROADCAST_KEYS = 1_000_000  # 16 bytes each
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A staged table of keys, to be broadcast if its count is within the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct, so that no operator's column can clash with its own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """The column n_chars, if there is one, for texts that a stage has changed."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_length(cleaned(docs))
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Rows are named by a hash of id and text, so texts need no shuffle and no copy.
+    rows = whole_rows(docs).select("row", "row.doc_id", "row.text").select(
+        "*", F.xxhash64("doc_id", F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "doc_id", F.lit(3), "text").alias("k2")
+    )
+    found = staged(near_duplicates(rows, more={"k1": "k1", "k2": "k2"}), "pipeline-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.k1", "first.k2")
+    out = staged(found.join(first, ["root", "k1", "k2"], "left_anti").select("k1", "k2").distinct(), "pipeline-dropped")
+    twice = staged(
+        found.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").join(out, ["k1", "k2"], "left_anti")
+        .select("k1", "k2"),
+        "pipeline-twice",
+    )
+    kept = rows.join(bounded(out), ["k1", "k2"], "left_anti")
+    once = kept.join(bounded(twice), ["k1", "k2"], "left_anti")
+    again = kept.join(bounded(twice), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return once.select("row.*").unionByName(again.select("row.*"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows = whole_rows(docs).select("row", "row.text")
+    found = benchmark_hits(rows, table(spark, sf_dir, "benchmark"), keep={"row": "row"})
+    return found.filter(F.size("hit_words") == 0).select("row.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return with_length(redacted(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates_out),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
+# Fingerprints and token ids are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -47,6 +47,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 DIGITS = re.compile(r"\d+")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BROADCAST_VERDICTS = 1_000_000
 STATISTICS = T.StructType(
     [T.StructField(name, T.LongType()) for name in COUNTS]
     + [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.LongType()))]
@@ -92,7 +93,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def statistics(text: str | None) -> tuple:
-    """The five counts, then hash and words of each line that has words."""
+    """The five counts, then hash (null without words) and words of each line."""
     if not text:
         return 0, 0, 0, 0, 0, [], []
     words = text.encode().split()
@@ -102,8 +103,8 @@ def statistics(text: str | None) -> tuple:
         if n:
             repeated += line in seen
             seen.add(line)
-            hashes.append(line_hash(line))
-            sizes.append(n)
+        hashes.append(line_hash(line) if n else None)
+        sizes.append(n)
     chars = len(b"".join(words).decode())
     return len(words), chars, len(SYMBOLS.findall(text)), repeated, repeated_words(words), hashes, sizes
 
@@ -114,20 +115,9 @@ def statistics_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([statistics(text) for text in batch], columns=STATISTICS.names)
 
 
-def measured(documents: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Staged (doc_id, host, text hash, statistics, line hashes) of every row, with a row number."""
-    rows = named(documents, doc_id=id_col, text=text_col, host=host_col)
-    return staged(
-        rows.withColumn("_", statistics_of("text")).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "host", F.xxhash64("text").alias("text_hash"), "_.*"
-        ),
-        "quality-statistics",
-    )
-
-
 def frequent_lines(rows: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE) -> DataFrame:
     """(host, hash): lines in more distinct documents of their host than its limit."""
-    lines = rows.select("host", "text_hash", F.explode(F.array_distinct("hashes")).alias("hash"))
+    lines = rows.select("host", "text_hash", F.explode("hashes").alias("hash")).filter("hash is not null")
     counts = lines.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > floor)
     hosts = (
         rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
@@ -137,23 +127,28 @@ def frequent_lines(rows: DataFrame, floor: int = LINE_FLOOR, share: float = LINE
     return staged(over.select("host", "hash"), "quality-lines")
 
 
-def removed_words(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(row, removed): words in lines above the limit, rows without any left out."""
-    lines = rows.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("_")).select(
-        "row", "host", F.col("_.hashes").alias("hash"), "_.words"
+def removed_lines(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(row, removed words, places of removed lines) of the rows that lose any."""
+    lines = rows.select("row", "host", F.posexplode(F.arrays_zip("hashes", "words")).alias("place", "_")).select(
+        "row", "host", "place", F.col("_.hashes").alias("hash"), "_.words"
     )
     above = frequent.toDF("of", "above")
     hit = lines.join(above, (F.col("hash") == F.col("above")) & F.col("host").eqNullSafe(F.col("of")), "left_semi")
-    return hit.groupBy("row").agg(F.sum("words").alias("removed"))
+    return hit.groupBy("row").agg(F.sum("words").alias("removed"), F.collect_list("place").alias("places"))
 
 
 def judged(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    documents: DataFrame, keep: dict[str, str], text_col: str = "text", host_col: str = "source",
     floor: int = LINE_FLOOR, share: float = LINE_SHARE,
 ) -> DataFrame:
-    """Every row with its statistics, removed words, base_failed and kept."""
-    rows = measured(documents, id_col, text_col, host_col)
-    lost = removed_words(rows, frequent_lines(rows, floor, share))
+    """Every row's columns ``keep`` (new name: name), statistics, base_failed, kept,
+    and the places of its lines above the limit (null if none)."""
+    rows = named(documents, **keep, _text=text_col, host=host_col).withColumn("_", statistics_of("_text"))
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("row"), *keep, "host", F.xxhash64("_text").alias("text_hash"), "_.*"
+    )
+    rows = staged(rows, "quality-statistics")
+    lost = removed_lines(rows, frequent_lines(rows, floor, share))
     removed = F.coalesce("removed", F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")
@@ -162,11 +157,73 @@ def judged(
     most = F.when(left < MIN_WORDS, F.lit(MAX_REMOVED_SHORT)).otherwise(F.lit(MAX_REMOVED))
     enough = removed <= F.col("n_words") * most
     return rows.join(lost, "row", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & enough).alias("kept"), removed.alias("n_removed_words"),
+        *keep, *COUNTS, failed.alias("base_failed"), (~failed & enough).alias("kept"),
+        removed.alias("n_removed_words"), "places",
+    )
+
+
+def cleaned(documents: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``documents`` without the rejected ones and without the lines above the limit.
+
+    A verdict depends on host and text, so it finds its rows by their hash; the
+    verdicts other than "keep as it is" are broadcast while there are at most
+    ``BROADCAST_VERDICTS``, counted first, and shuffled beyond that.
+    """
+    names = documents.columns
+    text, host = documents[f"`{text_col}`"], documents[f"`{host_col}`"]
+    rows = documents.select(
+        F.struct(*[documents[f"`{c}`"] for c in names]).alias("row"), text.alias("text"), host.alias("host"),
+        F.xxhash64(text, F.lit(1), host).alias("k1"), F.xxhash64(F.lit(2), text, F.lit(3), host).alias("k2"),
     )
+    verdicts = judged(rows, {"k1": "k1", "k2": "k2"}, host_col="host")
+    verdicts = staged(
+        verdicts.filter(~F.col("kept") | F.col("places").isNotNull()).select("k1", "k2", "kept", "places")
+        .dropDuplicates(["k1", "k2"]),
+        "quality-verdicts",
+    )
+    if verdicts.count() <= BROADCAST_VERDICTS:
+        verdicts = F.broadcast(verdicts)
+    out = rows.join(verdicts, ["k1", "k2"], "left").filter(F.coalesce("kept", F.lit(True)))
+    lines = F.filter(F.split("text", "\n", -1), lambda _, place: ~F.array_contains("places", place))
+    shorter = F.when(F.col("places").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text"))
+    return out.select(*[shorter.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(table(spark, sf_dir, "documents"), {"doc_id": "doc_id"}).drop("places")
+
+
+# Lines are compared as normalised strings; a line's place in its document is kept.
+OP2_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT r, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w FROM doc),
+line AS (
+  SELECT r, source, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM doc),
+real AS (
+  SELECT r, source, text, line, i, len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) AS n,
+         trim(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '\d+', '0', 'g'), ' .,;:!?-*#|') AS norm
+  FROM line WHERE regexp_matches(line, '[^ 	-]')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY r),
+host AS (SELECT source, count(DISTINCT text) AS documents FROM doc GROUP BY source),
+frequent AS (
+  SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM real GROUP BY source, norm) JOIN host USING (source)
+  WHERE n > {LINE_FLOOR} AND n > documents * {LINE_SHARE}),
+lost AS (SELECT r, sum(n) AS removed FROM real JOIN frequent USING (source, norm) GROUP BY r),
+win AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + {WINDOW} - 1), ' ') AS win
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - {WINDOW} + 1)) AS i FROM word)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM win) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + {WINDOW} - 1)) AS p FROM twice) GROUP BY r),
+stat AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(removed, 0) AS BIGINT) AS n_removed_words
+  FROM doc JOIN word USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM stat)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_removed_words <= n_words * CASE WHEN n_words - n_removed_words < {MIN_WORDS}
+         THEN {MAX_REMOVED_SHORT} ELSE {MAX_REMOVED} END AS kept, n_removed_words
+FROM judged
+"""

@@ -10,7 +10,7 @@ from tallyframe.llm.decontam import OP4_SQL, op4_decontamination
 from tallyframe.llm.html_text import op10_html
 from tallyframe.llm.lm_scoring import OP8_SQL, op8_lm_scoring
 from tallyframe.llm.packing import op6_packing
-from tallyframe.llm.quality import op2_quality
+from tallyframe.llm.quality import OP2_SQL, op2_quality
 from tallyframe.llm.revisits import OP3_SQL, op3_revisits
 from tallyframe.llm.secrets import op5_secrets
 from tallyframe.llm.sharding import op1_sharding
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality": OP2_SQL,
     "op3_revisits": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op8_lm_scoring": OP8_SQL,

@@ -308,7 +308,9 @@ def near_duplicates(
     documents: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
     more: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Every row with its fingerprint and component: (doc_id, fp, component_id, *more)."""
+    """Every row with its fingerprint and component: (doc_id, fp, component_id, root, *more).
+
+    ``root`` names the component also where no member has an id."""
     if not 0 <= radius <= 7:
         raise ValueError("the counters hold distances up to 7")
 
@@ -323,7 +325,7 @@ def near_duplicates(
     linked = components(fingerprint_edges(nodes.select("fp"), radius)).toDF("fp", "root")
     member = nodes.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(member.join(first, "root").select("fp", "component_id"), "fp")
+    return rows.join(member.join(first, "root").select("fp", "component_id", "root"), "fp")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
