@@ -12,7 +12,7 @@ from tallyframe.llm.lm_scoring import OP8_SQL, op8_lm_scoring
 from tallyframe.llm.packing import op6_packing
 from tallyframe.llm.quality import OP2_SQL, op2_quality
 from tallyframe.llm.revisits import OP3_SQL, op3_revisits
-from tallyframe.llm.secrets import op5_secrets
+from tallyframe.llm.secrets import OP5_SQL, op5_secrets
 from tallyframe.llm.sharding import op1_sharding
 from tallyframe.llm.simhash import op9_simhash
 from tallyframe.llm.toxicity import op7_toxicity
@@ -34,5 +34,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality": OP2_SQL,
     "op3_revisits": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op5_secrets": OP5_SQL,
     "op8_lm_scoring": OP8_SQL,
 }

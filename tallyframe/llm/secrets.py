@@ -269,3 +269,38 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(spans).alias("spans"),
     )
+
+
+def oracle_sql() -> str:
+    """Every rule in full over every text, in DuckDB SQL (RE2 knows the same syntax)."""
+    quoted = [(rule, rule.regex.replace("'", "''")) for rule in RULES]
+    scans = " UNION ALL ".join(
+        f"SELECT r, {i} AS rule, '{rule.kind}' AS kind, {rule.least} AS least,"
+        f" regexp_split_to_array(text, '{regex}') AS gap, regexp_extract_all(text, '{regex}', 0) AS hit,"
+        f" regexp_extract_all(text, '{regex}', {rule.group}) AS checked FROM doc WHERE regexp_matches(text, '{regex}')"
+        for i, (rule, regex) in enumerate(quoted)
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}" for rule in BASE_RULES
+    )
+    return f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+scan AS ({scans}),
+each AS (
+  SELECT r, rule, kind, least, i, length(gap[i]) AS gap, length(hit[i]) AS hit, length(checked[i]) AS checked
+  FROM (SELECT *, unnest(generate_series(1, len(hit))) AS i FROM scan)),
+placed AS (SELECT *, sum(gap + hit) OVER (PARTITION BY r, rule ORDER BY i) AS stop FROM each),
+span AS (
+  SELECT r, rule, kind, stop - hit AS start, kind || ':' || CAST(stop - hit AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said
+  FROM placed WHERE checked >= least),
+found AS (
+  SELECT r, {counts}, string_agg(said, ',' ORDER BY start, rule) FILTER (rule < {len(BASE_RULES)}) AS base,
+         string_agg(said, ',' ORDER BY start, rule) AS spans
+  FROM span GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN found USING (r)
+"""
+
+
+OP5_SQL = oracle_sql()
