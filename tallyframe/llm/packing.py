@@ -27,6 +27,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,41 +47,68 @@ CACHED_WORDS = 400_000  # a worker's memo of words; it starts anew when full
 LONGEST_CACHED = 64  # characters
 
 
+def byte_signs() -> dict[int, str]:
+    """The vocabulary's sign for each byte: printable Latin-1 stands for itself,
+    the others follow from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [byte for byte in range(256) if byte not in printable]
+    return {byte: chr(256 + i) for i, byte in enumerate(others)}
+
+
 class WordEncoder:
     """Token ids of texts, packed as unsigned 32-bit little-endian integers.
 
     The vocabulary's pre-tokenizer never joins characters over a space or a
     line feed, so a text's ids are those of its space-separated words, which
-    are memoised.  Texts within Latin-1, where the normaliser changes case
-    only, are lower-cased first, so that more words are alike.
+    are memoised.  Texts within Latin-1, where the normaliser changes nothing
+    but the case, are lower-cased first; there a run of letters, with a full
+    stop or comma after it, needs no pre-tokenizer and goes to the model itself.
     """
 
+    SIGNS = byte_signs()
+
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-            if "<|" not in text:  # special tokens are matched before the case changes
-                text = text.lower()
-        except UnicodeEncodeError:
-            pass
+        plain = "<|" not in text  # special tokens are matched before the case changes
+        if plain and not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                plain = False
+        if plain:
+            text = text.lower()
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list(set(words))
-        found = {}
-        for word, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            found[word] = np.array(encoded.ids, "<u4").tobytes()
-        known.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST_CACHED)
-        return b"".join([known[w] if w in known else found[w] for w in words])
+        ids = list(map(known.get, words))
+        if None in ids:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            found = {word: b"" for word, old in zip(words, ids) if old is None}
+            for word in found:
+                found[word] = self.letters(word) if plain else self.any(word)
+            known.update((word, new) for word, new in found.items() if len(word) <= LONGEST_CACHED)
+            ids = [found[word] if old is None else old for word, old in zip(words, ids)]
+        return b"".join(ids)
+
+    def any(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, word: str) -> bytes:
+        core = word.rstrip(".,")
+        if not core.isalpha():
+            return self.any(word)
+        signs = core if core.isascii() else core.encode().decode("latin-1").translate(self.SIGNS)
+        ids = array("I", [token.id for token in self.model.tokenize(signs)]).tobytes()
+        return ids if len(core) == len(word) else ids + self.mark(word[len(core) :])
+
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.known:
+            self.known[marks] = self.any(marks)
+        return self.known[marks]
 
 
 _encoders: dict[str, WordEncoder] = {}  # one for each worker process and vocabulary
