@@ -36,25 +36,24 @@ from tallyframe.operators import (
     value_counts,
 )
 from tallyframe.plans.report import ticket_report
-from tallyframe.sources import cut_lineage, materialize, normalize_columns, read_records, register_stage
+from tallyframe.sources import StageFolder, normalize_columns, read_records, register_stage, reject_counts
 
 __version__ = "0.1.0"
 
 __all__ = [
     "SEASONS",
+    "StageFolder",
     "TIME_OF_DAY_BINS",
     "bucket_intervals",
     "bucket_members",
     "calendar_parts",
     "clock_parts",
     "crosstab_counts",
-    "cut_lineage",
     "distinct_count",
     "drop_sentinel",
     "fine_totals",
     "hour24",
     "in_year",
-    "materialize",
     "mode_of",
     "normalize_columns",
     "rate_schedule",
@@ -62,6 +61,7 @@ __all__ = [
     "recode_counts",
     "recode_sentinel",
     "register_stage",
+    "reject_counts",
     "revenue",
     "row_count",
     "rows_of_top_groups",

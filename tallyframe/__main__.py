@@ -5,7 +5,8 @@
         --out hdfs:///results/tickets-2017
 
 or ``python -m tallyframe ...`` for a local session.  Each answer goes to
-``<out>/<question>`` and is written by the executors; nothing is collected.
+``<out>/<question>`` and is written by the executors.  Values that do not
+parse are counted first, and the run fails if a column has no other.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tallyframe.plans.report import ticket_report  # noqa: E402
-from tallyframe.sources.records import read_records  # noqa: E402
+from tallyframe.sources.records import read_records, reject_counts  # noqa: E402
+from tallyframe.sources.stage import StageFolder  # noqa: E402
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -31,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--date-format", default=None, help="e.g. MM/dd/yyyy; ISO dates need none")
     parser.add_argument("--state-sentinel", default="99")
     parser.add_argument("--midnight", choices=("reference", "strict"), default="reference")
-    parser.add_argument("--no-stage", action="store_true", help="do not stage the year slice")
+    parser.add_argument("--stage", default=None, help="shared folder for intermediate tables; by default --out")
     parser.add_argument("--only", nargs="*", default=None, help="answer only these questions")
     parser.add_argument(
         "--split-mb",
@@ -44,21 +46,26 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tallyframe").getOrCreate()
     if args.split_mb:
         spark.conf.set("spark.sql.files.maxPartitionBytes", f"{args.split_mb}m")
-    tickets = read_records(spark, args.csv, date_format=args.date_format)
-    answers = ticket_report(
-        tickets,
-        year=args.year,
-        state_sentinel=args.state_sentinel,
-        midnight=args.midnight,
-        stage=not args.no_stage,
-    )
-    wanted = args.only or list(answers)
-    unknown = sorted(set(wanted) - set(answers))
-    if unknown:
-        parser.error(f"unknown questions: {unknown}")
-    for name in wanted:
-        answers[name].write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
-        print(f"wrote {name}")
+    counts = reject_counts(spark, args.csv, date_format=args.date_format)
+    for column, (given, rejected) in counts.items():
+        if rejected:
+            print(f"{column}: {rejected} of {given} values cannot be read", file=sys.stderr)
+    unread = [column for column, (given, rejected) in counts.items() if given and given == rejected]
+    if unread:
+        print(f"no value of {unread} can be read; is --date-format right?", file=sys.stderr)
+        return 2
+    tickets = read_records(spark, args.csv, date_format=args.date_format, check=False)
+    with StageFolder(spark, args.stage or args.out) as stage:
+        answers = ticket_report(
+            tickets, stage, year=args.year, state_sentinel=args.state_sentinel, midnight=args.midnight
+        )
+        wanted = args.only or list(answers)
+        unknown = sorted(set(wanted) - set(answers))
+        if unknown:
+            parser.error(f"unknown questions: {unknown}")
+        for name in wanted:
+            answers[name].write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
+            print(f"wrote {name}")
     return 0
 
 

@@ -24,7 +24,7 @@ from tallyframe.operators.fines import (
     revenue,
     schedule_means,
 )
-from tallyframe.operators.joins import bounded, keep_keys
+from tallyframe.operators.joins import keep_keys, null_safe_join
 from tallyframe.operators.lift import share_lift, spread
 from tallyframe.operators.recode import mode_from_counts, mode_of, recode_counts, recode_sentinel
 from tallyframe.operators.topk import (
@@ -42,7 +42,6 @@ __all__ = [
     "top_groups",
     "RATE_A",
     "RATE_B",
-    "bounded",
     "count_of",
     "counted_top_k_per_group",
     "crosstab_counts",
@@ -53,6 +52,7 @@ __all__ = [
     "keep_keys",
     "mode_of",
     "not_null_rows",
+    "null_safe_join",
     "null_count",
     "null_rows",
     "only_value",

@@ -67,14 +67,13 @@ def crosstab_counts(
     col_key: str,
     name: str = "n",
     only: DataFrame | None = None,
-    only_rows: int | None = None,
 ) -> DataFrame:
     """Counts per (row_key, col_key), sorted by row_key, col_key, count desc.
 
-    ``only`` restricts ``row_key`` to the values it holds (a semi join,
-    broadcast when ``only_rows`` bounds its size) before counting.
+    ``only`` restricts ``row_key`` to the values it holds (a semi join) before
+    counting.
     """
-    src = df if only is None else keep_keys(df, only, row_key, only_rows)
+    src = df if only is None else keep_keys(df, only, row_key)
     out = src.groupBy(row_key, col_key).agg(count_of().alias(name))
     return out.orderBy(
         F.col(row_key).asc_nulls_first(), F.col(col_key).asc_nulls_first(), F.col(name).desc()

@@ -3,8 +3,8 @@
 The schedule is a 99-row dimension table keyed by violation code.  It is
 joined to *per-code counts*, never to the facts: the sum of a per-row fine
 over a code's rows is its row count times the fine, so revenue needs one
-aggregate of the facts and a join of a few hundred rows.  The schedule's
-size is fixed, so it is broadcast.
+aggregate of the facts and a join of a few hundred rows.  The schedule is
+an inline table, so Spark knows its size and broadcasts it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.joins import bounded
+from tallyframe.operators.joins import keep_keys
 
 # Fixed values of the reference analysis: fine per violation code in dollars,
 # codes 1..99 in order, twenty per line.  Zone A is Manhattan at or below
@@ -58,21 +58,22 @@ def _sql_int(value: int | None) -> str:
     return "NULL" if value is None else str(int(value))
 
 
-def rate_schedule(spark: SparkSession, rows=None) -> tuple[DataFrame, int]:
-    """The schedule as a DataFrame, with its row count (the broadcast bound).
+def rate_schedule(spark: SparkSession, rows=None) -> DataFrame:
+    """The schedule as a DataFrame.
 
     Built as an inline ``VALUES`` table: a local relation whose exact size
-    the planner knows, broadcast without running a job to gather it.
+    the planner knows, broadcast without a hint and without running a job to
+    gather it.
     """
     data = schedule_rows() if rows is None else list(rows)
     if not data:
-        return spark.createDataFrame([], SCHEDULE_SCHEMA), 0
+        return spark.createDataFrame([], SCHEDULE_SCHEMA)
     values = ", ".join(f"({_sql_int(c)}, {_sql_int(a)}, {_sql_int(b)})" for c, a, b in data)
     cols = ", ".join(
         f"CAST({src} AS {field.dataType.simpleString().upper()}) AS {field.name}"
         for src, field in zip(("c", "a", "b"), SCHEDULE_SCHEMA.fields)
     )
-    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS schedule(c, a, b)"), len(data)
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS schedule(c, a, b)")
 
 
 def schedule_means(schedule: DataFrame) -> DataFrame:
@@ -89,9 +90,7 @@ def fine_totals(
     code_counts: DataFrame,
     schedule: DataFrame,
     zone: str,
-    schedule_rows_bound: int | None,
     codes: DataFrame | None = None,
-    codes_bound: int | None = None,
     code_col: str = "Violation_Code",
     count_col: str = "n",
     name: str = "Violation_Fine_Sum",
@@ -99,21 +98,21 @@ def fine_totals(
     """Fine total per code: ``SUM(fine)`` over each code's rows.
 
     ``codes`` limits the fines to the codes it holds (as a ``CASE`` list
-    would); every other code, and a code without a fine, gets NULL.
+    would) and is a top-k; every other code, and a code without a fine, gets
+    NULL.
     """
     if zone not in ZONES:
         raise ValueError(f"zone must be one of {ZONES}, got {zone!r}")
     rates = schedule.select(code_col, F.col(f"rate_{zone}").alias("_rate"))
     if codes is not None:
-        rates = rates.join(bounded(codes.select(code_col), codes_bound), code_col, "left_semi")
-    joined = code_counts.join(bounded(rates, schedule_rows_bound), code_col, "left")
+        rates = keep_keys(rates, codes, code_col, top=True)
+    joined = code_counts.join(rates, code_col, "left")
     return joined.select((F.col(count_col) * F.col("_rate")).alias(name), F.col(code_col))
 
 
 def revenue(
     code_counts: DataFrame,
     schedule: DataFrame,
-    schedule_rows_bound: int | None,
     code_col: str = "Violation_Code",
     count_col: str = "Frequency_of_Tickets",
     avg_col: str = "Average_Fine_PerTicket",
@@ -126,7 +125,7 @@ def revenue(
     fines = schedule.select(
         code_col, ((F.col("rate_a") + F.col("rate_b")) / F.lit(2)).alias(avg_col)
     )
-    joined = code_counts.join(bounded(fines, schedule_rows_bound), code_col, "left")
+    joined = code_counts.join(fines, code_col, "left")
     return joined.select(
         code_col,
         count_col,

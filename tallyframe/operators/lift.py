@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.operators.joins import keep_keys
+from tallyframe.operators.joins import null_safe_join
 
 
 def share_lift(
@@ -14,22 +14,25 @@ def share_lift(
     item: str,
     measure: str,
     groups: DataFrame | None = None,
-    groups_bound: int | None = None,
 ) -> DataFrame:
     """Share of each item within its group over its share overall.
 
     ``pair_counts`` holds one row per (group, item) with a count.  Group and
     item totals are aggregates of it, the grand total is a scalar subquery;
     they are joined back by key, which Spark broadcasts or shuffle-joins by
-    size.  ``groups`` limits the output (not the totals) to some groups.
+    size.  ``groups``, a top-k of distinct groups, limits the output (not the totals) to some
+    groups.  A NULL group or item is one like any other.
     """
     group_tot = pair_counts.groupBy(group).agg(F.sum(measure).alias("_group_total"))
     item_tot = pair_counts.groupBy(item).agg(F.sum(measure).alias("_item_total"))
     grand = pair_counts.agg(F.sum(measure).alias("_grand")).scalar()
-    rows = pair_counts if groups is None else keep_keys(pair_counts, groups, group, groups_bound)
+    rows = pair_counts
     if groups is not None:
-        group_tot = keep_keys(group_tot, groups, group, groups_bound)
-    shares = rows.join(group_tot, group).join(item_tot, item).select(
+        # An inner join with the unique keys; a semi join would be pushed below the
+        # aggregate that makes the pairs, which then could not be shared.
+        rows = null_safe_join(pair_counts, F.broadcast(groups.select(group)), group)
+    totals = null_safe_join(null_safe_join(rows, group_tot, group), item_tot, item)
+    shares = totals.select(
         group,
         item,
         measure,

@@ -47,11 +47,17 @@ def recode_sentinel(
 def mode_from_counts(
     counts: DataFrame, col: str, count_col: str, exclude: Sequence[object] = ()
 ) -> DataFrame:
-    """``mode_of`` computed from a per-value count table instead of the facts."""
-    kept = counts.filter(F.col(col).isNotNull())
+    """``mode_of`` computed from a per-value count table instead of the facts.
+
+    One aggregate without a filter: the smallest (-count, value) of the values
+    that qualify.  So it starts from the very plan that makes ``counts``, and
+    shares its exchange with whatever else reads ``counts``.
+    """
+    fits = F.col(col).isNotNull()
     for value in exclude:
-        kept = kept.filter(F.col(col) != literal_like(counts, col, value))
-    return kept.orderBy(F.col(count_col).desc(), F.col(col).asc()).limit(1).select(col)
+        fits = fits & (F.col(col) != literal_like(counts, col, value))
+    rank = F.struct((-F.col(count_col)).alias("rank"), F.col(col).alias("value"))
+    return counts.agg(F.min(F.when(fits, rank)).alias("first")).select(F.col("first.value").alias(col))
 
 
 def recode_counts(

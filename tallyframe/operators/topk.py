@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.counts import as_list, by_measure, count_of
 from tallyframe.operators.filters import literal_like
-from tallyframe.operators.joins import bounded
+from tallyframe.operators.joins import null_safe_join
 
 TIES = ("dense", "rank", "row")
 
@@ -95,13 +95,18 @@ def top_groups(
 ) -> DataFrame:
     """Top-k ``group`` values by the summed ``measure`` of an aggregated table.
 
-    With ``sentinel``, the sentinel and NULL groups are left out first (as
-    ``WHERE group <> sentinel``).
+    A NULL group counts like any other.  With ``sentinel``, the sentinel and
+    NULL groups are left out (as ``WHERE group <> sentinel``).  They are ranked
+    last and dropped after the cut: a filter before it would be pushed below
+    the aggregate that makes ``pairs``, whose exchange the caller's other
+    branches could then not share.
     """
     totals = pairs.groupBy(group).agg(F.sum(measure).alias(name))
-    if sentinel is not None:
-        totals = totals.filter(F.col(group) != literal_like(totals, group, sentinel))
-    return top_k(totals, name, group, k)
+    if sentinel is None:
+        return top_k(totals, name, group, k)
+    real = F.coalesce(F.col(group) != literal_like(totals, group, sentinel), F.lit(False))
+    ranked = totals.orderBy(real.desc(), *by_measure(name, [group])).limit(k)
+    return ranked.filter(real)
 
 
 def rows_of_top_groups(
@@ -111,36 +116,15 @@ def rows_of_top_groups(
     k: int,
     total_col: str,
     sentinel: object = None,
-    method: str = "window",
 ) -> DataFrame:
     """All rows of the k groups with the largest summed ``measure``.
 
-    Ties between group totals go to the smaller group key, as in
-    ``top_groups``.  One chain of windows over the aggregated table, so the
-    facts behind ``pairs`` are read once: the per-group total is a window
-    partitioned by group, then a global ``dense_rank`` over (total, group)
-    keeps k groups.  The optimizer puts a partial ``WindowGroupLimit``
-    before the single-partition exchange, so that last task receives at
-    most k groups per upstream partition, whatever the table's size.
-
-    Precondition: the per-group total gathers one group's *pairs* (not its
-    facts) in one task, so the items per group must come from a bounded
-    domain (violation codes, time bins), as in every question here.  A
-    hot group with a third of the facts still has at most that many pairs.
-    For unbounded items use ``method="join"``: the top groups come from an
-    aggregate of the totals (``top_groups``) and their k keys are broadcast
-    and joined back, so no task holds a whole group; ``pairs`` is then read
-    twice, so checkpoint it first (``sources.stage.cut_lineage``).
+    Group totals are an aggregate of ``pairs``, the top k of them a top-k, and
+    its k rows are broadcast and joined back, whatever k is.  Both branches
+    start from the same aggregated pairs, so the second one reuses the
+    first one's exchange and the facts are read once; no task gathers a group,
+    and no pairs are sorted.  Ties between totals go to the smaller key and a
+    NULL group is a group, as in ``top_groups``.
     """
-    if method == "join":
-        top = top_groups(pairs, group, measure, k, total_col, sentinel)
-        return pairs.join(bounded(top, k), group).select(*pairs.columns, total_col)
-    if method != "window":
-        raise ValueError(f"method must be 'window' or 'join', got {method!r}")
-    src = pairs
-    if sentinel is not None:
-        src = src.filter(F.col(group) != literal_like(src, group, sentinel))
-    with_total = src.withColumn(total_col, F.sum(measure).over(Window.partitionBy(group)))
-    order = Window.orderBy(F.col(total_col).desc_nulls_last(), F.col(group).asc_nulls_first())
-    ranked = with_total.withColumn("_group_rank", F.dense_rank().over(order))
-    return ranked.filter(F.col("_group_rank") <= F.lit(k)).drop("_group_rank")
+    top = top_groups(pairs, group, measure, k, total_col, sentinel)
+    return null_safe_join(pairs, F.broadcast(top), group).select(*pairs.columns, total_col)

@@ -2,7 +2,7 @@
 
 Each function takes ticket DataFrames (columns named as in
 ``sources.records.TICKET_COLUMNS``) and returns a lazy DataFrame whose
-column names match the reference's result tables.  Nothing is collected:
+column names match the reference's result tables.  No job runs while it is built.  Nothing is collected:
 values the reference read off the screen and typed back in (top precincts,
 top codes, the modal state) are computed and joined, so every answer stays
 one Spark plan.
@@ -35,7 +35,6 @@ from tallyframe.operators.topk import (
     top_k,
     top_k_per_group,
 )
-from tallyframe.sources.stage import cut_lineage
 
 STATE = "Registration_State"
 CODE = "Violation_Code"
@@ -81,20 +80,18 @@ def repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode")
 def repaired_state_counts(
     tickets: DataFrame, sentinel: object, replacement: object = "mode"
 ) -> DataFrame:
-    """Per-state ``COUNT(state)`` after the repair, from one pass over the facts.
-
-    The per-state counts are checkpointed; the mode and the re-keyed counts
-    are computed from them.
+    """Per-state ``COUNT(state)`` after the repair, from one pass over the facts:
+    the mode and the re-keyed counts share the exchange of the per-state counts.
     """
-    counts = cut_lineage(
-        tickets.groupBy(STATE).agg(F.count(F.col(STATE)).alias("Num_Of_Entries"))
-    )
+    counts = tickets.groupBy(STATE).agg(F.count(F.col(STATE)).alias("Num_Of_Entries"))
     return recode_counts(counts, STATE, ["Num_Of_Entries"], sentinel, replacement)
 
 
 def distinct_states_repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode") -> DataFrame:
-    """Q06: distinct states after the repair."""
-    return distinct_states(repaired_state_counts(tickets, sentinel, replacement))
+    """Q06: distinct states after the repair, as the states with entries: reading
+    the counts keeps the aggregate, whose exchange the mode shares."""
+    counts = repaired_state_counts(tickets, sentinel, replacement)
+    return counts.agg(F.count_if(F.col("Num_Of_Entries") > 0).alias("n_states"))
 
 
 def state_counts_repaired(tickets: DataFrame, sentinel: object, replacement: object = "mode") -> DataFrame:
@@ -157,10 +154,10 @@ def precinct_code_pairs(tickets: DataFrame) -> DataFrame:
 def busiest_precinct_code_mix(tickets: DataFrame, k: int = 5, sentinel: object = 0) -> DataFrame:
     """Q13 with the precinct computed: the k most frequent codes of the
     busiest issuer precinct (the reference typed it in after reading Q12)."""
-    return mix_of_busiest_precinct(precinct_code_pairs(tickets), k, sentinel)
+    return mix_of_busiest_precinct(precinct_code_pairs(drop_sentinel(tickets, ISSUER, sentinel)), k)
 
 
-def mix_of_busiest_precinct(pairs: DataFrame, k: int = 5, sentinel: object = 0) -> DataFrame:
+def mix_of_busiest_precinct(pairs: DataFrame, k: int = 5, sentinel: object = None) -> DataFrame:
     """Q13 from (precinct, code, ``Frequency_of_Tickets``) counts: one
     precinct is kept, so a plain top-k (no per-group window) finishes it."""
     one = rows_of_top_groups(pairs, ISSUER, "Frequency_of_Tickets", 1, "_precinct_total", sentinel)
@@ -173,17 +170,18 @@ def top_precincts_code_mix(
 ) -> DataFrame:
     """Q14: top-k codes in each of the top issuer precincts, stacked.
 
-    One pass over the facts: the (precinct, code) counts are ranked twice
-    by windows, first precincts by their summed counts (equal to
-    ``COUNT(Issuer_Precinct)`` of Q12), then codes within each kept
-    precinct.  ``Precinct_Issuers`` is the precinct's total; sorting by it
-    gives the reference's stacking order (busiest precinct first).
+    One pass over the facts: the (precinct, code) counts give the precincts'
+    totals (equal to ``COUNT(Issuer_Precinct)`` of Q12), whose top rows are
+    joined back to them; a window then ranks the codes of each kept precinct.
+    ``Precinct_Issuers`` is the precinct's total; sorting by it gives the
+    reference's stacking order (busiest precinct first).
     """
-    return mix_of_top_precincts(precinct_code_pairs(tickets), n_precincts, k, sentinel)
+    pairs = precinct_code_pairs(drop_sentinel(tickets, ISSUER, sentinel))
+    return mix_of_top_precincts(pairs, n_precincts, k)
 
 
 def mix_of_top_precincts(
-    pairs: DataFrame, n_precincts: int = 3, k: int = 5, sentinel: object = 0
+    pairs: DataFrame, n_precincts: int = 3, k: int = 5, sentinel: object = None
 ) -> DataFrame:
     """Q14 from (precinct, code, ``Frequency_of_Tickets``) counts."""
     mix = rows_of_top_groups(
@@ -318,7 +316,6 @@ def top_code_counts(tickets: DataFrame, k: int = 3) -> DataFrame:
 def zone_fine_totals(
     tickets: DataFrame,
     schedule: DataFrame,
-    schedule_bound: int | None,
     zone: str,
     k: int = 3,
 ) -> DataFrame:
@@ -328,30 +325,30 @@ def zone_fine_totals(
     carry a fine, other codes total NULL and sort last.
     """
     counts = value_counts(tickets, CODE, "n", order=False)
-    return zone_fines_from_counts(counts, schedule, schedule_bound, zone, k)
+    return zone_fines_from_counts(counts, schedule, zone, k)
 
 
 def zone_fines_from_counts(
-    counts: DataFrame, schedule: DataFrame, schedule_bound: int | None, zone: str, k: int = 3
+    counts: DataFrame, schedule: DataFrame, zone: str, k: int = 3
 ) -> DataFrame:
     """Q26 / Q27 from per-code ``COUNT(*)`` counts in column ``n``."""
     top = top_k(counts, "n", CODE, k)
-    fines = fine_totals(counts, schedule, zone, schedule_bound, codes=top, codes_bound=k)
+    fines = fine_totals(counts, schedule, zone, codes=top)
     return top_k(fines, "Violation_Fine_Sum", CODE, k)
 
 
 def top_code_revenue(
-    tickets: DataFrame, schedule: DataFrame, schedule_bound: int | None, k: int = 3
+    tickets: DataFrame, schedule: DataFrame, k: int = 3
 ) -> DataFrame:
     """Q29: count, average zone fine and total for the k most frequent codes."""
-    return revenue_of_top_codes(top_code_counts(tickets, k), schedule, schedule_bound)
+    return revenue_of_top_codes(top_code_counts(tickets, k), schedule)
 
 
 def revenue_of_top_codes(
-    top: DataFrame, schedule: DataFrame, schedule_bound: int | None
+    top: DataFrame, schedule: DataFrame,
 ) -> DataFrame:
     """Q29 from the top codes with their ``Frequency_of_Tickets``."""
-    out = revenue(top, schedule, schedule_bound)
+    out = revenue(top, schedule)
     return out.orderBy(F.col("Frequency_of_Tickets").desc(), CODE)
 
 
@@ -361,10 +358,10 @@ def best_revenue(revenues: DataFrame) -> DataFrame:
 
 
 def top_revenue_code(
-    tickets: DataFrame, schedule: DataFrame, schedule_bound: int | None, k: int = 3
+    tickets: DataFrame, schedule: DataFrame, k: int = 3
 ) -> DataFrame:
     """E5: of the k most frequent codes, the one with the largest total."""
-    return best_revenue(top_code_revenue(tickets, schedule, schedule_bound, k))
+    return best_revenue(top_code_revenue(tickets, schedule, k))
 
 
 # -- questions asked in comments ------------------------------------------
@@ -381,14 +378,14 @@ def precinct_code_lift(tickets: DataFrame, n_precincts: int = 3, sentinel: objec
     """E4: share of each code in each top precinct over its share overall.
 
     Group, item and grand totals are all read off the (precinct, code)
-    counts, which are checkpointed so the facts are read once.
+    counts and share their exchange, so the facts are read once.
     """
-    return lift_of_top_precincts(cut_lineage(precinct_code_pairs(tickets)), n_precincts, sentinel)
+    return lift_of_top_precincts(precinct_code_pairs(tickets), n_precincts, sentinel)
 
 
 def lift_of_top_precincts(pairs: DataFrame, n_precincts: int = 3, sentinel: object = 0) -> DataFrame:
     """E4 from (precinct, code, ``Frequency_of_Tickets``) counts of all tickets."""
     top = top_groups(pairs, ISSUER, "Frequency_of_Tickets", n_precincts, "_precinct_total", sentinel)
     return share_lift(
-        pairs, ISSUER, CODE, "Frequency_of_Tickets", groups=top, groups_bound=n_precincts
+        pairs, ISSUER, CODE, "Frequency_of_Tickets", groups=top
     )

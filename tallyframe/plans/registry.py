@@ -1,6 +1,6 @@
 """Every question, run on the fixture tables.
 
-``QUERIES[name](spark, sf_dir)`` returns the lazy result DataFrame; the
+``QUERIES[name](spark, sf_dir)`` returns the result DataFrame without running a job; the
 fixture-to-ticket mapping lives in ``sources.testdata``.  Every query reads
 whole tables (the year slices are the reference's own filters).
 """
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyframe.operators.fines import rate_schedule
 from tallyframe.plans import questions as q
 from tallyframe.sources import testdata as td
+from tallyframe.sources.records import normalize_columns, register_stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,12 +33,24 @@ def _seasons(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_schedule(fn):
     def run(spark: SparkSession, sf: str, *args) -> DataFrame:
-        schedule, bound = rate_schedule(spark)
-        return fn(_tk(spark, sf), schedule, bound, *args)
+        return fn(_tk(spark, sf), rate_schedule(spark), *args)
 
     return run
 
 
+def _seasons_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship question as SQL text over a named stage (names in any case)."""
+    register_stage(_seasons(spark, sf), "season_tickets")
+    return spark.sql(
+        """WITH placed AS (
+             SELECT SEASONALITY, violation_code, count(*) AS ticket_count,
+                    dense_rank() OVER (PARTITION BY seasonality ORDER BY count(*) DESC) AS place
+             FROM season_tickets
+             GROUP BY seasonality, violation_code)
+           SELECT Seasonality, Violation_Code, ticket_count FROM placed WHERE place BETWEEN 1 AND 3"""
+    )
+
+
 QUERIES: dict[str, Query] = {
     "q01_rows_in_file": lambda s, d: q.rows(td.order_tickets(s, d)),
     "q02_rows_in_year": lambda s, d: q.rows_in_year(td.order_tickets(s, d), td.ORDERS_YEAR),
@@ -92,6 +105,16 @@ QUERIES: dict[str, Query] = {
     ),
     "e4_precinct_code_lift": lambda s, d: q.precinct_code_lift(_tk(s, d), 3, td.PRECINCT_SENTINEL),
     "e5_top_revenue_code": lambda s, d: _with_schedule(q.top_revenue_code)(s, d, 3),
+    "p1_cleaned_header_counts": lambda s, d: q.state_counts(
+        normalize_columns(td.order_tickets(s, d).toDF("Summons, Number", "Issue Date", "Registration State", "Violation,_Code"))
+    ),
+    "p5_repaired_rows": lambda s, d: q.repaired(td.order_tickets(s, d), td.STATE_SENTINEL).select(
+        "Summons_Number", "Registration_State"
+    ),
+    "s3_season_codes_sql": _seasons_in_sql,
+    "f4_literal_precinct_mix": lambda s, d: q.precinct_code_mix(_tk(s, d), 19, 5),
+    "f5_numeric_sentinel_rows": lambda s, d: q.sentinel_rows(td.coded_tickets(s, d), 42),
+    "q23_season_parts": lambda s, d: q.season_top_codes(q.seasons(td.lineitem_tickets(s, d)), 3),
 }
 
 FLAGSHIP = "q23_season_top_codes"

@@ -3,19 +3,17 @@
 ``ticket_report`` answers every question of the reference on a table with
 the ticket columns (``sources.records.TICKET_COLUMNS``), e.g. the result of
 ``read_records`` on the yearly CSV.  The year slice is written once as
-Parquet in the shared checkpoint folder (``stage=True``): the questions then
-read compact, typed, column-pruned files instead of re-parsing the CSV once
-per question, and a lost executor re-reads Parquet rather than the source.
-
-With ``shared_scan=True`` (default) every aggregate answer comes from one
-count cube: a single ``GROUPING SETS`` aggregate over the slice (one scan,
-one ``Expand`` feeding one partial aggregate, one shuffle) that holds the
-ticket count of every key of seven groupings.  The cube is checkpointed
-and the answers are read off it with the same operators, so the whole
-report reads the slice once instead of once per question.  Only the
-row-level answers (Q16, Q17, Q20, Q21) read the slice again.
-
-All answers are lazy DataFrames; nothing is collected.
+Parquet in a ``StageFolder``, a shared folder that the caller names and that
+is deleted afterwards: the answers then read compact, typed, column-pruned
+files instead of re-parsing the CSV once per question.
+
+Every aggregate answer comes from one count cube: a single ``GROUPING SETS``
+aggregate over the slice (one scan, one ``Expand`` feeding one partial
+aggregate, one shuffle) that holds the ticket count of every key of seven
+groupings.  The cube is staged too, and the answers are read off it with the
+same operators, so the whole report reads the slice once instead of once per
+question.  Only the row-level answers (Q16, Q17, Q20, Q21) read the slice
+again.  Nothing is collected but the number of source rows.
 """
 
 from __future__ import annotations
@@ -32,7 +30,7 @@ from tallyframe.operators.lift import spread
 from tallyframe.operators.recode import recode_counts
 from tallyframe.operators.topk import top_k
 from tallyframe.plans import questions as q
-from tallyframe.sources.stage import cut_lineage, materialize
+from tallyframe.sources.stage import StageFolder
 
 STATE, CODE, ISSUER, BIN, SEASON = q.STATE, q.CODE, q.ISSUER, q.BIN, q.SEASON
 MAKE, BODY, VPRECINCT = "Vehicle_Make", "Vehicle_Body_Type", "Violation_Precinct"
@@ -62,13 +60,14 @@ SLICE_COLUMNS = (
 )
 
 
-def year_slice(tickets: DataFrame, year: int, stage: bool = True) -> DataFrame:
-    """The tickets of one calendar year, staged as Parquet when ``stage``."""
-    sliced = in_year(tickets, "Issue_Date", year).select(*SLICE_COLUMNS)
-    return materialize(sliced, f"tickets-{year}") if stage else sliced
+def year_slice(tickets: DataFrame, year: int) -> DataFrame:
+    """The tickets of one calendar year."""
+    return in_year(tickets, "Issue_Date", year).select(*SLICE_COLUMNS)
 
 
-def stage_year_counting_source(tickets: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
+def stage_year_counting_source(
+    tickets: DataFrame, year: int, stage: StageFolder
+) -> tuple[DataFrame, DataFrame]:
     """Stage the year slice and count every source row in the same pass.
 
     The count is an ``Observation`` on the source rows, collected as the
@@ -79,95 +78,47 @@ def stage_year_counting_source(tickets: DataFrame, year: int) -> tuple[DataFrame
     """
     seen = Observation("tallyframe_source_rows")
     observed = tickets.observe(seen, F.count(F.lit(1)).alias("n"))
-    staged = year_slice(observed, year, stage=True)
-    rows = seen.get["n"]
-    return staged, tickets.sparkSession.createDataFrame([(rows,)], "n BIGINT")
+    staged = stage.write(year_slice(observed, year), f"tickets-{year}")
+    return staged, tickets.sparkSession.createDataFrame([(seen.get["n"],)], "n BIGINT")
 
 
 def ticket_report(
     tickets: DataFrame,
+    stage: StageFolder,
     year: int = 2017,
     state_sentinel: object = "99",
     state_replacement: object = "mode",
     precinct_sentinel: object = 0,
     precinct: object | None = None,
     midnight: str = "reference",
-    stage: bool = True,
-    shared_scan: bool = True,
     count_source_while_staging: bool = True,
 ) -> dict[str, DataFrame]:
     """Every answer of the analysis, keyed by question.
 
-    ``precinct`` is the single precinct of Q13; by default the busiest
-    issuer precinct is used (the reference typed in 19 after reading Q12).
-    ``count_source_while_staging`` counts the source rows (Q01) during the
-    staging pass; turn it off for a date-partitioned columnar source, whose
+    The answers read the slice and the cube in ``stage``, so write them before
+    it is deleted.  ``precinct`` is the single precinct of Q13; by default the
+    busiest issuer precinct is used (the reference typed in 19 after reading
+    Q12).  ``count_source_while_staging`` counts the source rows (Q01) during
+    the staging pass; turn it off for a date-partitioned columnar source, whose
     year filter prunes files, and Q01 then reads the source on its own.
     """
-    if stage and count_source_while_staging:
-        t, source_rows = stage_year_counting_source(tickets, year)
+    if count_source_while_staging:
+        t, source_rows = stage_year_counting_source(tickets, year, stage)
     else:
-        t, source_rows = year_slice(tickets, year, stage), q.rows(tickets)
-    if shared_scan:
-        repaired = q.repaired(t, state_sentinel, state_replacement)
-        cube = count_cube(t, midnight)
-        answers = cube_answers(
-            t, cube, state_sentinel, state_replacement, precinct_sentinel, precinct
-        )
-        binned = q.time_bins(repaired, midnight)
-        answers.update(
-            {
-                "q01_rows_in_file": source_rows,
-                "q16_parsed_times": q.parsed_times(repaired, midnight),
-                "q17_time_bins": binned,
-                "q20_calendar_parts": q.with_calendar(repaired),
-                "q21_seasons": q.seasons(repaired),
-            }
-        )
-        return {name: answers[name] for name in sorted(answers)}
+        t, source_rows = stage.write(year_slice(tickets, year), f"tickets-{year}"), q.rows(tickets)
     repaired = q.repaired(t, state_sentinel, state_replacement)
-    binned = q.time_bins(repaired, midnight)
-    seasoned = q.seasons(repaired)
-    schedule, bound = rate_schedule(t.sparkSession)
-    if precinct is None:
-        one = q.busiest_precinct_code_mix(repaired, 5, precinct_sentinel)
-    else:
-        one = q.precinct_code_mix(repaired, precinct, 5)
-    return {
-        "q01_rows_in_file": source_rows,
-        "q02_rows_in_year": q.rows(t),
-        "q03_distinct_states": q.distinct_states(t),
-        "q04_state_counts": q.state_counts(t),
-        "q05_sentinel_rows": q.sentinel_rows(t, state_sentinel),
-        "q06_distinct_states_repaired": q.distinct_states_repaired(t, state_sentinel, state_replacement),
-        "q07_state_counts_repaired": q.state_counts_repaired(t, state_sentinel, state_replacement),
-        "q08_top_codes": q.top_codes(repaired, 5),
-        "q09_top_makes": q.top_makes(repaired, 5),
-        "q10_top_body_types": q.top_body_types(repaired, 5),
-        "q11_top_violation_precincts": q.top_violation_precincts(repaired, 6, precinct_sentinel),
-        "q12_top_issuer_precincts": q.top_issuer_precincts(repaired, 5, precinct_sentinel),
-        "q13_precinct_code_mix": one,
-        "q14_top_precincts_code_mix": q.top_precincts_code_mix(repaired, 3, 5, precinct_sentinel),
-        "q15_missing_times": q.missing_times(repaired),
-        "q16_parsed_times": q.parsed_times(repaired, midnight),
-        "q17_time_bins": binned,
-        "q18_code_frequency": q.code_frequency(binned),
-        "q19_top_codes_by_bin": q.top_codes_by_bin(binned, 3),
-        "q20_calendar_parts": q.with_calendar(repaired),
-        "q21_seasons": seasoned,
-        "q22_season_counts": q.season_counts(seasoned),
-        "q23_season_top_codes": q.season_top_codes(seasoned, 3),
-        "q24_top_codes_overall": q.top_code_counts(repaired, 3),
-        "q26_zone_a_fines": q.zone_fine_totals(repaired, schedule, bound, "a", 3),
-        "q27_zone_b_fines": q.zone_fine_totals(repaired, schedule, bound, "b", 3),
-        "q28_code_frequency_top3": q.top_code_counts(repaired, 3),
-        "q29_top_code_revenue": q.top_code_revenue(repaired, schedule, bound, 3),
-        "e1_bin_top_codes": q.bin_top_codes(binned, 3),
-        "e2_top_codes_peak_bin": q.top_codes_peak_bin(binned, 3),
-        "e3_codes_across_precincts": q.codes_across_precincts(repaired, 3, 5, precinct_sentinel),
-        "e4_precinct_code_lift": q.precinct_code_lift(repaired, 3, precinct_sentinel),
-        "e5_top_revenue_code": q.top_revenue_code(repaired, schedule, bound, 3),
-    }
+    cube = stage.write(cube_plan(t, midnight), "cube")
+    answers = cube_answers(t, cube, state_sentinel, state_replacement, precinct_sentinel, precinct)
+    answers.update(
+        {
+            "q01_rows_in_file": source_rows,
+            "q16_parsed_times": q.parsed_times(repaired, midnight),
+            "q17_time_bins": q.time_bins(repaired, midnight),
+            "q20_calendar_parts": q.with_calendar(repaired),
+            "q21_seasons": q.seasons(repaired),
+        }
+    )
+    return {name: answers[name] for name in sorted(answers)}
 
 
 def _set_id(keys: tuple[str, ...]) -> int:
@@ -192,11 +143,6 @@ def cube_plan(t: DataFrame, midnight: str = "reference") -> DataFrame:
     )
 
 
-def count_cube(t: DataFrame, midnight: str = "reference") -> DataFrame:
-    """``cube_plan``, checkpointed: the answers read it, not the slice."""
-    return cut_lineage(cube_plan(t, midnight))
-
-
 def cube_counts(cube: DataFrame, grouping: str, name: str) -> DataFrame:
     """One grouping of the cube: its keys and the ticket count as ``name``."""
     keys = CUBE_SETS[grouping]
@@ -227,7 +173,7 @@ def cube_answers(
     """Every aggregate answer read off the count cube (same operators as
     the per-question plans, applied to counts instead of facts)."""
     spark = t.sparkSession
-    schedule, bound = rate_schedule(spark)
+    schedule = rate_schedule(spark)
     state = _count_of_key(cube_counts(cube, "state", "Num_Of_Entries"), STATE, "Num_Of_Entries")
     pairs = cube_counts(cube, "precinct_code", "Frequency_of_Tickets")
     codes = _summed(pairs, CODE, "Frequency_of_Tickets", "Frequency_of_Tickets")
@@ -250,7 +196,7 @@ def cube_answers(
         )
     mix = q.mix_of_top_precincts(pairs, 3, 5, precinct_sentinel)
     top3 = top_k(codes, "Frequency_of_Tickets", CODE, 3)
-    revenues = q.revenue_of_top_codes(top3, schedule, bound)
+    revenues = q.revenue_of_top_codes(top3, schedule)
     code_n = codes.withColumnRenamed("Frequency_of_Tickets", "n")
     return {
         "q02_rows_in_year": _total(pairs, "Frequency_of_Tickets", "n"),
@@ -293,8 +239,8 @@ def cube_answers(
         ),
         "q23_season_top_codes": q.top_codes_per_season(seasonal, 3),
         "q24_top_codes_overall": top3,
-        "q26_zone_a_fines": q.zone_fines_from_counts(code_n, schedule, bound, "a", 3),
-        "q27_zone_b_fines": q.zone_fines_from_counts(code_n, schedule, bound, "b", 3),
+        "q26_zone_a_fines": q.zone_fines_from_counts(code_n, schedule, "a", 3),
+        "q27_zone_b_fines": q.zone_fines_from_counts(code_n, schedule, "b", 3),
         "q28_code_frequency_top3": top3,
         "q29_top_code_revenue": revenues,
         "e1_bin_top_codes": q.top_codes_per_bin(timed, 3),

@@ -9,7 +9,6 @@ time zone, turns on adaptive execution and keeps the web UI off.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,7 +19,6 @@ SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
 }
 
 
@@ -30,12 +28,7 @@ def local_session(
     app_name: str = "tallyframe",
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A local session for tests and benchmarks.
-
-    A checkpoint folder is only chosen here when none is configured, and
-    only because this is a single-machine session; on a cluster
-    ``spark.checkpoint.dir`` names the shared folder.
-    """
+    """A local session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
@@ -48,35 +41,4 @@ def local_session(
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_local_checkpoint_dir(spark)
     return spark
-
-
-def ensure_local_checkpoint_dir(spark: SparkSession) -> None:
-    """Give a *local-mode* session a checkpoint folder when it has none.
-
-    On a cluster the folder must be shared by all executors, so nothing is
-    chosen there: ``spark.checkpoint.dir`` is the cluster's to set.
-    """
-    if checkpoint_dir(spark) is not None:
-        return
-    try:
-        master = spark.sparkContext.master
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
-        return
-    if master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-ckpt-", dir="/tmp"))
-
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir``, if any."""
-    try:
-        value = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001 - some deployments reject unknown keys
-        value = None
-    if value:
-        return value
-    try:
-        return spark.sparkContext.getCheckpointDir()
-    except Exception:  # noqa: BLE001 - no SparkContext (e.g. Spark Connect)
-        return None

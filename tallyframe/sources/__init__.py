@@ -6,15 +6,16 @@ from tallyframe.sources.records import (
     normalize_columns,
     read_records,
     register_stage,
+    reject_counts,
 )
-from tallyframe.sources.stage import cut_lineage, materialize
+from tallyframe.sources.stage import StageFolder
 
 __all__ = [
+    "StageFolder",
     "TICKET_COLUMNS",
     "clean_name",
-    "cut_lineage",
-    "materialize",
     "normalize_columns",
     "read_records",
     "register_stage",
+    "reject_counts",
 ]

@@ -56,18 +56,8 @@ def typed_column(name: str, dtype: T.DataType, date_format: str | None) -> F.Col
     return F.col(name).try_cast(dtype)
 
 
-def read_records(
-    spark: SparkSession,
-    path: str,
-    columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
-    date_format: str | None = None,
-    sep: str = ",",
-) -> DataFrame:
-    """CSV with a header row -> DataFrame of the cleaned, typed ``columns``.
-
-    ``date_format`` (e.g. ``MM/dd/yyyy``) parses date columns; without it
-    ISO dates are cast.  Text that does not parse becomes NULL.
-    """
+def raw_records(spark: SparkSession, path: str, columns: Mapping[str, T.DataType], sep: str) -> DataFrame:
+    """The file's ``columns`` as text under their cleaned names."""
     raw = (
         spark.read.option("header", "true")
         .option("inferSchema", "false")
@@ -79,9 +69,58 @@ def read_records(
     missing = [c for c in columns if c not in named.columns]
     if missing:
         raise ValueError(f"columns not in the file header: {missing}")
-    return named.select(
-        *[typed_column(c, t, date_format).alias(c) for c, t in columns.items()]
-    )
+    return named.select(*columns)
+
+
+def reject_counts(
+    spark: SparkSession,
+    path: str,
+    columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
+    date_format: str | None = None,
+    sep: str = ",",
+) -> dict[str, tuple[int, int]]:
+    """(values, rejected values) of each typed column, from one pass over the file.
+
+    A value is text that is not empty; it is rejected if it does not parse.
+    """
+    raw = raw_records(spark, path, columns, sep)
+    typed = {c: t for c, t in columns.items() if not isinstance(t, T.StringType)}
+    if not typed:
+        return {}
+    counts = []
+    for c, t in typed.items():
+        given = F.trim(F.col(c)) != F.lit("")
+        counts.append(F.count_if(given).alias(f"given {c}"))
+        counts.append(F.count_if(given & typed_column(c, t, date_format).isNull()).alias(f"rejected {c}"))
+    row = raw.agg(*counts).first()
+    return {c: (row[f"given {c}"], row[f"rejected {c}"]) for c in typed}
+
+
+def read_records(
+    spark: SparkSession,
+    path: str,
+    columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
+    date_format: str | None = None,
+    sep: str = ",",
+    check: bool = True,
+) -> DataFrame:
+    """CSV with a header row -> DataFrame of the cleaned, typed ``columns``.
+
+    ``date_format`` (e.g. ``MM/dd/yyyy``) parses date columns; without it
+    ISO dates are cast.  Text that does not parse becomes NULL, so with
+    ``check`` the values are first counted in one pass (``reject_counts``),
+    and a typed column that holds values of which none parses is an error.
+    """
+    raw = raw_records(spark, path, columns, sep)
+    if check:
+        counts = reject_counts(spark, path, columns, date_format, sep)
+        lost = [c for c, (given, rejected) in counts.items() if given and given == rejected]
+        if lost:
+            raise ValueError(
+                f"no value of {lost} can be read as {[columns[c].simpleString() for c in lost]}"
+                f" (date_format={date_format!r})"
+            )
+    return raw.select(*[typed_column(c, t, date_format).alias(c) for c, t in columns.items()])
 
 
 def register_stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,58 +1,44 @@
-"""Materialising a stage in the shared checkpoint folder.
-
-``cut_lineage`` is for small aggregates that several branches of one
-answer read (pair counts, per-key counts): a reliable ``checkpoint`` in
-``spark.checkpoint.dir`` runs the one pass over the facts, and every branch
-then reads the checkpointed rows.  Without it Catalyst pushes each branch's
-filters below the aggregate, the branches stop being identical, exchange
-reuse does not apply and the facts are scanned once per branch.
-
-Many questions over one slice would otherwise each re-read and re-parse the
-source.  ``materialize`` writes the slice once as Parquet under the folder
-named by ``spark.checkpoint.dir`` and returns a DataFrame that reads it back:
-later plans start from those files (lineage cut), so a lost executor costs a
-re-read of Parquet, not a re-run of the parse.
+"""Intermediate tables in a shared folder that the caller names.
+
+Many answers over one slice would otherwise each re-read and re-parse the
+source.  A ``StageFolder`` writes a table once as Parquet and reads it back:
+later plans start from those files, so a lost executor costs a re-read, not
+a re-run of the parse.  Leaving the folder's ``with`` block deletes it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.session import checkpoint_dir
 
+class StageFolder:
+    """A new folder under ``root`` (shared by driver and executors) for one run.
 
-def stage_path(df: DataFrame, name: str) -> str:
-    root = checkpoint_dir(df.sparkSession)
-    if not root:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; name a folder shared by all executors"
-        )
-    return f"{root.rstrip('/')}/tallyframe/{name}-{uuid.uuid4().hex}"
+    ``root`` defaults to ``spark.checkpoint.dir``; without either there is no
+    folder that all executors see, and none is made up.
+    """
 
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        root = root or spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            raise ValueError("name a folder that all executors share, or set spark.checkpoint.dir")
+        self.spark = spark
+        self.path = f"{root.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
 
-def materialize(
-    df: DataFrame,
-    name: str,
-    partition_by: Sequence[str] = (),
-) -> DataFrame:
-    """Write ``df`` to a fresh folder under the checkpoint root; read it back."""
-    path = stage_path(df, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written to the folder and read back."""
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def delete(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint ``df`` into the shared checkpoint folder.
+    def __enter__(self) -> StageFolder:
+        return self
 
-    With no folder configured the plan is returned unchanged: still
-    correct, but each branch that reads it recomputes it.
-    """
-    if not checkpoint_dir(df.sparkSession):
-        return df
-    return df.checkpoint(eager=True)
+    def __exit__(self, *_: object) -> None:
+        self.delete()

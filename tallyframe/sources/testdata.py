@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.operators.filters import in_year
 
@@ -22,19 +21,8 @@ PRECINCT_SENTINEL = 0              # erroneous precinct, as in the reference
 MISSING_MARK = "error"             # events of this type lack body type and time
 
 
-# Parquet schema of each fixture file, read from its footer on first use and
-# reused afterwards, so later reads skip the footer (exact types, no guess).
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def clock_text(ts: str) -> F.Column:
@@ -90,3 +78,18 @@ def customer_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``part.p_brand`` plays the vehicle make."""
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("Vehicle_Make"))
+
+
+def coded_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events.props.k`` as text plays the state: numbers in a string column."""
+    k = F.get_json_object(F.col("props"), "$.k")
+    return table(spark, sf_dir, "events").select(k.alias("Registration_State"))
+
+
+def lineitem_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` as tickets: the part plays the code (many of them, with ties)."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("Summons_Number"),
+        F.col("l_shipdate").alias("Issue_Date"),
+        F.col("l_partkey").alias("Violation_Code"),
+    )

@@ -6,7 +6,7 @@ import os
 import tempfile
 
 from tallyframe.plans.report import ticket_report
-from tallyframe.sources import read_records
+from tallyframe.sources import StageFolder, read_records
 
 HEADER = ("Summons Number,Registration State,Issue Date,Violation Code,Vehicle Body Type,"
           "Vehicle Make,Violation Precinct,Issuer Precinct,Violation Time")
@@ -28,7 +28,7 @@ def test_report_on_csv(spark):
     path = os.path.join(folder, "t.csv")
     with open(path, "w") as fh:
         fh.write(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
-    out = ticket_report(read_records(spark, path), year=2017)
+    out = ticket_report(read_records(spark, path), StageFolder(spark, folder), year=2017)
     assert out["q01_rows_in_file"].first().n == 8
     assert out["q02_rows_in_year"].first().n == 7
     assert out["q05_sentinel_rows"].first().Num_Of_Entries == 1
@@ -65,10 +65,10 @@ def test_command_line_writes_answers(spark, tmp_path):
     assert spark.read.parquet(str(out / "q22_season_counts")).count() == 4
 
 
-def test_report_unstaged_with_given_precinct(spark, tmp_path):
+def test_report_with_given_precinct(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
-    out = ticket_report(read_records(spark, str(path)), year=2017, precinct=14, stage=False)
+    out = ticket_report(read_records(spark, str(path)), StageFolder(spark, str(tmp_path)), year=2017, precinct=14)
     assert [tuple(r) for r in out["q13_precinct_code_mix"].collect()] == [(36, 2, 14)]
     assert out["q02_rows_in_year"].first().n == 7
 
@@ -77,7 +77,17 @@ def test_source_count_with_and_without_observation(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text(HEADER + "\n" + "\n".join(",".join(map(str, r)) for r in ROWS) + "\n")
     tickets = read_records(spark, str(path))
-    observed = ticket_report(tickets, year=2017)["q01_rows_in_file"]
-    separate = ticket_report(tickets, year=2017, count_source_while_staging=False)["q01_rows_in_file"]
+    observed = ticket_report(tickets, StageFolder(spark, str(tmp_path)), year=2017)["q01_rows_in_file"]
+    separate = ticket_report(tickets, StageFolder(spark, str(tmp_path)), year=2017, count_source_while_staging=False)["q01_rows_in_file"]
     assert observed.collect() == separate.collect() == [(8,)]
     assert observed.schema == separate.schema or observed.columns == separate.columns == ["n"]
+
+
+def test_command_line_fails_on_dates_that_do_not_parse(spark, tmp_path, capsys):
+    from tallyframe.__main__ import main
+
+    path = tmp_path / "t.csv"
+    path.write_text(HEADER + "\n" + "1,NY,06/14/2017,21,SUBN,FORD,19,19,0143A\n")
+    assert main(["--csv", str(path), "--out", str(tmp_path / "out")]) != 0
+    assert "Issue_Date" in capsys.readouterr().err
+    assert not (tmp_path / "out").exists()

@@ -11,16 +11,15 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.calendar import calendar_parts
 from tallyframe.operators import in_year
-from tallyframe.plans.checks import pushed_filters
+from tools.plan_checks import pushed_filters
 from tallyframe.sources import (
     TICKET_COLUMNS,
-    cut_lineage,
-    materialize,
+    StageFolder,
     normalize_columns,
     read_records,
     register_stage,
+    reject_counts,
 )
-from tallyframe.session import checkpoint_dir
 
 HEADER = ("Summons Number,Plate ID,Registration State,Issue Date,Violation Code,"
           "Vehicle Body Type,Vehicle Make,Violation Precinct,Issuer Precinct,Violation Time")
@@ -93,22 +92,26 @@ def test_register_stage(spark):
     assert spark.sql("SELECT SUM(x) AS s FROM tallyframe_stage_test").first().s == 3
 
 
-def test_materialize_and_cut_lineage_stay_in_checkpoint_dir(spark):
-    root = checkpoint_dir(spark)
-    assert root
+def test_stage_folder_writes_under_its_root_and_is_deleted(spark, tmp_path):
     df = spark.range(10).selectExpr("id % 3 AS k").groupBy("k").count()
-    staged = materialize(df, "unit")
-    assert root.rstrip("/").split(":")[-1] in staged.inputFiles()[0]
-    assert sorted(tuple(r) for r in staged.collect()) == sorted(tuple(r) for r in df.collect())
-    cut = cut_lineage(df)
-    assert sorted(tuple(r) for r in cut.collect()) == sorted(tuple(r) for r in df.collect())
-
-
-def test_materialize_partitioned(spark):
-    df = spark.range(20).selectExpr("id", "CAST(id % 4 AS INT) AS bucket")
-    staged = materialize(df, "parts", partition_by=["bucket"])
-    assert staged.filter("bucket = 2").count() == 5
-    assert sorted(r.id for r in staged.collect()) == list(range(20))
+    with StageFolder(spark, str(tmp_path)) as stage:
+        staged = stage.write(df, "unit")
+        assert str(tmp_path) in staged.inputFiles()[0]
+        assert sorted(tuple(r) for r in staged.collect()) == sorted(tuple(r) for r in df.collect())
+        assert os.listdir(tmp_path)
+    assert not [f for f in os.listdir(tmp_path) if not f.startswith(".")]
+
+
+def test_dates_in_another_format_are_an_error_that_names_the_column(spark, csv_path):
+    with pytest.raises(ValueError, match="Issue_Date"):
+        read_records(spark, csv_path)
+    assert read_records(spark, csv_path, check=False).filter("Issue_Date IS NULL").count() == 3
+
+
+def test_reject_counts_per_column(spark, csv_path):
+    counts = reject_counts(spark, csv_path, date_format="MM/dd/yyyy")
+    assert counts["Violation_Code"] == (3, 1) and counts["Issue_Date"] == (3, 0)
+    assert reject_counts(spark, csv_path)["Issue_Date"] == (3, 3)
 
 
 def test_in_year_on_zoned_timestamps_follows_session_zone(spark):

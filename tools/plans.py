@@ -13,7 +13,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
-from tallyframe.plans.checks import plan_text  # noqa: E402
+from tools.plan_checks import plan_text  # noqa: E402
 from tallyframe.session import local_session  # noqa: E402
 
 SHOWN = ("q23_season_top_codes", "q14_top_precincts_code_mix", "q26_zone_a_fines", "q07_state_counts_repaired")
@@ -51,10 +51,9 @@ def main() -> None:
         "",
         "Physical plans before execution (`tools/plans.py`, PySpark 4.1.2, local session, sf0.01).",
         "`scans` counts Parquet scans of the fixture tables in the plan.",
-        "0 means the question reads a checkpointed aggregate (Q06, Q07, E4): its one scan of the facts ran while the",
-        "question was built. q26/q27 list the counts branch twice; at run time adaptive execution serves the second",
-        "from the first (`ReusedExchange`), so the facts are read once. `tests/test_plans_and_entry.py::test_one_scan_of_the_facts`",
-        "checks single scans for the windowed questions.",
+        "Questions that read one aggregate in several branches list its scan once per branch; at run time adaptive",
+        "execution serves the later ones from the first (`ReusedExchange`), so the facts are read once, which",
+        "`tests/test_scale_shape.py` checks on the executed plans.",
         "",
         header,
         "| " + " | ".join("---" for _ in range(header.count("|") - 1)) + " |",
