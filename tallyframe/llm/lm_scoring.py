@@ -36,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, table
+from tallyframe.llm.common import named, staged, table
 from tallyframe.llm.decontam import folded
+from tallyframe.llm.sharding import size_class
 
 VOCABULARY = 65_536
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 STEP = 1_000_003  # of the bigrams' hash
 PRIOR = 10.0  # occurrences that the unigrams weigh in a bigram's estimate
 BROADCAST_IDS = 1_000_000
@@ -62,6 +63,22 @@ def word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield done()
 
 
+def most_frequent(counts: DataFrame, size: int) -> DataFrame:
+    """The ``size`` words of the largest counts, ties by the word.
+
+    Classes of counts, of which there are few, show from which class on there are
+    enough words; only those are ordered, not the first ``size`` of every task.
+    """
+    level = size_class(F.col("n"))
+    classes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}
+    enough, lowest = 0, 0
+    for lowest in sorted(classes, reverse=True):
+        enough += classes[lowest]
+        if enough >= size:
+            break
+    return counts.filter(level >= lowest).orderBy(F.col("n").desc(), "word").limit(size)
+
+
 def token_ids(text: str | None, vocabulary: dict[bytes, int]) -> np.ndarray:
     """Word numbers from 1 in the vocabulary, 0 for any other word."""
     words = folded(text)
@@ -97,9 +114,10 @@ def scored(
     spark = documents.sparkSession
     rows = named(documents, doc_id=id_col, text=text_col)
     counted = rows.select("text").mapInPandas(word_counts, "word binary, n long").groupBy("word")
-    common = counted.agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(vocabulary_size).collect()
-    sent_words = spark.sparkContext.broadcast({bytes(row["word"]): i for i, row in enumerate(common, 1)})
-    start = len(common) + 1  # the context of a first word; contexts follow the words, pairs come first
+    common = most_frequent(staged(counted.agg(F.sum("n").alias("n")), "lm-words"), vocabulary_size)
+    words = common.select("word").toArrow()["word"].to_pylist()  # at most vocabulary_size
+    sent_words = spark.sparkContext.broadcast({word: i for i, word in enumerate(words, 1)})
+    start = len(words) + 1  # the context of a first word; contexts follow the words, pairs come first
     size = start + 1
 
     ids = named(target_ids, doc_id="doc_id").dropna().distinct()
@@ -125,11 +143,11 @@ def scored(
         yield pd.DataFrame({"gram": seen, "n": total[:, seen].sum(0), "target": total[1, seen]})
 
     grams = flagged.mapInPandas(gram_counts, "gram long, n long, target long").groupBy("gram")
-    table_ = grams.agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toPandas()  # at most buckets + 2 * size
+    table_ = grams.agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()  # at most buckets + 2 * size
 
     def model(column: str) -> Model:
         counts = np.zeros(buckets + 2 * size)
-        counts[table_["gram"].to_numpy("i8")] = table_[column].to_numpy("f8")
+        counts[table_["gram"].to_numpy()] = table_[column].to_numpy()
         return Model(counts[buckets : buckets + start], counts[buckets + size :], counts[:buckets])
 
     sent_models = spark.sparkContext.broadcast((model("target"), model("n")))
