@@ -36,7 +36,10 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import named, table
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*+>)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",  # with a quote that does not end
+    re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
@@ -116,7 +119,7 @@ def parsed(html: str) -> Element:
         if found is None:
             return root
         at = found.end()
-        end, tag, attributes = found.groups()
+        end, tag, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
         if tag is None:
             continue
         tag = tag.lower()

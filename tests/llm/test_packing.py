@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import tallyframe.llm.packing as packing
+from tallyframe.llm.packing import best_fit_rounds, pack_documents, pieces_of, sweep
+from tallyframe.llm.sharding import best_fit_decreasing
+from tests.llm.conftest import ODD_ROWS
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
+@pytest.mark.parametrize("text", [
+    "", None, "Hi <|endoftext|> THERE İstanbul ΣΑΣ", "a\x1cb c d\tE é É ÀÇ, ñ.", "<|ENDOFTEXT|> x<|startoftext|>y",
+    "don't I'M 123 l'été. we,. ...", "ªº µ ß., ÿ", "\x85a \xa0b\xadc", "ﬁ ½ é 日本語 " + "x" * 200, "#*$ a,b.c",
+])
+def test_memoised_words_give_the_tokenizers_ids(tokenizer, text):
+    for _ in range(2):  # the second time from the memo
+        got = b"".join(pieces_of(text, PATH, 4096, 1))
+        assert got == np.array(ids_of(tokenizer, text), "<u4").tobytes()
+
+
+def test_memo_starts_anew_when_full(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    for i in range(20):
+        text = " ".join(f"word{j}, other{i * j}." for j in range(6))
+        assert b"".join(pieces_of(text, PATH, 4096, 1)) == np.array(ids_of(tokenizer, text), "<u4").tobytes()
+
+
+def test_sweep_takes_the_smallest_gap_that_is_left():
+    matches, left, gaps, new = sweep([(7, 0, 2), (5, 0, 1), (4, 3, 3)], [(9, 10, 1), (7, 20, 1), (6, 30, 1), (3, 40, 1)])
+    assert matches == [(7, 0, 1, 1, 20, 7), (7, 1, 1, 1, 10, 9), (5, 0, 1, 1, 30, 6)]
+    assert left == [(4, 3, 3)] and gaps == [(3, 40, 1)] and sorted(new) == [(1, 30, 1), (2, 10, 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_place_every_tail_once_and_about_as_tight_as_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    counts = {}
+    for _ in range(600):
+        length = min(99, 1 + int(rng.expovariate(1 / 25)))
+        counts[length] = counts.get(length, 0) + 1
+    matches, sequences = best_fit_rounds(spark, counts, 100)
+    filled, ranks = {}, {}
+    for length, rank, number, share, sequence, free in matches:
+        for nth in range(number):
+            place = sequence + nth // share
+            filled.setdefault(place, []).append((100 - free + nth % share * length, length))
+            ranks.setdefault(length, []).append(rank + nth)
+    assert {length: sorted(r) for length, r in ranks.items()} == {length: list(range(n)) for length, n in counts.items()}
+    for parts in filled.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 100
+    runs = sorted(counts.items(), reverse=True)
+    one_by_one = 1 + max(shard for _, shard in best_fit_decreasing(runs, 100))
+    assert len(filled) <= sequences <= one_by_one + 2
+
+
+def test_pieces_and_places(spark, tokenizer):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["alpha", "be,", "Gamma."]) for _ in range(rng.choice([0, 3, 20, 60, 150]))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pack_documents(docs, capacity=50, with_ids=True).collect()
+    sequences = {}
+    for r in got:
+        ids = ids_of(tokenizer, texts[r.doc_id])[r.start : r.start + 50]
+        assert r.start == 50 * r.piece and r.length == len(ids)
+        assert bytes(r.ids) == np.array(ids, "<u4").tobytes() and r.ids_crc32 == zlib.crc32(r.ids)
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= 50
+    total = sum(len(ids_of(tokenizer, t)) for t in texts)
+    assert sum(r.length for r in got) == total and len(sequences) <= -(-total // 50) + 3
+
+
+def test_odd_rows(odd, empty, tokenizer):
+    got = pack_documents(odd).collect()
+    want = [(str(i), len(ids_of(tokenizer, t))) for i, t, _ in ODD_ROWS]
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    assert sorted(str(r.doc_id) for r in got if r.piece == 0) == sorted(i for i, _ in want)
+    assert pack_documents(empty).count() == 0

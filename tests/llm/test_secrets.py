@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+
+import tallyframe.llm.secrets as secrets
+from tallyframe.llm.secrets import ANY, BASE_RULES, RULES, Rule, redacted, secret_spans, trigram_query
+from tools.plan_checks import has_python
+
+TEXTS = [
+    "token=abc token=abcdef secret=token:abcdefgh é𝒳 API_KEY : 'abcdefg' ghp_" + "a" * 36, None, "",
+    "AKIAAKIA AKIA" + "Z9" * 8 + "_" + "0" * 24 + "g" + "f" * 30,
+    "postgres://bob:hunter2@db -----BEGIN RSA PRIVATE KEY-----", "PassWord=\"1234567\" passwd:x apikey=a.b-c/d+e=",
+    "no secrets here, only a token of thanks", "deadbeef" * 3, "DEADBEEF" * 3, "sk_live_" + "x" * 20, "token=abcdef" * 50,
+]
+
+
+def brute_force(text, rules=RULES):
+    found = []
+    for number, rule in enumerate(rules):
+        for m in re.finditer(rule.regex, text or ""):
+            if len(m.group(rule.group)) >= rule.least:
+                found.append((m.start(), number, rule.kind, m.end()))
+    return sorted(found)
+
+
+def test_trigram_queries():
+    clauses = lambda regex: {"".join(sorted(c)) if len(c) == 1 else frozenset(c) for c in trigram_query(regex)}
+    assert trigram_query(r"[0-9a-f]{24,}") == ANY == trigram_query(r"ab?c*")
+    assert clauses("abcd|xyz") == {frozenset({"abc", "bcd"}), "xyz"}
+    assert clauses("ab(c|d)x+") == {frozenset({"abc", "bcx"}), frozenset({"abd", "bdx"})} or clauses("ab(c|d)x+") == {"abc", "abd"}
+    assert clauses("(?i:ToKen)=.*secret") == {frozenset({"tok", "oke", "ken", "en=", "sec", "ecr", "cre", "ret"})}
+    assert clauses("abc|abcd") == {"abc"}  # the longer clause is implied
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda rule: rule.kind)
+def test_queries_never_miss_a_match(rule):
+    for text in filter(None, TEXTS):
+        if re.search(rule.regex, text):
+            low = text.lower()
+            assert any(all(t in low for t in clause) for clause in trigram_query(rule.regex))
+
+
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_spans_match_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", bound)
+    df = spark.createDataFrame(list(enumerate(TEXTS * 2)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.found or []] for r in secret_spans(df).collect()}
+    assert got == {i: brute_force(text) for i, text in enumerate(TEXTS * 2)}
+
+
+def test_no_python_on_the_way(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert not has_python(secret_spans(df)) and not has_python(redacted(df))
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redacted(df).collect()}
+    assert got[0].startswith("token=abc [secret] secret=token:abcdefgh é𝒳 [secret]' ghp_") and got[1] is None
+    assert got[6] == TEXTS[6] and got[7] == "[secret]" and got[3] == "AKIAAKIA [secret]_[secret]g[secret]"
+    assert all(not brute_force(text, BASE_RULES) for text in got.values())
+
+
+def test_a_rule_set_of_ones_own(spark):
+    rules = (Rule("isbn", r"ISBN [0-9]{9}[0-9X]"), Rule("any", r"q+", 0, 2))
+    df = spark.createDataFrame([(1, "ISBN 123456789X qq q"), (2, "qqq")], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.found] for r in secret_spans(df, rules).collect()}
+    assert got == {1: [(0, 0, "isbn", 15), (16, 1, "any", 18)], 2: [(0, 1, "any", 3)]}
+
+
+def test_odd_rows(odd, empty):
+    got = secret_spans(odd).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(["1", "2", "None", "None", "3", "3", "4", "5", "6", "7"])
+    assert [[s.kind for s in r.found] for r in got if r.doc_id == 6] == [["assign", "hex"]]
+    out = redacted(odd)
+    assert out.columns == odd.columns and out.filter("doc_id = 6").first().text == "[secret]"
+    assert secret_spans(empty).count() == redacted(empty).count() == 0
