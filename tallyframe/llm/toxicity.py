@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 from math import log
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table, text_keys
+from tallyframe.llm.common import named, staged, table, text_keys, text_udf
 
 MAX_TRAINING_ROWS = 30_000
 MAX_FEATURES = 50_000
@@ -65,32 +66,51 @@ SUSPICIOUS = re.compile(
     r"|[\d@$!|+€£¡](?=[^\W\d_])|(?<=[^\W\d_])[\d@$!|+€£]"  # swapped
     r"|([^\W\d_])\1\1"  # drawn out
 )
+MEMO = 400_000  # tokens that a worker remembers; it starts anew when full
 LONGEST = 32  # longer tokens are addresses or keys, not words
 
 
-def trigram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(trigram, n) of the words made of letters only; a trigram is one number."""
-
-    def counted(words: Counter) -> pd.DataFrame:
-        total = np.zeros(SIZE**3, "i8")
-        for word, n in words.items():
-            word = word.strip(TRIM + "!")
-            if word.isalpha() and len(word) <= LONGEST:
-                ids = [EDGE, EDGE, *(INDEX.get(c, OTHER) for c in word), EDGE]
-                for a, b, c in zip(ids, ids[1:], ids[2:]):
-                    total[(a * SIZE + b) * SIZE + c] += n
-        seen = np.flatnonzero(total)
-        return pd.DataFrame({"trigram": seen, "n": total[seen]})
+@cache
+def letter_numbers() -> np.ndarray:
+    """The model's number of every character, SIZE for what is no letter."""
+    numbers = np.full(0x110000, SIZE, "u1")
+    numbers[[c for c in range(0x110000) if chr(c).isalpha()]] = OTHER
+    numbers[[ord(c) for c in LETTERS]] = range(len(LETTERS))
+    return numbers
+
+
+def counted(words: Counter) -> np.ndarray:
+    """Counts of trigrams, as one number each, in the words made of letters only."""
+    plain: Counter = Counter()
+    for word, n in words.items():
+        plain[word.strip(TRIM + "!")] += n
+    kept = [word for word in plain if word.isalpha() and len(word) <= LONGEST]
+    if not kept:
+        return np.zeros(SIZE**3, "i8")
+    text = np.frombuffer("  ".join(["", *kept, ""]).encode("utf-32-le"), "<u4")
+    ids = np.where(text == 32, EDGE, letter_numbers()[text]).astype("i8")
+    times = np.repeat([plain[word] for word in kept], [len(word) + 2 for word in kept])
+    # Two borders stand before each word; the trigram that ends in the second is none of a word's.
+    a, b, c = ids[:-2], ids[1:-1], ids[2:]
+    inside = ((b != EDGE) | (c != EDGE))[: times.size]
+    keys = ((a * SIZE + b) * SIZE + c)[: times.size]
+    return np.bincount(keys[inside], weights=times[inside], minlength=SIZE**3).astype("i8")
+
 
+def trigram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(trigram, n) over the words of a partition."""
+    total = np.zeros(SIZE**3, "i8")
     words: Counter = Counter()
     for frame in frames:
         for text in frame["text"]:
             if text:
                 words.update(text.lower().split())
                 if len(words) > COUNTED_WORDS:
-                    yield counted(words)
+                    total += counted(words)
                     words.clear()
-    yield counted(words)
+    total += counted(words)
+    seen = np.flatnonzero(total)
+    yield pd.DataFrame({"trigram": seen, "n": total[seen]})
 
 
 def character_model(documents: DataFrame) -> np.ndarray:
@@ -158,25 +178,26 @@ class Restorer:
             return core
         return decoded(core, self.model)
 
+    def spaced(self, tokens: list[str]) -> set[str]:
+        """Words behind runs of more than three single characters."""
+        out = set()
+        if sum(map((1).__eq__, map(len, tokens))) > 3:
+            for single, run in groupby(tokens, lambda token: len(token) == 1):
+                if single and len(spaced := "".join(run).lstrip(TRIM).rstrip(TRIM + "!")) > 3:
+                    out.update(decoded(spaced[i : i + LONGEST], self.model) for i in range(0, len(spaced), LONGEST))
+        return out
+
     def words(self, text: str | None) -> set[str]:
         if not text:
             return set()
         tokens = text.lower().split()
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > MEMO:
             known.clear()
-        out = set()
-        for token in set(tokens):
-            word = known.get(token)
-            if word is None:
-                word = known[token] = self.word(token)
-            out.add(word)
-        if sum(map((1).__eq__, map(len, tokens))) > 3:
-            for single, run in groupby(tokens, lambda token: len(token) == 1):
-                if single and len(spaced := "".join(run)) > 3:
-                    out.update(decoded(spaced[i : i + LONGEST], self.model) for i in range(0, len(spaced), LONGEST))
-        out.discard("")
-        return out
+        for token in (distinct := set(tokens)):
+            if token not in known:
+                known[token] = self.word(token)
+        return ({known[token] for token in distinct} | self.spaced(tokens)) - {""}
 
 
 def features_of(word: str) -> list[str]:
@@ -204,24 +225,48 @@ def feature_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Scorer:
-    """Strongest words of a document by the log-odds of their features."""
+    """Strongest words of a document by the log-odds of their features.
+
+    Broadcast as an object, so that a worker's memos outlive its tasks.
+    """
 
-    def __init__(self, weights: dict[str, float]) -> None:
+    def __init__(self, weights: dict[str, float], restorer: Restorer | None = None) -> None:
         self.weights = weights
-        self.known: dict[str, float] = {}
+        self.restorer = restorer
+        self.values: dict[str, float] = {}  # of words, or of tokens when there is a restorer
+        self.plain: dict[str, str] = {}  # the words of tokens with a value above 0
+
+    def value(self, word: str) -> float:
+        get = self.weights.get
+        return max(get(f, 0.0) for f in features_of(word)) if word else 0.0
 
     def strongest(self, words) -> list[float]:
-        known, get = self.known, self.weights.get
-        if len(known) > 500_000:
-            known.clear()
-        top = [0.0, 0.0, 0.0]
-        for word in words:
-            value = known.get(word)
-            if value is None:
-                value = known[word] = max(get(f, 0.0) for f in features_of(word))
-            if value > top[2]:
-                top = sorted([*top[:2], value], reverse=True)
-        return [*top, 1.0]
+        top = sorted((v for v in map(self.value, words) if v > 0), reverse=True)[:3]
+        return [*top, *[0.0] * (3 - len(top)), 1.0]
+
+    def strongest_of(self, text: str | None) -> list[float]:
+        """``strongest`` of the restored words of ``text``, each counted once."""
+        if not text:
+            return self.strongest(())
+        tokens = text.lower().split()
+        values, plain = self.values, self.plain
+        if len(values) > MEMO:
+            values.clear()
+            plain.clear()
+        distinct = list(set(tokens))
+        found = list(map(values.get, distinct))
+        if None in found:
+            for i, token in enumerate(distinct):
+                if found[i] is None:
+                    word = self.restorer.word(token)
+                    found[i] = values[token] = self.value(word)
+                    if found[i] > 0:
+                        plain[token] = word
+        strong = {plain[token]: value for token, value in zip(distinct, found) if value > 0}
+        for word in self.restorer.spaced(tokens):
+            strong[word] = self.value(word)
+        top = sorted(strong.values(), reverse=True)[:3]
+        return [*(max(v, 0.0) for v in top), *[0.0] * (3 - len(top)), 1.0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -269,10 +314,10 @@ def toxicity(
     documents = named(documents, doc_id=id_col, text=text_col)
     labels = named(labels, doc_id="doc_id", toxic=label_col)
     model = character_model(documents)
-    sent_model = spark.sparkContext.broadcast(model)
+    sent_restorer = spark.sparkContext.broadcast(Restorer(model))
 
     def restored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(sent_model.value)
+        restorer = sent_restorer.value
         for frame in frames:
             yield pd.DataFrame(
                 {
@@ -320,19 +365,15 @@ def toxicity(
     else:
         beta = None
 
-    sent = spark.sparkContext.broadcast((both, beta, toxic_share))
+    sent = spark.sparkContext.broadcast((Scorer(both, Restorer(model)), beta, toxic_share))
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights_, beta_, share = sent.value
-        restorer, scorer = Restorer(sent_model.value), Scorer(weights_)
-        for batch in texts:
-            x = np.array([scorer.strongest(restorer.words(text)) for text in batch]).reshape(-1, 4)
-            if beta_ is None:
-                yield pd.Series(np.full(len(x), share))
-            else:
-                yield pd.Series(1 / (1 + np.exp(-np.clip(x @ beta_, -30, 30))))
+    def score_of(text: str | None) -> float:
+        scorer, beta_, share = sent.value
+        if beta_ is None:
+            return share
+        return float(1 / (1 + np.exp(-np.clip(np.dot(scorer.strongest_of(text), beta_), -30, 30))))
 
+    score = text_udf(score_of, T.DoubleType())
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
     return documents.select("doc_id", held_out.alias("held_out"), score("text").alias("score"))
 
