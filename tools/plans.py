@@ -12,9 +12,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
-from tools.plan_checks import plan_text  # noqa: E402
+from tallyframe.plans.registry import QUERIES  # noqa: E402
 from tallyframe.session import local_session  # noqa: E402
+from tools.plan_checks import plan_text  # noqa: E402
 
 SHOWN = ("q23_season_top_codes", "q14_top_precincts_code_mix", "q26_zone_a_fines", "q07_state_counts_repaired")
 
@@ -37,7 +37,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
     rows, shown = [], []
-    for name, build in entry.queries().items():
+    for name, build in QUERIES.items():
         df = build(spark, sf)
         simple, formatted = plan_text(df, "simple"), plan_text(df, "formatted")
         f = facts(simple, formatted)
