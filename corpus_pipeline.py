@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import staged, table
+from tallyframe.llm.common import staged, table, text_keys
 from tallyframe.llm.decontam import benchmark_hits
 from tallyframe.llm.packing import pack_documents
 from tallyframe.llm.quality import cleaned
@@ -70,9 +70,11 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = whole_rows(docs).select("row", "row.text")
-    found = benchmark_hits(rows, table(spark, sf_dir, "benchmark"), keep={"row": "row"})
-    return found.filter(F.size("hit_words") == 0).select("row.*")
+    # Only texts go through Python; the rows find their verdict by the text's hash.
+    rows = whole_rows(docs).select("row", "row.text").select("*", *text_keys(F.col("text")))
+    found = benchmark_hits(rows, table(spark, sf_dir, "benchmark"), keep={"k1": "k1", "k2": "k2"})
+    hit = staged(found.filter(F.size("hit_words") > 0).select("k1", "k2").distinct(), "pipeline-contaminated")
+    return rows.join(bounded(hit), ["k1", "k2"], "left_anti").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,14 +9,18 @@ executor's own disk.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+TEXTS_AT_ONCE = 256
 ROW_BITS = 33  # monotonically_increasing_id: partition in the upper, row in the lower 33 bits
 
 
@@ -33,10 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def staging_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpus/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged, once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpus/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -93,6 +107,30 @@ def globally_numbered(
     )
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Maximal runs of characters other than space, tab, LF, VT, FF, CR."""
-    return text.encode().split() if text else []
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and idle ones
+    share the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def text_udf(function: Callable[[str | None], object], returns: T.DataType) -> Callable[..., Column]:
+    """A function of one text as a column function, by Arrow batches.
+
+    A batch stays in Arrow's memory; only ``TEXTS_AT_ONCE`` of its texts are
+    Python strings at a time.  A struct is returned as a tuple.
+    """
+    arrow_type = to_arrow_type(returns)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()  # what the worker's last task has left
+        for batch in batches:
+            done = []
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = map(function, batch.slice(at, TEXTS_AT_ONCE).to_pylist())
+                done.append(pa.array(list(part), arrow_type))
+            yield pa.concat_arrays(done) if done else pa.array([], arrow_type)
+
+    return F.arrow_udf(run, returns)

@@ -25,17 +25,19 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table
+from tallyframe.llm.common import named, staged, table, text_udf
 
 WINDOW = 10
 FOLLOWERS = 8  # likely characters after a given one in prose (3 bits a character)
-BLOCK_BYTES = 16 << 20  # bytes of patterns searched at once, the broadcast's bound
+BLOCK_BYTES = 16 << 20  # of windows and item ids searched at once, the broadcast's bound
 # Word characters are digits, letters (lower-cased) and everything beyond ASCII.
 _FOLD = bytearray(b" " * 128 + bytes(range(128, 256)))
 _FOLD[ord("0") : ord("9") + 1] = b"0123456789"
@@ -56,6 +58,15 @@ def windows_of(text: str | None, window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + window]) for i in range(last)]
 
 
+HITS = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("hit_words", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
+
+
 class WuManber:
     """Shift and suffix tables for patterns whose lengths are within a factor of two."""
 
@@ -125,12 +136,7 @@ class Searcher:
 
 def benchmark_windows(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     """(window, items): every distinct window with the ids of its items."""
-
-    @F.pandas_udf("array<binary>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([windows_of(text, window) for text in batch])
-
+    cut = text_udf(partial(windows_of, window=window), T.ArrayType(T.BinaryType()))
     return (
         named(benchmark, item_id=id_col, text=text_col)
         .select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.explode(cut("text")).alias("window"))
@@ -147,12 +153,12 @@ def benchmark_hits(
     (new name: name), n_words, hit_words (numbers of hit words), items (ids)."""
     windows = staged(benchmark_windows(benchmark, window, item_col, item_text), "benchmark-windows")
     spark = documents.sparkSession
-    size = windows.agg(F.sum(F.length("window"))).first()[0] or 0
+    size = windows.agg(F.sum(F.length("window") + F.size("items") * 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = named(documents, **{**(keep or {}), "_text": text_col})
     for block in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast({bytes(r["window"]): r["items"] for r in part.collect()})
+        sent = spark.sparkContext.broadcast(Searcher({bytes(r["window"]): r["items"] for r in part.collect()}))
         rows = rows.withColumn(f"_{block}", searched(sent)("_text"))
         if blocks > 1:
             rows = staged(rows, f"benchmark-hits-{block}")
@@ -165,18 +171,8 @@ def benchmark_hits(
     )
 
 
-def searched(sent):
-    searchers: list[Searcher] = []  # built once in each task
-
-    @F.pandas_udf("n_words long, hit_words array<long>, items array<string>")
-    def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if not searchers:
-            searchers.append(Searcher(sent.value))
-        for batch in texts:
-            found = [searchers[0].search(text) for text in batch]
-            yield pd.DataFrame(found, columns=["n_words", "hit_words", "items"])
-
-    return search
+def searched(sent: Broadcast) -> Callable[..., Column]:
+    return text_udf(lambda text: sent.value.search(text), HITS)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

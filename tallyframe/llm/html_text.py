@@ -24,16 +24,14 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 from math import e, log
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, table
+from tallyframe.llm.common import named, table, text_udf
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
@@ -238,10 +236,7 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(block for element in selected(parsed(html)) for block in blocks(element))
 
 
-@F.pandas_udf(T.StringType())
-def main_text_of(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield pd.Series([main_text(html) for html in batch], dtype=object)
+main_text_of = text_udf(main_text, T.StringType())
 
 
 def extracted(pages: DataFrame, html_col: str = "html", **keep: str) -> DataFrame:

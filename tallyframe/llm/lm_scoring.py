@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table
+from tallyframe.llm.common import named, staged, table, text_udf
 from tallyframe.llm.decontam import folded
 from tallyframe.llm.sharding import size_class
 
@@ -46,6 +46,10 @@ STEP = 1_000_003  # of the bigrams' hash
 PRIOR = 10.0  # occurrences that the unigrams weigh in a bigram's estimate
 BROADCAST_IDS = 1_000_000
 COUNTED_WORDS = 500_000
+LOSSES = T.StructType(
+    [T.StructField("n_tokens", T.LongType())]
+    + [T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss")]
+)
 
 
 def word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,25 +156,16 @@ def scored(
 
     sent_models = spark.sparkContext.broadcast((model("target"), model("n")))
 
-    @F.pandas_udf(
-        T.StructType(
-            [T.StructField("n_tokens", T.LongType())]
-            + [T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss")]
-        )
-    )
-    def losses(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            out = []
-            for text in batch:
-                numbers = token_ids(text, sent_words.value)
-                if not numbers.size:
-                    out.append((0, 0.0, 0.0))
-                    continue
-                before = contexts(numbers, start)
-                bucket = (before * STEP + numbers) % buckets
-                out.append((numbers.size, *(m.loss(numbers, before, bucket) for m in sent_models.value)))
-            yield pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss"])
+    def losses_of(text: str | None) -> tuple[int, float, float]:
+        numbers = token_ids(text, sent_words.value)
+        if not numbers.size:
+            return 0, 0.0, 0.0
+        before = contexts(numbers, start)
+        bucket = (before * STEP + numbers) % buckets
+        target, background = sent_models.value
+        return numbers.size, target.loss(numbers, before, bucket), background.loss(numbers, before, bucket)
 
+    losses = text_udf(losses_of, LOSSES)
     found = rows.select("doc_id", losses("text").alias("_")).select("doc_id", "_.*")
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 

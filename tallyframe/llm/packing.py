@@ -27,23 +27,26 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tallyframe.llm.common import globally_numbered, named, staged, table
+from tallyframe.llm.common import globally_numbered, named, staged, table, text_udf
 
 CAPACITY = 4096
 END_ID = 1
 BAND = 0.6  # shortest tail of a round as a share of the longest
 RANGES = 4  # size ranges that are swept at once
-CACHED_WORDS = 400_000  # a worker's memo of words; it starts anew when full
+CACHED_WORDS = 300_000  # a worker's memo of words; it starts anew when full
 LONGEST_CACHED = 64  # characters
 
 
@@ -68,10 +71,21 @@ class WordEncoder:
     SIGNS = byte_signs()
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.path = path
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def model(self):
+        return self.tokenizer.model
+
+    def __reduce__(self):
+        """Sent as the path alone; a worker loads the vocabulary when it first encodes."""
+        return WordEncoder, (self.path,)
+
     def encode(self, text: str) -> bytes:
         plain = "<|" not in text  # special tokens are matched before the case changes
         if plain and not text.isascii():
@@ -111,14 +125,9 @@ class WordEncoder:
         return self.known[marks]
 
 
-_encoders: dict[str, WordEncoder] = {}  # one for each worker process and vocabulary
-
-
-def pieces_of(text: str | None, path: str, capacity: int, end_id: int) -> list[bytes]:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    ids = (_encoders[path].encode(text) if text else b"") + end_id.to_bytes(4, "little")
-    return [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
+    def pieces(self, text: str | None, capacity: int, end_id: int) -> list[bytes]:
+        ids = (self.encode(text) if text else b"") + end_id.to_bytes(4, "little")
+        return [ids[at : at + 4 * capacity] for at in range(0, len(ids), 4 * capacity)]
 
 
 def sweep(tails: list[tuple], gaps: list[tuple]) -> tuple[list, list, list, list]:
@@ -166,6 +175,9 @@ def in_ranges(tails: list[tuple], gaps: list[tuple]) -> list[tuple[list, list]]:
     return out
 
 
+swept = text_udf(lambda part: json.dumps(sweep(*json.loads(part))), T.StringType())
+
+
 def best_fit_rounds(spark: SparkSession, counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
     """Matches of all tails given their number by length, and the number of sequences."""
     tails = by_size((length, 0, count) for length, count in counts.items())
@@ -181,8 +193,9 @@ def best_fit_rounds(spark: SparkSession, counts: dict[int, int], capacity: int)
         waiting, new, left = [], [], []
         if usable:
             parts = in_ranges(now, usable)
-            swept = spark.sparkContext.parallelize(parts, len(parts)).map(lambda part: sweep(*part)).collect()
-            for found, tails_left, gaps_left, shrunk in swept:
+            sent = spark.createDataFrame([(json.dumps(part),) for part in parts], "part string")
+            for row in sent.select(swept("part").alias("done")).collect():
+                found, tails_left, gaps_left, shrunk = json.loads(row["done"])
                 matches += found
                 waiting += tails_left
                 left += gaps_left
@@ -207,12 +220,9 @@ def tokenised(
     documents: DataFrame, capacity: int, tokenizer: str, id_col: str, text_col: str, end_id: int
 ) -> DataFrame:
     """Staged pieces (row, doc_id, piece, start, length, ids_crc32, ids)."""
-
-    @F.pandas_udf("array<binary>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([pieces_of(text, tokenizer, capacity, end_id) for text in batch])
-
+    # Broadcast, so that a worker's memo outlives its tasks, but not this job.
+    sent = documents.sparkSession.sparkContext.broadcast(WordEncoder(tokenizer))
+    cut = text_udf(lambda text: sent.value.pieces(text, capacity, end_id), T.ArrayType(T.BinaryType()))
     return staged(
         named(documents, doc_id=id_col, text=text_col)
         .select("doc_id", F.posexplode(cut("text")).alias("piece", "ids"))

@@ -25,16 +25,14 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table
+from tallyframe.llm.common import named, staged, table, text_udf
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -47,7 +45,7 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 DIGITS = re.compile(r"\d+")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-BROADCAST_VERDICTS = 1_000_000
+BROADCAST_NUMBERS = 4_000_000  # keys, verdicts and places together
 STATISTICS = T.StructType(
     [T.StructField(name, T.LongType()) for name in COUNTS]
     + [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.LongType()))]
@@ -109,10 +107,7 @@ def statistics(text: str | None) -> tuple:
     return len(words), chars, len(SYMBOLS.findall(text)), repeated, repeated_words(words), hashes, sizes
 
 
-@F.pandas_udf(STATISTICS)
-def statistics_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in texts:
-        yield pd.DataFrame([statistics(text) for text in batch], columns=STATISTICS.names)
+statistics_of = text_udf(statistics, STATISTICS)
 
 
 def frequent_lines(rows: DataFrame, floor: int = LINE_FLOOR, share: float = LINE_SHARE) -> DataFrame:
@@ -166,8 +161,8 @@ def cleaned(documents: DataFrame, text_col: str = "text", host_col: str = "sourc
     """``documents`` without the rejected ones and without the lines above the limit.
 
     A verdict depends on host and text, so it finds its rows by their hash; the
-    verdicts other than "keep as it is" are broadcast while there are at most
-    ``BROADCAST_VERDICTS``, counted first, and shuffled beyond that.
+    verdicts other than "keep as it is" are broadcast while they hold at most
+    ``BROADCAST_NUMBERS``, counted first, and shuffled beyond that.
     """
     names = documents.columns
     text, host = documents[f"`{text_col}`"], documents[f"`{host_col}`"]
@@ -181,7 +176,8 @@ def cleaned(documents: DataFrame, text_col: str = "text", host_col: str = "sourc
         .dropDuplicates(["k1", "k2"]),
         "quality-verdicts",
     )
-    if verdicts.count() <= BROADCAST_VERDICTS:
+    numbers = verdicts.agg(F.sum(F.lit(4) + F.coalesce(F.size("places"), F.lit(0)))).first()[0] or 0
+    if numbers <= BROADCAST_NUMBERS:
         verdicts = F.broadcast(verdicts)
     out = rows.join(verdicts, ["k1", "k2"], "left").filter(F.coalesce("kept", F.lit(True)))
     lines = F.filter(F.split("text", "\n", -1), lambda _, place: ~F.array_contains("places", place))
@@ -197,13 +193,16 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lines are compared as normalised strings; a line's place in its document is kept.
 OP2_SQL = rf"""
 WITH doc AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
-word AS (SELECT r, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w FROM doc),
+word AS (SELECT r, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS w FROM doc),
 line AS (
   SELECT r, source, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM doc),
 real AS (
-  SELECT r, source, text, line, i, len(list_filter(regexp_split_to_array(line, '[ 	-]+'), lambda x: x <> '')) AS n,
+  SELECT r, source, text, line, i, len(list_filter(regexp_split_to_array(line, '[ 	-
+]+'), lambda x: x <> '')) AS n,
          trim(regexp_replace(trim(regexp_replace(lower(line), '\s+', ' ', 'g')), '\d+', '0', 'g'), ' .,;:!?-*#|') AS norm
-  FROM line WHERE regexp_matches(line, '[^ 	-]')),
+  FROM line WHERE regexp_matches(line, '[^ 	-
+]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM real GROUP BY r),
 host AS (SELECT source, count(DISTINCT text) AS documents FROM doc GROUP BY source),
 frequent AS (

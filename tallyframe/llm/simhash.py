@@ -40,8 +40,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table
+from tallyframe.llm.common import named, staged, table, text_udf
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -313,12 +314,7 @@ def near_duplicates(
     ``root`` names the component also where no member has an id."""
     if not 0 <= radius <= 7:
         raise ValueError("the counters hold distances up to 7")
-
-    @F.pandas_udf("long")
-    def prints_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([fingerprint(text, shingle) for text in batch], dtype="int64")
-
+    prints_of = text_udf(partial(fingerprint, shingle=shingle), T.LongType())
     rows = named(documents, **{"doc_id": id_col, "text": text_col, **(more or {})})
     rows = staged(rows.withColumn("fp", prints_of("text")).drop("text"), "simhash-prints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")

@@ -1,0 +1,47 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyframe.llm import common
+from tallyframe.llm.common import globally_numbered, named, shared_dir, staged, text_keys, text_udf
+
+
+def test_numbers_are_gapless_and_in_order(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id").repartition(9)
+    rows = globally_numbered(df, [F.col("k").desc(), F.col("id")], "test").collect()
+    assert sorted(r.idx for r in rows) == list(range(1000))
+    assert [(r.k, r.id) for r in sorted(rows, key=lambda r: r.idx)] == sorted(((i % 7, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert globally_numbered(df.limit(0), [F.col("id")], "test").count() == 0
+
+
+def test_staged_tables_are_in_the_shared_folder_and_can_be_dropped(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    df = staged(spark.range(5), "test")
+    assert df.inputFiles()[0].removeprefix("file:").lstrip("/").startswith(str(tmp_path).lstrip("/")) and df.count() == 5
+    common.drop_staged(spark)
+    assert not [p for p in tmp_path.rglob("*.parquet")]
+
+
+def test_the_session_names_the_shared_folder(spark):
+    assert shared_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
+
+
+def test_text_udf_over_slices(spark, monkeypatch):
+    length = text_udf(lambda text: (len(text or ""), [text]), T.StructType(
+        [T.StructField("n", T.LongType()), T.StructField("all", T.ArrayType(T.StringType()))]))
+    df = spark.createDataFrame([("x" * (i % 5) if i % 3 else None,) for i in range(1000)], "t string").coalesce(1)
+    got = df.select("t", length("t").alias("r")).collect()
+    assert all(r.r.n == len(r.t or "") and r.r.all == [r.t] for r in got)
+
+
+def test_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "`a.b` int, text int, doc_id int")
+    assert named(df, doc_id="a.b", text="doc_id").first() == (1, 3)
+
+
+@pytest.mark.parametrize("a, b", [(None, ""), ("a", "b"), ("a", "a ")])
+def test_keys_tell_texts_apart(spark, a, b):
+    rows = spark.createDataFrame([(a,), (b,)], "t string").select(*text_keys(F.col("t"))).collect()
+    assert rows[0] != rows[1]

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import tallyframe.llm.packing as packing
-from tallyframe.llm.packing import best_fit_rounds, pack_documents, pieces_of, sweep
+from tallyframe.llm.packing import WordEncoder, best_fit_rounds, pack_documents, sweep
 from tallyframe.llm.sharding import best_fit_decreasing
 from tests.llm.conftest import ODD_ROWS
 
@@ -30,16 +30,18 @@ def ids_of(tokenizer, text):
     "don't I'M 123 l'été. we,. ...", "ªº µ ß., ÿ", "\x85a \xa0b\xadc", "ﬁ ½ é 日本語 " + "x" * 200, "#*$ a,b.c",
 ])
 def test_memoised_words_give_the_tokenizers_ids(tokenizer, text):
+    encoder = WordEncoder(PATH)
     for _ in range(2):  # the second time from the memo
-        got = b"".join(pieces_of(text, PATH, 4096, 1))
+        got = b"".join(encoder.pieces(text, 4096, 1))
         assert got == np.array(ids_of(tokenizer, text), "<u4").tobytes()
 
 
 def test_memo_starts_anew_when_full(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    encoder = WordEncoder(PATH)
     for i in range(20):
         text = " ".join(f"word{j}, other{i * j}." for j in range(6))
-        assert b"".join(pieces_of(text, PATH, 4096, 1)) == np.array(ids_of(tokenizer, text), "<u4").tobytes()
+        assert b"".join(encoder.pieces(text, 4096, 1)) == np.array(ids_of(tokenizer, text), "<u4").tobytes()
 
 
 def test_sweep_takes_the_smallest_gap_that_is_left():

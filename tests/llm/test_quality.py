@@ -59,7 +59,7 @@ def test_cleaned_keeps_columns_and_removes_lines(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in cleaned(df).collect()}
     assert got == {i: f"{body} {'x' * i}\n" for i in range(130)}
-    monkeypatch.setattr(quality, "BROADCAST_VERDICTS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_NUMBERS", 0)
     assert {r.doc_id: r.text for r in cleaned(df).collect()} == got
 
 
