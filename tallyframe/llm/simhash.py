@@ -292,10 +292,12 @@ def components(edges: DataFrame) -> DataFrame:
             return current
         seen, step = state, step + 1
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Staged, so that the join shuffles both sides itself and can split a hub's rows.
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = staged(low, f"star-{step}-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = staged(large, f"star-{step}-large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")), f"star-{step}-lowest")
         small = large.join(low, "a")
         current = staged(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
