@@ -29,7 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
-from math import log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ MAX_TRAINING_ROWS = 30_000
 MAX_FEATURES = 50_000
 LEAST_TOXIC = 3  # documents of a half in which a feature must occur
 THRESHOLD = 0.7
-COUNTED_WORDS = 200_000  # a task hands on its character counts after so many different words
+COUNTED_WORDS = 400_000  # a task hands on its character counts after so many different words
 
 # Characters of the model: a to z, Latin-1 letters, any other letter, word border.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -66,7 +66,8 @@ SUSPICIOUS = re.compile(
     r"|[\d@$!|+€£¡](?=[^\W\d_])|(?<=[^\W\d_])[\d@$!|+€£]"  # swapped
     r"|([^\W\d_])\1\1"  # drawn out
 )
-MEMO = 400_000  # tokens that a worker remembers; it starts anew when full
+DRAWN_OUT = re.compile(r"(.)\1\1", re.S)
+MEMO = 700_000  # tokens that a worker remembers; it starts anew when full
 LONGEST = 32  # longer tokens are addresses or keys, not words
 
 
@@ -174,7 +175,7 @@ class Restorer:
 
     def word(self, token: str) -> str:
         core = token.strip(TRIM).rstrip("!")
-        if len(core) > LONGEST or not SUSPICIOUS.search(core):
+        if len(core) > LONGEST or not (DRAWN_OUT if core.isalpha() else SUSPICIOUS).search(core):
             return core
         return decoded(core, self.model)
 
@@ -241,13 +242,19 @@ class Scorer:
         return max(get(f, 0.0) for f in features_of(word)) if word else 0.0
 
     def strongest(self, words) -> list[float]:
-        top = sorted((v for v in map(self.value, words) if v > 0), reverse=True)[:3]
+        values = self.values
+        if len(values) > MEMO:
+            values.clear()
+        for word in words:
+            if word not in values:
+                values[word] = self.value(word)
+        top = sorted((v for v in map(values.__getitem__, words) if v > 0), reverse=True)[:3]
         return [*top, *[0.0] * (3 - len(top)), 1.0]
 
     def strongest_of(self, text: str | None) -> list[float]:
         """``strongest`` of the restored words of ``text``, each counted once."""
         if not text:
-            return self.strongest(())
+            return [0.0, 0.0, 0.0, 1.0]
         tokens = text.lower().split()
         values, plain = self.values, self.plain
         if len(values) > MEMO:
@@ -365,13 +372,16 @@ def toxicity(
     else:
         beta = None
 
-    sent = spark.sparkContext.broadcast((Scorer(both, Restorer(model)), beta, toxic_share))
+    sent = spark.sparkContext.broadcast(
+        (Scorer(both, Restorer(model)), None if beta is None else beta.tolist(), toxic_share)
+    )
 
     def score_of(text: str | None) -> float:
         scorer, beta_, share = sent.value
         if beta_ is None:
             return share
-        return float(1 / (1 + np.exp(-np.clip(np.dot(scorer.strongest_of(text), beta_), -30, 30))))
+        odds = sum(a * b for a, b in zip(scorer.strongest_of(text), beta_))
+        return 1 / (1 + exp(-min(30.0, max(-30.0, odds))))
 
     score = text_udf(score_of, T.DoubleType())
     held_out = F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False))
