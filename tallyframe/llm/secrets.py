@@ -58,7 +58,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule(  # to the END line; without one, to the end of the base64 lines
+        "pem",
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+        r"(?:[\x20\t\r\n\\nr]*(?:Proc-Type|DEK-Info):[^\r\n\\]*){0,8}"
+        r"""(?:[A-Za-z0-9+/=\x20\t\r\n\\"',;>#*|]*-----END [A-Z ]{0,30}PRIVATE KEY-----"""
+        r"|[\x20\t\r\n\\]*[A-Za-z0-9+/=]{24,}[A-Za-z0-9+/=\r\n\\]*)?",
+    ),
     Rule("ghtoken", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),

@@ -77,3 +77,23 @@ def test_odd_rows(odd, empty):
     out = redacted(odd)
     assert out.columns == odd.columns and out.filter("doc_id = 6").first().text == "[secret]"
     assert secret_spans(empty).count() == redacted(empty).count() == 0
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    line, head, end = "MIIEpAIBAAKCAQEA" + "x+/9" * 12, "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    armour = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0F' * 16}\n"
+    texts = {
+        f"a {head}\n{line}\n{line}\nQQ==\n{end} b": "a [secret] b",
+        f"a {head}\n{armour}\n{line}\n{line}\n{end}\nb": "a [secret]\nb",
+        f'"{head}\\n{line}\\nQQ==\\n{end}\\n"': '"[secret]\\n"',  # in JSON
+        f"a {head} {line} {line} {end} b": "a [secret] b",
+        f"a {head}\n  {line}\n  {line}\n  {end} b": "a [secret] b",
+        f"a {head}\n{line}\n{line}\nQQ==": "a [secret]",  # cut off
+        f"a {head} is how keys begin": "a [secret] is how keys begin",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redacted(df).collect()}
+    assert list(map(got.get, range(len(texts)))) == list(texts.values())
+    found = {r.doc_id: [tuple(s) for s in r.found] for r in secret_spans(df).collect()}
+    assert found == {i: brute_force(text) for i, text in enumerate(texts)}
+    assert all(not brute_force(text) for text in got.values())
