@@ -241,25 +241,43 @@ def secret_spans(
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``documents`` with every secret in its text replaced by ``PLACEHOLDER``.
 
-    The rules act one after the other, so overlapping spans are covered too.
+    Spans are those of the original text; overlapping ones are replaced as one.
     A null text stays null.
     """
     names = documents.columns
     rows = documents.select(
         F.struct(*[documents[f"`{c}`"] for c in names]).alias("row"), documents[f"`{text_col}`"].alias("text")
     )
-    out, text = with_kinds(rows, rules), F.col("text")
-
-    def covered(rule: Rule) -> Column:
-        def shown(p: Column) -> Column:
-            hit = F.when(F.length(p["checked"]) >= rule.least, F.lit(PLACEHOLDER)).otherwise(p["hit"])
-            return F.concat(p["gap"], F.coalesce(hit, F.lit("")))
-
-        return F.when(verified(rule, text), F.array_join(F.transform(parts(rule, text), shown), "")).otherwise(text)
+    text, no_spans = F.col("text"), F.array().cast("array<struct<start: int, end: int>>")
+
+    def placed(rule: Rule) -> Column:
+        """(start, end) of the rule's secrets."""
+
+        def step(done: Column, p: Column) -> Column:
+            start = done["at"] + F.length(p["gap"])
+            end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
+            longer = F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
+            spans = F.when(F.length(p["checked"]) >= rule.least, longer).otherwise(done["spans"])
+            return F.struct(end.alias("at"), spans.alias("spans"))
+
+        none = F.struct(F.lit(0).alias("at"), no_spans.alias("spans"))
+        return F.when(verified(rule, text), F.aggregate(parts(rule, text), none, step, lambda done: done["spans"]))
+
+    def shown(done: Column, span: Column) -> Column:
+        gap = F.substring(text, done["at"] + 1, span["start"] - done["at"])
+        more = F.concat(done["pieces"], F.array(F.concat(gap, F.lit(PLACEHOLDER))))
+        apart = span["start"] >= done["at"]
+        return F.struct(
+            F.greatest(done["at"], span["end"]).alias("at"), F.when(apart, more).otherwise(done["pieces"]).alias("pieces")
+        )
 
-    for rule in rules:
-        out = out.withColumn("text", covered(rule))
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names])
+    spans = F.array_sort(F.flatten(F.array_compact(F.array(*[placed(rule) for rule in rules]))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+    rest = F.substring(text, F.col("done.at") + 1, F.length(text))
+    covered = F.when(F.size("done.pieces") > 0, F.concat(F.array_join("done.pieces", ""), rest)).otherwise(text)
+    out = with_kinds(rows, rules).select("row", "text", spans.alias("spans"))
+    out = out.select("row", "text", F.aggregate("spans", start, shown).alias("done"))
+    return out.select(*[covered.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,25 @@ def test_private_keys_go_with_their_bodies(spark):
     found = {r.doc_id: [tuple(s) for s in r.found] for r in secret_spans(df).collect()}
     assert found == {i: brute_force(text) for i, text in enumerate(texts)}
     assert all(not brute_force(text) for text in got.values())
+
+
+def merged(text):
+    """The text with every stretch that the rules' spans cover replaced once."""
+    out, at = "", 0
+    for start, _, _, end in brute_force(text):
+        if start >= at:
+            out += text[at:start] + secrets.PLACEHOLDER
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_overlapping_secrets_are_covered_as_one(spark):
+    texts = [
+        "SECRET=postgres://bob:hunter2@db", "token=https://é𝒳:pass@h and api_key=abcdef", "a token: mongodb://u:pass1@x b",
+        *[text for text in TEXTS if text],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redacted(df).collect()}
+    assert got[0] == "[secret]db" and got[2] == "a [secret]x b"
+    assert got == {i: merged(text) for i, text in enumerate(texts)}
+    assert all(not brute_force(text) for text in got.values())
