@@ -7,8 +7,8 @@ deduplication handles, do not make their own lines frequent.  A line above the
 limit of its host is removed wherever it stands in that host; a document
 that loses too much or keeps too few words is rejected.
 
-The limit grows with the host: more than ``LINE_SHARE`` of its distinct
-documents, and at least ``LINE_FLOOR``.
+The limit is the same for every host, more than ``LINE_FLOOR`` distinct documents;
+``LINE_SHARE``, a share of the host's distinct documents to exceed as well, is 0.
 
 Scale: one pass over the texts yields the statistics and (line hash, words)
 lists, which are staged; the texts are not read again for the counting.  The
@@ -37,8 +37,8 @@ from tallyframe.llm.common import named, staged, table, text_udf
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WINDOW = 5
-LINE_FLOOR = 100  # distinct documents of a host
-LINE_SHARE = 0.02  # of the host's distinct documents
+LINE_FLOOR = 30  # distinct documents of a host
+LINE_SHARE = 0.0  # of the host's distinct documents
 MAX_REMOVED = 0.8  # of a document's words, however many are left
 MAX_REMOVED_SHORT = 0.5  # of its words, if under MIN_WORDS are left
 SYMBOLS = re.compile(r"[#*$%&|<>]")

@@ -63,6 +63,17 @@ def test_cleaned_keeps_columns_and_removes_lines(spark, monkeypatch):
     assert {r.doc_id: r.text for r in cleaned(df).collect()} == got
 
 
+def test_a_line_that_a_small_host_shares_goes(spark):
+    body = "a line of its own with enough words to stay number"
+    rows = [(i, f"{body} {'x' * i}\nShared footer line", "small") for i in range(50)]
+    rows += [(1000 + i, f"{body} {'y' * i}" + "\nShared footer line" * (i < 40), "large") for i in range(2500)]
+    rows += [(5000 + i, f"{body} {'z' * i}" + "\nA rarer line" * (i < 30), "rare") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed_words for r in judged(df, {"doc_id": "doc_id"}).collect()}
+    assert {i for i, n in got.items() if n} == {*range(50), *range(1000, 1040)}
+    assert not any("footer" in r.text for r in cleaned(df).collect())
+
+
 def test_odd_rows(odd):
     got = judged(odd, {"doc_id": "doc_id"}).collect()
     assert sorted(tuple(map(str, (r.doc_id, r.n_words, r.word_chars, r.n_repeat_words))) for r in got) == sorted(
