@@ -5,14 +5,17 @@ over the documents labelled as good, the background's over all documents.  A
 document's score is its mean loss a token under the target model minus that
 under the background model; the lower, the more the text is like the target.
 
-The vocabulary holds the ``VOCABULARY`` most frequent words of all documents
-(ties by the word), any other word is one unknown word.  Bigrams are counted
-in ``BUCKETS`` hash buckets, which both models share, and are smoothed with
-the unigrams; a bucket never counts more than its first word's occurrences.
-So the models have a bounded size, are broadcast, and all documents are scored
-in one pass without a shuffle.  All counts are over whole texts of all
-documents, added up in the tasks before they are shuffled; a hot word is one
-row a task.
+The vocabulary holds every word of the documents (the minimum count is one),
+and words, contexts and bigrams are counted exactly, over whole texts of all
+documents.  A word stands by its 64-bit hash.  The counts are staged tables
+that grow with the input: (before, word) with both sides' counts, and its sums
+by word and by context.  Each document's distinct bigrams are joined with them
+and their losses added up by row.  Counts are added up in the tasks before
+they are shuffled; the joins are plain equi-joins of rows that are one a
+document and bigram, whose hot keys adaptive execution splits.
+
+``scored`` with ``vocabulary_size`` and ``buckets`` gives models of that bounded
+size instead, with hashed bigrams, which are broadcast.
 
 Which rows are the target's is a join with the labelled ids, broadcast while
 there are at most ``BROADCAST_IDS``, which is counted first, and shuffled
@@ -32,17 +35,21 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table, text_udf
+from tallyframe.llm.common import TEXTS_AT_ONCE, give_back, named, staged, table, text_udf
 from tallyframe.llm.decontam import folded
 from tallyframe.llm.sharding import size_class
 
-VOCABULARY = 65_536
-BUCKETS = 1 << 18
-STEP = 1_000_003  # of the bigrams' hash
+# In OP8_SQL a number for every word and a bucket for every bigram.
+VOCABULARY = (1 << 31) - 2
+BUCKETS = (1 << 63) - 1
+STEP = (1 << 31) + 11  # of the bigrams' hash
+START = 0  # the hash that stands before a first word
 PRIOR = 10.0  # occurrences that the unigrams weigh in a bigram's estimate
 BROADCAST_IDS = 1_000_000
 COUNTED_WORDS = 500_000
@@ -107,16 +114,9 @@ class Model:
         return float(-np.log((pair + PRIOR * self.single[ids]) / (seen + PRIOR)).mean())
 
 
-def scored(
-    documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    vocabulary_size: int = VOCABULARY, buckets: int = BUCKETS,
-) -> DataFrame:
-    """Every row with its losses: (doc_id, n_tokens, target_loss, background_loss, score).
-
-    ``target_ids`` has the one column doc_id.
-    """
-    spark = documents.sparkSession
-    rows = named(documents, doc_id=id_col, text=text_col)
+def bounded_losses(rows: DataFrame, target_ids: DataFrame, vocabulary_size: int, buckets: int) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss) under models of a bounded size."""
+    spark = rows.sparkSession
     counted = rows.select("text").mapInPandas(word_counts, "word binary, n long").groupBy("word")
     common = most_frequent(staged(counted.agg(F.sum("n").alias("n")), "lm-words"), vocabulary_size)
     words = common.select("word").toArrow()["word"].to_pylist()  # at most vocabulary_size
@@ -124,12 +124,7 @@ def scored(
     start = len(words) + 1  # the context of a first word; contexts follow the words, pairs come first
     size = start + 1
 
-    ids = named(target_ids, doc_id="doc_id").dropna().distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    flagged = rows.join(ids.withColumn("target", F.lit(1)), "doc_id", "left").select(
-        "text", F.coalesce("target", F.lit(0)).alias("target")
-    )
+    flagged = with_target(rows, target_ids).select("text", "target")
 
     def gram_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, buckets + 2 * size), "i8")
@@ -166,7 +161,97 @@ def scored(
         return numbers.size, target.loss(numbers, before, bucket), background.loss(numbers, before, bucket)
 
     losses = text_udf(losses_of, LOSSES)
-    found = rows.select("doc_id", losses("text").alias("_")).select("doc_id", "_.*")
+    return rows.select("doc_id", losses("text").alias("_")).select("doc_id", "_.*")
+
+
+def with_target(rows: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """``rows`` with the column target, 1 or 0."""
+    ids = named(target_ids, doc_id="doc_id").dropna().distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    found = rows.join(ids.withColumn("target", F.lit(1)), "doc_id", "left")
+    return found.withColumn("target", F.coalesce("target", F.lit(0)))
+
+
+def bigrams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the word before, of the word, times) of each distinct bigram."""
+    words = folded(text)
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "i8", len(words))
+    size = len(numbers)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), "u8", size).view("i8")
+    if not size:
+        return hashes, hashes, ids
+    keys, n = np.unique(contexts(ids, size) * size + ids, return_counts=True)
+    return np.append(hashes, START)[keys // size], hashes[keys % size], n
+
+
+def bigram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns beside the last one, text, once for each of its bigrams.
+
+    A text without words has one row, with n = 0, under a number of its own.
+    """
+    give_back()
+    for batch in batches:
+        keep, texts = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            found = [bigrams(text) for text in texts.slice(at, TEXTS_AT_ONCE).to_pylist()]
+            for i, (_, _, n) in enumerate(found):
+                if not n.size:
+                    row = batch.column(0)[at + i].as_py()
+                    found[i] = np.array([row * STEP % BUCKETS]), np.array([START]), np.array([0])
+            places = pa.array(np.repeat(np.arange(at, at + len(found)), [n.size for _, _, n in found]))
+            kept = [batch.column(i).take(places) for i in range(len(keep))]
+            counts = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*kept, *counts], names=[*keep, "before", "word", "n"])
+
+
+def exact_losses(rows: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss) under models of all words and bigrams."""
+
+    def exploded(df: DataFrame, *keep: str) -> DataFrame:
+        numbered = df.select(F.monotonically_increasing_id().alias("row"), *keep, "text")
+        fields = numbered.schema.fields[:-1] + [T.StructField(c, T.LongType()) for c in ("before", "word", "n")]
+        return numbered.mapInArrow(bigram_rows, T.StructType(fields))
+
+    seen = exploded(with_target(rows, target_ids), "target").filter("n > 0")
+    both = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("target")).alias("target")]
+    sums = [F.sum(c).alias(c) for c in ("n", "target")]
+    pairs = staged(seen.groupBy("before", "word").agg(*both), "lm-bigrams")
+    single = staged(pairs.groupBy("word").agg(*sums), "lm-words")
+    context = staged(pairs.groupBy("before").agg(*sums), "lm-contexts")
+    total = single.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "target")], F.count("*").alias("words")).first()
+
+    def loss(side: str) -> Column:
+        alone = (F.col(f"w_{side}") + 1) / F.lit(float(total[side] + total["words"] + 1))
+        return -F.log((F.col(side) + PRIOR * alone) / (F.col(f"c_{side}") + PRIOR))
+
+    models = (
+        pairs.join(single.toDF("word", "w_n", "w_target"), "word")
+        .join(context.toDF("before", "c_n", "c_target"), "before")
+        .select("before", "word", loss("target").alias("target_loss"), loss("n").alias("background_loss"))
+    )
+    found = exploded(rows, "doc_id").join(models, ["before", "word"], "left").groupBy("row", "doc_id")
+    summed = found.agg(
+        F.sum("n").alias("n_tokens"),
+        *[F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss")],
+    )
+    means = [(F.col(c) / F.greatest("n_tokens", F.lit(1))).alias(c) for c in ("target_loss", "background_loss")]
+    return summed.select("doc_id", "n_tokens", *means)
+
+
+def scored(
+    documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    vocabulary_size: int | None = None, buckets: int | None = None,
+) -> DataFrame:
+    """Every row with its losses: (doc_id, n_tokens, target_loss, background_loss, score).
+
+    ``target_ids`` has the one column doc_id.
+    """
+    if (vocabulary_size is None) != (buckets is None):
+        raise ValueError("a bounded model needs both vocabulary_size and buckets")
+    rows = named(documents, doc_id=id_col, text=text_col)
+    found = exact_losses(rows, target_ids) if buckets is None else bounded_losses(rows, target_ids, vocabulary_size, buckets)
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

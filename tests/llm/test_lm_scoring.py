@@ -56,6 +56,18 @@ def test_scores_match_brute_force(spark, monkeypatch):
     compared(spark, docs, [], vocabulary_size=9, buckets=64)
 
 
+def test_all_words_and_bigrams_count_exactly(spark):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 70_000}" for _ in range(100))) for i in range(300)]
+    docs += [(1000, ""), (1001, None), (1002, " "), (3, "w1 w1 w2")]
+    good = [i for i in range(300) if i % 3 == 0]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = scored(frame, spark.createDataFrame([(i,) for i in good], "doc_id long")).drop("score").collect()
+    got, want = sorted(map(tuple, got)), sorted(brute_force(docs, set(good), len(docs) * 100, 1 << 62))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(a - b) < 1e-9 for g, w in zip(got, want) for a, b in zip(g[2:], w[2:]))
+
+
 def test_text_like_the_target_scores_lower(spark):
     docs = [(i, "clear prose about rivers and hills") for i in range(20)] + [(100 + i, "buy cheap pills now now") for i in range(20)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
