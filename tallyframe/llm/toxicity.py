@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import groupby
 from math import exp, log
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 SWAP_COST, MASK_COST, DROP_COST = 1.0, 2.5, 0.3  # negative log-probabilities of the channel
+MARGIN = 6.0  # log-probability by which another cut of a run into words may be worse
 MASKS = frozenset("*#%?")
 SEPARATORS = frozenset(".-_~'`^/\\,*")
 TRIM = ".,;:?\"'`()[]{}<>…«»“”„-_&%#*~^/\\"
@@ -67,6 +69,7 @@ SUSPICIOUS = re.compile(
     r"|([^\W\d_])\1\1"  # drawn out
 )
 DRAWN_OUT = re.compile(r"(.)\1\1", re.S)
+LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 MEMO = 700_000  # tokens that a worker remembers; it starts anew when full
 LONGEST = 32  # longer tokens are addresses or keys, not words
 
@@ -148,22 +151,67 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
     return out
 
 
+def extended(paths: dict, options: list[tuple[int, float]], model: np.ndarray) -> dict:
+    """Best (score, letters) by state after one more sign; letters are (those before, last)."""
+    following: dict[tuple[int, int], tuple] = {}
+    for (a, b), (score, word) in paths.items():
+        for letter, cost in options:
+            if letter < 0:
+                state, value, longer = (a, b), score - cost, word
+            else:
+                state, value = (b, letter), score - cost + float(model[a, b, letter])
+                longer = (word, LETTERS[letter] if letter < OTHER else "�")
+            if state not in following or value > following[state][0]:
+                following[state] = (value, longer)
+    return following
+
+
+def spelled(word: tuple | None) -> str:
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def ended(paths: dict, model: np.ndarray) -> tuple[float, str]:
+    """The best score with a border after it, and its word."""
+    return max((score + float(model[a, b, EDGE]), spelled(word)) for (a, b), (score, word) in paths.items())
+
+
 def decoded(token: str, model: np.ndarray) -> str:
     """The most probable plain word behind ``token``."""
-    paths = {(EDGE, EDGE): (0.0, "")}
+    paths = {(EDGE, EDGE): (0.0, None)}
     for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in paths.items():
-            for letter, cost in options:
-                if letter < 0:
-                    state, value, longer = (a, b), score - cost, word
-                else:
-                    state, value = (b, letter), score - cost + float(model[a, b, letter])
-                    longer = word + (LETTERS[letter] if letter < OTHER else "�")
-                if state not in following or value > following[state][0]:
-                    following[state] = (value, longer)
-        paths = following
-    return max((score + float(model[a, b, EDGE]), word) for (a, b), (score, word) in paths.items())[1]
+        paths = extended(paths, options, model)
+    return ended(paths, model)[1]
+
+
+def words_within(run: str, model: np.ndarray) -> set[str]:
+    """Plain words behind a run of signs that has lost its word borders.
+
+    Borders may stand between any two signs.  A word counts if the best way to
+    cut the run up to its end so that it comes last is at most ``MARGIN`` worse
+    than the best way at all; the model knows trigrams only, so its first choice
+    alone would miss words.  Beginnings that are further behind are given up, and
+    so are those of more than ``LONGEST`` signs, which are no words.
+    """
+    out: set[str] = set()
+    begun = [{(EDGE, EDGE): (0.0, None)}]  # paths by the sign that their word begins with
+    for options in lattice(run):
+        begun = [extended(paths, options, model) for paths in begun[-LONGEST:]]
+        best = max(score for paths in begun for score, _ in paths.values())
+        begun = [paths for paths in begun if max(paths.values(), key=itemgetter(0))[0] >= best - MARGIN]
+        ends = [ended(paths, model) for paths in begun]
+        best = max(score for score, _ in ends)
+        out.update(word for score, word in ends if word and score >= best - MARGIN)
+        begun.append({(EDGE, EDGE): (best, None)})
+    return out
+
+
+def shortened(token: str) -> str:
+    """Runs of one sign cut to three, beyond which they add nothing; masks stand for a letter each."""
+    return LONG_RUN.sub(lambda run: run[1] * (min(len(run[0]), LONGEST) if run[1] in MASKS else 3), token)
 
 
 class Restorer:
@@ -181,11 +229,11 @@ class Restorer:
 
     def spaced(self, tokens: list[str]) -> set[str]:
         """Words behind runs of more than three single characters."""
-        out = set()
+        out: set[str] = set()
         if sum(map((1).__eq__, map(len, tokens))) > 3:
             for single, run in groupby(tokens, lambda token: len(token) == 1):
                 if single and len(spaced := "".join(run).lstrip(TRIM).rstrip(TRIM + "!")) > 3:
-                    out.update(decoded(spaced[i : i + LONGEST], self.model) for i in range(0, len(spaced), LONGEST))
+                    out |= words_within(shortened(spaced), self.model)
         return out
 
     def words(self, text: str | None) -> set[str]:

@@ -49,6 +49,16 @@ def test_spaced_letters(model):
     assert sum(map(len, Restorer(model).spaced(long.split()))) >= LONGEST
 
 
+@pytest.mark.parametrize("text, words", [
+    ("a i d i o t", ["idiot"]), ("y o u i d i o t", ["idiot"]), ("I a m a l o s e r", ["loser"]),
+    ("y o u a r e w o r t h l e s s t r a s h a n d a n 1 d 1 0 t a n d l o s e r", ["worthless", "trash", "idiot", "loser"]),
+    ("a b " * 14 + "a s t u p i d", ["stupid"]),  # over the 32nd sign
+    ("i d i " + "o " * 60 + "t", ["idiot"]),
+])
+def test_words_within_spaced_letters(model, text, words):
+    assert Restorer(model).words(text) >= set(words)
+
+
 def test_held_out_accuracy(spark):
     got = toxicity(table(spark, SF, "documents"), table(spark, SF, "labels"))
     both = got.join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
