@@ -71,7 +71,8 @@ SUSPICIOUS = re.compile(
 DRAWN_OUT = re.compile(r"(.)\1\1", re.S)
 LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 MEMO = 700_000  # tokens that a worker remembers; it starts anew when full
-LONGEST = 32  # longer tokens are addresses or keys, not words
+JOINTS = re.compile(f"[^\\w{re.escape(''.join({*LOOKALIKES, *MASKS}))}]|_")
+LONGEST = 32  # longer words do not count for the model; longer tokens are not remembered
 
 
 @cache
@@ -223,9 +224,19 @@ class Restorer:
 
     def word(self, token: str) -> str:
         core = token.strip(TRIM).rstrip("!")
-        if len(core) > LONGEST or not (DRAWN_OUT if core.isalpha() else SUSPICIOUS).search(core):
+        if not (DRAWN_OUT if core.isalpha() else SUSPICIOUS).search(core):
             return core
-        return decoded(core, self.model)
+        return decoded(shortened(core), self.model)
+
+    def long_words(self, token: str) -> set[str]:
+        """The word behind a token of more than ``LONGEST`` signs, and if it is
+        suspicious, those between its separators."""
+        core = token.strip(TRIM).rstrip("!")
+        out = {self.word(token)}
+        if not core.isalpha() and SUSPICIOUS.search(core):
+            pieces = JOINTS.split(core)
+            out.update(map(self.word, pieces), self.spaced(pieces))
+        return out
 
     def spaced(self, tokens: list[str]) -> set[str]:
         """Words behind runs of more than three single characters."""
@@ -243,10 +254,15 @@ class Restorer:
         known = self.known
         if len(known) > MEMO:
             known.clear()
-        for token in (distinct := set(tokens)):
+        out = self.spaced(tokens)
+        for token in set(tokens):
+            if len(token) > LONGEST:
+                out |= self.long_words(token)
+                continue
             if token not in known:
                 known[token] = self.word(token)
-        return ({known[token] for token in distinct} | self.spaced(tokens)) - {""}
+            out.add(known[token])
+        return out - {""}
 
 
 def features_of(word: str) -> list[str]:
@@ -308,7 +324,7 @@ class Scorer:
         if len(values) > MEMO:
             values.clear()
             plain.clear()
-        distinct = list(set(tokens))
+        distinct = [token for token in set(tokens) if len(token) <= LONGEST]
         found = list(map(values.get, distinct))
         if None in found:
             for i, token in enumerate(distinct):
@@ -318,7 +334,8 @@ class Scorer:
                     if found[i] > 0:
                         plain[token] = word
         strong = {plain[token]: value for token, value in zip(distinct, found) if value > 0}
-        for word in self.restorer.spaced(tokens):
+        more = (self.restorer.long_words(token) for token in set(tokens) if len(token) > LONGEST)
+        for word in self.restorer.spaced(tokens).union(*more):
             strong[word] = self.value(word)
         top = sorted(strong.values(), reverse=True)[:3]
         return [*(max(v, 0.0) for v in top), *[0.0] * (3 - len(top)), 1.0]

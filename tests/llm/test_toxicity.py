@@ -59,6 +59,18 @@ def test_words_within_spaced_letters(model, text, words):
     assert Restorer(model).words(text) >= set(words)
 
 
+@pytest.mark.parametrize("token, words", [
+    ("idi" + "o" * 40 + "t", ["idiot"]), ("l" * 9 + "o" * 9 + "s" * 9 + "e" * 9 + "r" * 9 + "!!", ["loser"]),
+    ("you_are_an_1d10t-and/a/l0$er,utterly.w0rthl3ss.tr4$h", ["idiot", "loser", "worthless", "trash"]),
+    ("y.o.u.a.r.e.a.n.i.d.i.o.t.a.n.d.a.l.o.s.e.r.a.n.d.t.r.a.s.h", ["idiot", "loser", "trash"]),
+])
+def test_long_tokens_pass_the_channel(model, token, words):
+    assert len(token) > LONGEST
+    assert Restorer(model).words(f"so {token}") >= set(words)
+    scorer = tox.Scorer({"=" + word: 2.0 for word in words}, Restorer(model))
+    assert scorer.strongest_of(f"so {token}")[:3] == [2.0] * min(3, len(words)) + [0.0] * (3 - len(words))
+
+
 def test_held_out_accuracy(spark):
     got = toxicity(table(spark, SF, "documents"), table(spark, SF, "labels"))
     both = got.join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id").filter("held_out").toPandas()
