@@ -10,9 +10,13 @@ threshold contributes its own subtree of largest density sum.  When the leading
 element stands in an ``article`` or ``main``, that element bounds the text and
 all of it counts.
 
-Elements that are no article text by what they are or are named (menus,
-headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are left out before densities are taken.
+Elements that are no article text by what they are (menus, headers and footers
+of the page, forms, scripts, styles) are left out before densities are taken,
+and so are those that are named as such (sidebars, notices, adverts, reader
+comments).  A name counts only if it is the element's own (not ``with-sidebar``),
+never for headings or an article's header, and never for an element with most
+of the page's text; one of links (menus, related pages) only if links or the
+lack of paragraphs bear it out.
 
 Each page is a row of its own; memory is bounded by a batch of pages.
 
@@ -43,7 +47,7 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'
 
 HEAD = frozenset("title meta link style script base noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg annotation annotation-xml object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure"
     " footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td"
@@ -57,19 +61,24 @@ ENDS = {
 ENDS = {tag: (frozenset(ends.split()), frozenset(until.split())) for tag, (ends, until) in ENDS.items()}
 NOISE = frozenset("head nav aside footer form button select dialog menu label input fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice"
-    r"|newsletter|subscribe|signup|popup|modal|overlay|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?"
-    r"|footer|masthead|header|topbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|social|share|sharing|related"
-    r"|recommended|pagination|pager|login|search)(?:$|[\s_-])", re.I,
+HEADERS = frozenset("header masthead topbar".split())  # not inside an article
+LINKS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs social share sharing related recommended pagination pager".split())
+NAMES = HEADERS | LINKS | frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
+    " notice newsletter subscribe signup popup modal overlay sidebar side widget footer comment comments commentlist disqus"
+    " reply replies respond login search".split()
 )
+OF_OTHERS = frozenset("with without no non not has".split())  # with-sidebar, no-menu
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+LINK_SHARE = 0.3  # of the text of an element named for its links
 
 
 class Element:
-    __slots__ = ("tag", "parent", "content", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "content", "noise", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Element | None, noise: bool) -> None:
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.names: set[str] = set()  # that speak for leaving it out
         self.content: list[Element | str] = []  # in page order
 
 
@@ -83,11 +92,40 @@ def is_noise(tag: str, attributes: str, inside: Element) -> bool:
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "role" and value.lower() in NOISE_ROLES):
                 return True
-            if name in ("class", "id") and NOISE_NAMES.search(value):
-                return True
     return False
 
 
+def noise_names(tag: str, attributes: str, inside: Element) -> set[str]:
+    """The listed names by which the element's class or id calls the element itself."""
+    out: set[str] = set()
+    if attributes and tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
+        for name, value in ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id"):
+                for one in value.strip("\"'").lower().split():
+                    parts = set(re.split("[-_]", one))
+                    if not parts & OF_OTHERS:
+                        out |= parts & NAMES
+    if out & HEADERS and within(inside, ("article", "main")):
+        out -= HEADERS
+    return out
+
+
+def named_noise(root: Element) -> None:
+    """Leave out the elements whose text agrees with their names."""
+    elements = in_order(root)
+    chars, links, paragraphs = {}, {}, {}
+    for element in reversed(elements):
+        below = children(element)
+        key = id(element)
+        chars[key] = sum(len(" ".join(c.split())) for c in element.content if isinstance(c, str)) + sum(chars[id(c)] for c in below)
+        links[key] = chars[key] if element.tag == "a" else sum(links[id(c)] for c in below)
+        paragraphs[key] = element.tag == "p" or any(paragraphs[id(c)] for c in below)
+    for element in elements:
+        if element.names and 2 * chars[id(element)] <= chars[id(root)]:
+            linked = links[id(element)] >= LINK_SHARE * chars[id(element)] or not paragraphs[id(element)]
+            element.noise = linked or not element.names <= LINKS
+
+
 def within(element: Element | None, tags: tuple[str, ...]) -> Element | None:
     while element is not None and element.tag not in tags:
         element = element.parent
@@ -115,6 +153,7 @@ def parsed(html: str) -> Element:
         if text:
             open_.content.append(unescape(text))
         if found is None:
+            named_noise(root)
             return root
         at = found.end()
         end, tag, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
@@ -134,6 +173,7 @@ def parsed(html: str) -> Element:
         if tag in ENDS:
             open_ = close(open_, *ENDS[tag])
         element = Element(tag, open_, is_noise(tag, attributes, open_))
+        element.names = noise_names(tag, attributes, open_)
         open_.content.append(element)
         if tag in RAW and not attributes.endswith("/"):
             closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)

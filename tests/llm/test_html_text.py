@@ -30,6 +30,20 @@ def test_pages(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div class='content with-sidebar'><p>{P}<p>{P}</div>", f"{P}\n\n{P}"),
+    (f"<div class=no-sidebar><p>{P}<p>{P}</div>", f"{P}\n\n{P}"),
+    (f"<div class='sidebar layout'><p>{P}<p>{P}</div><div class=sidebar>{P}</div>", f"{P}\n\n{P}"),  # most of the text
+    (f"<article><div class='entry-header'><h1>T</h1></div><p>{P}</article>", f"T\n\n{P}"),
+    (f"<article><p>{P}<p>{P}<section id='related-work'><h2 id=cookies>R</h2><p>{P}</section></article>",
+     f"{P}\n\n{P}\n\nR\n\n{P}"),
+    (f"<article><p>{P}<div class=related><ul><li><a href=x>{P[:30]}</a></ul></div></article>", P),
+    (f"<article><p>{P}<math><mi>x</mi><annotation>\\x</annotation></math> end</article>", f"{P}x end"),
+])
+def test_names_alone_remove_no_text(page, want):
+    assert main_text(page) == want
+
+
 def test_links_lower_the_density():
     links = "".join(f"<a href={i}>a link with some words {i}</a> " for i in range(30))
     page = f"<div>{links}</div><div><p>{P}</p><p>{P}</p></div>"
