@@ -7,8 +7,8 @@ its density sum adds up the densities of its children.  The element with the
 largest density sum leads the selection: the smallest density on the path
 from the body down to it is the threshold, and every element at or above the
 threshold contributes its own subtree of largest density sum.  When the leading
-element stands in an ``article`` or ``main``, that element bounds the text and
-all of it counts.
+element stands in an ``article`` or ``main``, these bound the text: every one
+at or above the threshold counts, and all of it.
 
 Elements that are no article text by what they are (menus, headers and footers
 of the page, forms, scripts, styles) are left out before densities are taken,
@@ -215,31 +215,36 @@ def measured(elements: list[Element]) -> None:
         element.total = sum(c.density for c in children(element))
 
 
+def topmost(elements: list[Element], chosen: set[int]) -> list[Element]:
+    """The chosen elements that stand in no other one."""
+    out, covered = [], set()
+    for element in elements:
+        if element.parent is not None and id(element.parent) in covered:
+            covered.add(id(element))
+        elif id(element) in chosen:
+            covered.add(id(element))
+            out.append(element)
+    return out
+
+
 def selected(root: Element) -> list[Element]:
     """Elements whose subtrees make up the main text, in page order."""
     elements = in_order(root)
     measured(elements)
     lead = max(elements, key=lambda x: x.total)  # the first of equals
     bound = within(lead, ("article", "main"))
-    if bound is not None:
-        return [bound]
-    if not lead.total:
+    if bound is None and not lead.total:
         return [root]
     threshold, at = lead.density, lead.parent
     while at is not None:
         threshold, at = min(threshold, at.density), at.parent
+    if bound is not None:
+        return topmost(elements, {id(x) for x in elements if x.tag in ("article", "main") and x.density >= threshold})
     best: dict[int, Element] = {}  # largest sum in the subtree of each element
     for element in reversed(elements):
         best[id(element)] = max([element, *(best[id(c)] for c in children(element))], key=lambda x: x.total)
     chosen = {id(best[id(x)]) for x in elements if x is not root and x.density >= threshold} | {id(lead)}
-    out, covered = [], set()
-    for element in elements:
-        if element.parent is not None and id(element.parent) in covered:
-            covered.add(id(element))
-        elif id(element) in chosen:
-            covered.add(id(element))
-            out.append(element)
-    return out
+    return topmost(elements, chosen)
 
 
 def blocks(element: Element) -> list[str]:

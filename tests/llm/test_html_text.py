@@ -44,6 +44,15 @@ def test_names_alone_remove_no_text(page, want):
     assert main_text(page) == want
 
 
+def test_all_articles_of_a_page_count():
+    sizes = (2, 6, 3)  # the second leads
+    articles = ["<article>" + "".join(f"<p>{P} {n}" for _ in range(n)) + "</article>" for n in sizes]
+    want = "\n\n".join(f"{P} {n}" for n in sizes for _ in range(n))
+    links = "<article>" + "".join(f"<p><a href=x>link {n}</a></p>" for n in range(20)) + "</article>"
+    assert main_text("".join(articles) + links) == want
+    assert main_text(f"<article><p>{P}{articles[1]}</article>{links}") == "\n\n".join([P] + [f"{P} 6"] * 6)
+
+
 def test_links_lower_the_density():
     links = "".join(f"<a href={i}>a link with some words {i}</a> " for i in range(30))
     page = f"<div>{links}</div><div><p>{P}</p><p>{P}</p></div>"
