@@ -1,8 +1,8 @@
 """tallyframe: frequency, top-k and bucketing analytics on Spark DataFrames.
 
 Operators are plain ``DataFrame -> DataFrame`` functions built from
-Spark's built-in expressions; nothing is collected inside an operator and
-no Python UDF is used.  See ``README.md`` for the map from the reference
+Spark's built-in expressions.  Only the summary of ``heavy_top_k`` runs in Python,
+by Arrow batches; what it and ``value_numbers`` collect is bounded.  See ``README.md`` for the map from the reference
 analysis to these functions.
 """
 
@@ -21,6 +21,7 @@ from tallyframe.operators import (
     distinct_count,
     drop_sentinel,
     fine_totals,
+    heavy_top_k,
     in_year,
     mode_of,
     rate_schedule,
@@ -30,20 +31,36 @@ from tallyframe.operators import (
     row_count,
     rows_of_top_groups,
     share_lift,
+    stored_distinct,
     top_groups,
     top_k,
     top_k_per_group,
+    value_bitmaps,
     value_counts,
+    value_numbers,
 )
 from tallyframe.plans.report import ticket_report
-from tallyframe.sources import StageFolder, normalize_columns, read_records, register_stage, reject_counts
+from tallyframe.sources import (
+    StageFolder,
+    TooManyRejects,
+    normalize_columns,
+    read_records,
+    register_stage,
+    reject_counts,
+    take_in,
+    text_records,
+)
+from tallyframe.sources.partials import PartTable, StoredCounts
 
 __version__ = "0.1.0"
 
 __all__ = [
     "SEASONS",
+    "PartTable",
     "StageFolder",
+    "StoredCounts",
     "TIME_OF_DAY_BINS",
+    "TooManyRejects",
     "bucket_intervals",
     "bucket_members",
     "calendar_parts",
@@ -52,6 +69,7 @@ __all__ = [
     "distinct_count",
     "drop_sentinel",
     "fine_totals",
+    "heavy_top_k",
     "hour24",
     "in_year",
     "mode_of",
@@ -66,10 +84,15 @@ __all__ = [
     "row_count",
     "rows_of_top_groups",
     "share_lift",
+    "stored_distinct",
+    "take_in",
+    "text_records",
     "ticket_report",
     "top_groups",
     "top_k",
     "top_k_per_group",
+    "value_bitmaps",
     "value_counts",
+    "value_numbers",
     "year_range",
 ]

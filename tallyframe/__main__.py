@@ -5,8 +5,9 @@
         --out hdfs:///results/tickets-2017
 
 or ``python -m tallyframe ...`` for a local session.  Each answer goes to
-``<out>/<question>`` and is written by the executors.  Values that do not
-parse are counted first, and the run fails if a column has no other.
+``<out>/<question>`` and is written by the executors.  The files are parsed once;
+values that do not parse go to ``--rejects``, and the run fails if a column has
+more of them than ``--max-rejected`` allows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tallyframe.plans.report import ticket_report  # noqa: E402
-from tallyframe.sources.records import read_records, reject_counts  # noqa: E402
+from tallyframe.sources.intake import MAX_REJECTED, TooManyRejects, take_in  # noqa: E402
+from tallyframe.sources.records import TICKET_COLUMNS  # noqa: E402
 from tallyframe.sources.stage import StageFolder  # noqa: E402
 
 
@@ -31,6 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", required=True, help="output folder, one Parquet table per answer")
     parser.add_argument("--year", type=int, default=2017)
     parser.add_argument("--date-format", default=None, help="e.g. MM/dd/yyyy; ISO dates need none")
+    parser.add_argument("--max-rejected", type=float, default=MAX_REJECTED, help="share of a column's values")
+    parser.add_argument("--rejects", default=None, help="folder for the values that do not parse")
     parser.add_argument("--state-sentinel", default="99")
     parser.add_argument("--midnight", choices=("reference", "strict"), default="reference")
     parser.add_argument("--stage", default=None, help="shared folder for intermediate tables; by default --out")
@@ -46,16 +50,22 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tallyframe").getOrCreate()
     if args.split_mb:
         spark.conf.set("spark.sql.files.maxPartitionBytes", f"{args.split_mb}m")
-    counts = reject_counts(spark, args.csv, date_format=args.date_format)
-    for column, (given, rejected) in counts.items():
-        if rejected:
-            print(f"{column}: {rejected} of {given} values cannot be read", file=sys.stderr)
-    unread = [column for column, (given, rejected) in counts.items() if given and given == rejected]
-    if unread:
-        print(f"no value of {unread} can be read; is --date-format right?", file=sys.stderr)
-        return 2
-    tickets = read_records(spark, args.csv, date_format=args.date_format, check=False)
     with StageFolder(spark, args.stage or args.out) as stage:
+        try:
+            taken = take_in(
+                spark, args.csv, stage, TICKET_COLUMNS, date_format=args.date_format, max_rejected=args.max_rejected
+            )
+        except TooManyRejects as stop:
+            print(f"{stop}; is --date-format right?", file=sys.stderr)
+            if args.rejects:
+                stop.intake.rejects.write.mode("overwrite").parquet(args.rejects)
+            return 2
+        for column, (given, bad) in taken.counts.items():
+            if bad:
+                print(f"{column}: {bad} of {given} values cannot be read", file=sys.stderr)
+        if args.rejects:
+            taken.rejects.write.mode("overwrite").parquet(args.rejects)
+        tickets = taken.records
         answers = ticket_report(
             tickets, stage, year=args.year, state_sentinel=args.state_sentinel, midnight=args.midnight
         )

@@ -1,4 +1,4 @@
-"""DataFrame -> DataFrame operators (built-in functions only, no UDFs)."""
+"""DataFrame -> DataFrame operators (built-in functions; only the summary of ``heavy`` runs in Python, by Arrow batches)."""
 
 from tallyframe.operators.counts import (
     count_of,
@@ -7,6 +7,7 @@ from tallyframe.operators.counts import (
     row_count,
     value_counts,
 )
+from tallyframe.operators.distinct_store import stored_distinct, value_bitmaps, value_numbers
 from tallyframe.operators.filters import (
     drop_sentinel,
     in_year,
@@ -24,6 +25,7 @@ from tallyframe.operators.fines import (
     revenue,
     schedule_means,
 )
+from tallyframe.operators.heavy import heavy_top_k
 from tallyframe.operators.joins import keep_keys, null_safe_join
 from tallyframe.operators.lift import share_lift, spread
 from tallyframe.operators.recode import mode_from_counts, mode_of, recode_counts, recode_sentinel
@@ -48,6 +50,7 @@ __all__ = [
     "distinct_count",
     "drop_sentinel",
     "fine_totals",
+    "heavy_top_k",
     "in_year",
     "keep_keys",
     "mode_of",
@@ -65,6 +68,9 @@ __all__ = [
     "share_lift",
     "spread",
     "top_k",
+    "stored_distinct",
     "top_k_per_group",
+    "value_bitmaps",
     "value_counts",
+    "value_numbers",
 ]

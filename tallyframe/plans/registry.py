@@ -1,20 +1,29 @@
 """Every question, run on the fixture tables.
 
-``QUERIES[name](spark, sf_dir)`` returns the result DataFrame without running a job; the
+``QUERIES[name](spark, sf_dir)`` returns the result DataFrame.  Only the queries over stored
+tables (files derived from the fixtures, partial counts) run jobs while they are built; the
 fixture-to-ticket mapping lives in ``sources.testdata``.  Every query reads
 whole tables (the year slices are the reference's own filters).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyframe.operators.distinct_store import stored_distinct, value_bitmaps, value_numbers
 from tallyframe.operators.fines import rate_schedule
+from tallyframe.operators.heavy import heavy_top_k
 from tallyframe.plans import questions as q
 from tallyframe.sources import testdata as td
+from tallyframe.sources.intake import take_in, text_records
+from tallyframe.sources.partials import PartTable, StoredCounts
 from tallyframe.sources.records import normalize_columns, register_stage
+from tallyframe.sources.stage import StageFolder, shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +60,73 @@ def _seasons_in_sql(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _year_files(spark: SparkSession, sf: str) -> str:
+    """``orders`` as CSV files, one folder for each way of writing the header."""
+    root = f"{shared_root(spark)}/intake-{uuid.uuid4().hex}"
+    tickets = td.order_tickets(spark, sf).withColumn("kind", F.year("Issue_Date") % 3)
+    state, date, number = F.col("Registration_State"), F.to_date("Issue_Date"), F.col("Summons_Number")
+    headers = [
+        {"Summons Number": number, "Registration State": state, "Issue Date": date},
+        {"Issue Date": date, "Registration State": state, "Summons Number": number},
+        {"Issue Date": F.when(date.isNotNull(), F.concat(F.lit("on "), date)), "Summons, Number": number},
+    ]
+    for kind, header in enumerate(headers):
+        rows = tickets.filter(F.col("kind") == kind).select(*[c.alias(name) for name, c in header.items()])
+        rows.write.csv(f"{root}/{kind}", header=True)
+    return root
+
+
+INTAKE = {"Summons_Number": T.LongType(), "Registration_State": T.StringType(), "Issue_Date": T.DateType()}
+
+
+def _mixed_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose headers differ in order and columns, read by name."""
+    return text_records(spark, f"{_year_files(spark, sf)}/*", INTAKE)
+
+
+def _rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that do not parse, a third of the dates, by column and text."""
+    stage = StageFolder(spark, shared_root(spark))
+    taken = take_in(spark, _year_files(spark, sf), stage, INTAKE, max_rejected=1.0)
+    return q.value_counts(taken.rejects, ["column", "text"], "n")
+
+
+def _stored_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct parts and priorities by year and in total, all from stored bitmaps."""
+    stage = StageFolder(spark, shared_root(spark))
+    items = td.lineitem_tickets(spark, sf).withColumn("part_of", F.year("Issue_Date"))
+    parts = stage.write(value_bitmaps(items, "part_of", "Violation_Code"), "parts")
+    orders = td.order_tickets(spark, sf).withColumn("part_of", F.year("Issue_Date"))
+    numbers = value_numbers(orders, "Registration_State", stage)
+    numbered = orders.join(numbers, "Registration_State")
+    states = stage.write(value_bitmaps(numbered, "part_of", "number"), "states")
+    whole = F.lit(None).cast("int").alias("Issue_Year")
+    out = []
+    for what, stored in (("part", parts), ("priority", states)):
+        by_year = stored_distinct(stored, "n", "part_of").withColumnRenamed("part_of", "Issue_Year")
+        total = stored_distinct(stored, "n").select(whole, "n")
+        out += [d.select(F.lit(what).alias("counted"), "Issue_Year", "n") for d in (by_year, total)]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
+def _delivered_again(spark: SparkSession, sf: str) -> DataFrame:
+    """State counts from stored partial counts after one year was delivered again, corrected."""
+    orders = td.order_tickets(spark, sf).withColumn("Issue_Year", F.year("Issue_Date"))
+    stored = StoredCounts(spark, f"{shared_root(spark)}/counts-{uuid.uuid4().hex}", "Issue_Year", "Registration_State")
+    first = orders.filter((F.col("Issue_Year") != td.ORDERS_YEAR) | (F.col("Summons_Number") % 2 == 0))
+    stored.deliver_all(first.unionAll(first.filter(F.col("Issue_Year") == td.ORDERS_YEAR)))
+    stored.deliver(td.order_tickets(spark, sf, td.ORDERS_YEAR), td.ORDERS_YEAR)
+    return stored.totals("Registration_State", "Num_Of_Entries")
+
+
+def _staged_year(spark: SparkSession, sf: str) -> DataFrame:
+    """The year's season counts from a table staged by year, of which one folder is read."""
+    orders = td.order_tickets(spark, sf).withColumn("Issue_Year", F.year("Issue_Date"))
+    staged = PartTable(spark, f"{shared_root(spark)}/years-{uuid.uuid4().hex}", "Issue_Year")
+    staged.deliver_all(orders)
+    return q.season_counts(q.seasons(staged.one(td.ORDERS_YEAR)))
+
+
 QUERIES: dict[str, Query] = {
     "q01_rows_in_file": lambda s, d: q.rows(td.order_tickets(s, d)),
     "q02_rows_in_year": lambda s, d: q.rows_in_year(td.order_tickets(s, d), td.ORDERS_YEAR),
@@ -114,7 +190,16 @@ QUERIES: dict[str, Query] = {
     "s3_season_codes_sql": _seasons_in_sql,
     "f4_literal_precinct_mix": lambda s, d: q.precinct_code_mix(_tk(s, d), 19, 5),
     "f5_numeric_sentinel_rows": lambda s, d: q.sentinel_rows(td.coded_tickets(s, d), 42),
+    "s1_mixed_headers": _mixed_headers,
+    "s1_rejected_values": _rejects,
+    "t4_heavy_parts": lambda s, d: heavy_top_k(td.lineitem_tickets(s, d), "Violation_Code", 5),
+    "a4_stored_distinct": _stored_distinct,
+    "a6_delivered_again": _delivered_again,
+    "s8_staged_year": _staged_year,
     "q23_season_parts": lambda s, d: q.season_top_codes(q.seasons(td.lineitem_tickets(s, d)), 3),
 }
 
+# Queries over tables that they derive from the fixtures and store first.
+STORED = ("s1_mixed_headers", "s1_rejected_values", "t4_heavy_parts", "a4_stored_distinct", "a6_delivered_again", "s8_staged_year")
+
 FLAGSHIP = "q23_season_top_codes"

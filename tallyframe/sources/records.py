@@ -10,12 +10,15 @@ reader prunes the columns no query uses.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import warnings
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.sources.intake import clean_name, normalize_columns, over_limit, rejected, text_records, typed  # noqa: F401
+
 # Columns of the ticket table that the analysis uses, with their types.
 TICKET_COLUMNS: dict[str, T.DataType] = {
     "Summons_Number": T.LongType(),
@@ -30,97 +33,61 @@ TICKET_COLUMNS: dict[str, T.DataType] = {
 }
 
 
-def clean_name(name: str) -> str:
-    """Header text to column name: spaces become ``_``, commas are removed."""
-    return name.replace(" ", "_").replace(",", "")
-
-
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Rename every column with ``clean_name``; refuse names that collide."""
-    seen: dict[str, str] = {}
-    for original in df.columns:
-        cleaned = clean_name(original)
-        if cleaned in seen:
-            raise ValueError(
-                f"columns {seen[cleaned]!r} and {original!r} both become {cleaned!r}"
-            )
-        seen[cleaned] = original
-    return df.toDF(*[clean_name(c) for c in df.columns])
-
-
-def typed_column(name: str, dtype: T.DataType, date_format: str | None) -> F.Column:
-    if isinstance(dtype, T.StringType):
-        return F.col(name)
-    if isinstance(dtype, T.DateType) and date_format:
-        return F.try_to_date(F.col(name), date_format)
-    return F.col(name).try_cast(dtype)
-
-
-def raw_records(spark: SparkSession, path: str, columns: Mapping[str, T.DataType], sep: str) -> DataFrame:
-    """The file's ``columns`` as text under their cleaned names."""
-    raw = (
-        spark.read.option("header", "true")
-        .option("inferSchema", "false")
-        .option("sep", sep)
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    named = normalize_columns(raw)
-    missing = [c for c in columns if c not in named.columns]
-    if missing:
-        raise ValueError(f"columns not in the file header: {missing}")
-    return named.select(*columns)
-
-
 def reject_counts(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
     date_format: str | None = None,
     sep: str = ",",
 ) -> dict[str, tuple[int, int]]:
-    """(values, rejected values) of each typed column, from one pass over the file.
+    """(values, rejected values) of each typed column, from one pass over the files.
 
     A value is text that is not empty; it is rejected if it does not parse.
     """
-    raw = raw_records(spark, path, columns, sep)
-    typed = {c: t for c, t in columns.items() if not isinstance(t, T.StringType)}
-    if not typed:
+    raw = text_records(spark, path, columns, sep)
+    parsed = {c: t for c, t in columns.items() if not isinstance(t, T.StringType)}
+    if not parsed:
         return {}
     counts = []
-    for c, t in typed.items():
-        given = F.trim(F.col(c)) != F.lit("")
-        counts.append(F.count_if(given).alias(f"given {c}"))
-        counts.append(F.count_if(given & typed_column(c, t, date_format).isNull()).alias(f"rejected {c}"))
+    for c, t in parsed.items():
+        counts.append(F.count_if(F.trim(F.col(f"`{c}`")) != "").alias(f"given {c}"))
+        counts.append(F.count_if(rejected(c, t, date_format)).alias(f"rejected {c}"))
     row = raw.agg(*counts).first()
-    return {c: (row[f"given {c}"], row[f"rejected {c}"]) for c in typed}
+    return {c: (row[f"given {c}"], row[f"rejected {c}"]) for c in parsed}
 
 
 def read_records(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     columns: Mapping[str, T.DataType] = TICKET_COLUMNS,
     date_format: str | None = None,
     sep: str = ",",
     check: bool = True,
+    max_rejected: float = 0.5,
 ) -> DataFrame:
-    """CSV with a header row -> DataFrame of the cleaned, typed ``columns``.
+    """CSV with header rows -> DataFrame of the cleaned, typed ``columns``.
 
+    Files are read by their own headers (``intake.text_records``).
     ``date_format`` (e.g. ``MM/dd/yyyy``) parses date columns; without it
     ISO dates are cast.  Text that does not parse becomes NULL, so with
-    ``check`` the values are first counted in one pass (``reject_counts``),
-    and a typed column that holds values of which none parses is an error.
+    ``check`` the values are first counted in one pass (``reject_counts``):
+    columns with rejected values are named in a warning, and a share of
+    them above ``max_rejected`` is an error.  ``take_in`` parses the files only
+    once, and keeps what it rejects.
     """
-    raw = raw_records(spark, path, columns, sep)
     if check:
         counts = reject_counts(spark, path, columns, date_format, sep)
-        lost = [c for c, (given, rejected) in counts.items() if given and given == rejected]
+        lost = over_limit(counts, max_rejected)
         if lost:
             raise ValueError(
-                f"no value of {lost} can be read as {[columns[c].simpleString() for c in lost]}"
-                f" (date_format={date_format!r})"
+                f"{[counts[c][1] for c in lost]} values of {lost} cannot be read as"
+                f" {[columns[c].simpleString() for c in lost]} (date_format={date_format!r})"
             )
-    return raw.select(*[typed_column(c, t, date_format).alias(c) for c, t in columns.items()])
+        some = {c: bad for c, (_, bad) in counts.items() if bad}
+        if some:
+            warnings.warn(f"values that cannot be read became NULL: {some}", stacklevel=2)
+    raw = text_records(spark, path, columns, sep)
+    return raw.select(*[typed(c, t, date_format).alias(c) for c, t in columns.items()])
 
 
 def register_stage(df: DataFrame, name: str) -> DataFrame:

@@ -1,0 +1,141 @@
+"""Heavy hitters, stored distinct counts, partial counts by delivery."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import types as T
+
+from tallyframe.operators import heavy
+from tallyframe.operators.counts import value_counts
+from tallyframe.operators.distinct_store import stored_distinct, value_bitmaps, value_numbers
+from tallyframe.operators.heavy import cut, heavy_top_k, merged_summary, summary_in
+from tallyframe.operators.topk import top_k, top_k_per_group
+from tallyframe.plans import questions as q
+from tallyframe.sources import StageFolder
+from tallyframe.sources import testdata as td
+from tallyframe.sources.partials import PartTable, StoredCounts
+from tests.conftest import SF01
+
+SUMMARY = to_arrow_schema(T.StructType([T.StructField(c, T.LongType()) for c in ("key", "n", "error")]))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.none(), st.integers(0, 12)), max_size=40), max_size=5), st.integers(1, 6))
+def test_summary_errors_bound_every_key(batches, size):
+    given_ = [pa.RecordBatch.from_arrays([pa.array(b, pa.int64())], names=["key"]) for b in batches]
+    out = [r for batch in summary_in(iter(given_), SUMMARY, size) for r in batch.to_pylist()]
+    error, counters = out[-1]["error"], {r["key"]: r["n"] for r in out[:-1]}
+    rows = [key for b in batches for key in b]
+    assert len(counters) <= size and error * (size + 1) <= len(rows)
+    for key in set(rows):
+        assert counters.get(key, 0) <= rows.count(key) <= counters.get(key, 0) + error
+
+
+def test_cut_leaves_ties_out_together():
+    counters = {"a": 5, "b": 3, "c": 3, "d": 1}
+    assert cut(counters, 2) == 3 and counters == {"a": 2} and cut(counters, 2) == 0
+
+
+def zipf(spark, rows=40_000):
+    keys = (np.random.default_rng(2).zipf(1.3, rows) % 1_000_003).tolist()
+    return spark.createDataFrame([(None if k == 3 else k,) for k in keys], "k long").repartition(4)
+
+
+def plain(df, key, k):
+    return [tuple(r) for r in top_k(value_counts(df, key, "n", order=False), "n", key, k).collect()]
+
+
+@pytest.mark.parametrize("size, k", [(64, 5), (256, 20), (1024, 1)])
+def test_equal_to_the_plain_top_k_with_a_null_key(spark, size, k):
+    df = zipf(spark).cache()
+    assert [tuple(r) for r in heavy_top_k(df, "k", k, size=size).collect()] == plain(df, "k", k)
+
+
+def test_a_small_summary_proves_a_skewed_cut(spark, monkeypatch):
+    df = zipf(spark).cache()
+    sizes = []
+    whole = merged_summary
+    monkeypatch.setattr(heavy, "merged_summary", lambda d, key, size: sizes.append(size) or whole(d, key, size))
+    heavy_top_k(df, "k", 5, size=256)
+    assert sizes == [256] and df.select("k").distinct().count() > 10 * 256
+    keys, bound = whole(df, "k", 256)
+    assert len(keys) <= 256 and 0 < bound < plain(df, "k", 5)[-1][1]
+
+
+def test_even_counts_and_ties_fall_back_to_all_keys(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    assert [tuple(r) for r in heavy_top_k(df, "k", 3, size=8, largest=64).collect()] == [(0, 2), (1, 2), (2, 2)]
+    assert [tuple(r) for r in heavy_top_k(df, "k", 3, size=8, largest=4096).collect()] == [(0, 2), (1, 2), (2, 2)]
+    few = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
+    assert [tuple(r) for r in heavy_top_k(few, "k", 9, size=9).collect()] == [("a", 2), (None, 1), ("b", 1)]
+    assert heavy_top_k(few.limit(0), "k", 2).count() == 0
+    with pytest.raises(ValueError):
+        heavy_top_k(few, "k", 9, size=8)
+
+
+def test_lineitem_keys(spark):
+    items = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    for key in ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"):
+        assert [tuple(r) for r in heavy_top_k(items, key, 7).collect()] == plain(items, key, 7)
+
+
+def test_stored_distinct_counts_add_up(spark, tmp_path):
+    rows = [("a", 0), ("a", -1), ("a", 40_000), ("b", 0), ("b", 40_000), ("b", -40_000), ("c", None), ("a", 0), (None, 5), ("b", 2**40)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    bitmaps = value_bitmaps(df, "g", "v")
+    assert {r.g: r.n for r in stored_distinct(bitmaps, "n", "g").collect()} == {"a": 3, "b": 4, None: 1}
+    assert stored_distinct(bitmaps, "n").first().n == 6
+    assert stored_distinct(bitmaps.filter("g IN ('a', 'b')"), "n").first().n == 5
+    assert stored_distinct(value_bitmaps(df.limit(0), "g", "v"), "n").first().n == 0
+    with pytest.raises(TypeError):
+        value_bitmaps(df, "v", "g")
+    with StageFolder(spark, str(tmp_path)) as stage:
+        numbers = value_numbers(df, "g", stage)
+        assert sorted(tuple(r) for r in numbers.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def orders(spark, year=None):
+    return td.order_tickets(spark, SF01, year).withColumn("Issue_Year", F.year("Issue_Date"))
+
+
+def test_a_second_delivery_replaces_the_first(spark, tmp_path):
+    season = q.seasons(orders(spark)).select("Summons_Number", "Seasonality")
+    seasons = orders(spark).join(season, "Summons_Number").select("Issue_Year", "Registration_State", "Seasonality", "Violation_Code")
+    stored = StoredCounts(spark, str(tmp_path / "c"), "Issue_Year", ["Registration_State", "Seasonality", "Violation_Code"])
+    stored.deliver_all(seasons.filter("Issue_Year <> 1997 OR Seasonality = 'Winter'"))
+    stored.deliver(seasons.filter("Issue_Year = 1997").limit(10), 1997)  # broken off
+    again = seasons.filter("Issue_Year = 1997")
+    stored.deliver(again, 1997)
+    states = sorted(tuple(r) for r in stored.totals("Registration_State", "Num_Of_Entries").collect())
+    assert states == sorted(tuple(r) for r in q.state_counts(orders(spark)).collect())  # Q04
+    codes = sorted(tuple(r) for r in stored.totals("Violation_Code", "n").collect())
+    assert codes == sorted(tuple(r) for r in value_counts(orders(spark), "Violation_Code").collect())  # Q18
+    year = stored.totals(["Seasonality", "Violation_Code"], "ticket_count", [1997])
+    best = sorted(tuple(r) for r in top_k_per_group(year, "Seasonality", "Violation_Code", "ticket_count", 3).collect())
+    assert best == sorted(tuple(r) for r in q.season_top_codes(q.seasons(orders(spark, 1997)), 3).collect())  # Q23
+    with pytest.raises(ValueError, match="another part"):
+        stored.table.deliver(seasons, 1997)
+    stored.deliver(again.limit(0), 1997)
+    assert stored.totals("Registration_State", parts=[1997]).count() == 0
+
+
+def test_one_part_is_read_and_replaced(spark, tmp_path):
+    table = PartTable(spark, str(tmp_path / "t"), "Issue_Year")
+    table.deliver_all(orders(spark))
+    one = table.one(1997)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Issue_Year" in plan and "PushedFilters: []" in plan
+    files = lambda: {f for f in table.read().inputFiles()}
+    before = files()
+    table.deliver_all(orders(spark, 1997))
+    changed = before ^ files()
+    assert changed and all("Issue_Year=1997" in f for f in changed)
+    assert table.one(1997).count() == orders(spark, 1997).count() and table.read().count() == orders(spark).count()
+    with pytest.raises(ValueError, match="the delivery has"):
+        table.deliver(orders(spark, 1997).drop("Violation_Code"), 1997)
