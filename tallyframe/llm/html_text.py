@@ -11,12 +11,17 @@ element stands in an ``article`` or ``main``, these bound the text: every one
 at or above the threshold counts, and all of it.
 
 Elements that are no article text by what they are (menus, headers and footers
-of the page, forms, scripts, styles) are left out before densities are taken,
+of the page, controls, scripts, styles) are left out before densities are taken,
 and so are those that are named as such (sidebars, notices, adverts, reader
-comments).  A name counts only if it is the element's own (not ``with-sidebar``),
-never for headings or an article's header, and never for an element with most
-of the page's text; one of links (menus, related pages) only if links or the
-lack of paragraphs bear it out.
+comments).  A form or fieldset goes with its text unless it holds the page's article
+(an ``article``, ``main`` or ``h1``) or, outside of one, more paragraphs than controls; a label goes if it is a
+control's.  A class or id counts as a name only if all its parts are listed names
+or words for a place or box (``sidebar-left``, not ``side-effects`` or ``with-sidebar``), and
+not beside a class for the content (``sidebar layout``); never for headings, an article's
+header or, but for adverts and comments, paragraphs of an article; never for an element
+that holds the article; and one of links (menus, related pages) only if links or the
+lack of paragraphs bear it out.  If names would leave no text at all, they do not count.
+None of this depends on how much text an element has.
 
 Each page is a row of its own; memory is bounded by a batch of pages.
 
@@ -43,7 +48,7 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",  # with a quote that does not end
     re.S,
 )
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?|[\s=/\"']")
 
 HEAD = frozenset("title meta link style script base noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,71 +64,123 @@ ENDS = {
     "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
 }
 ENDS = {tag: (frozenset(ends.split()), frozenset(until.split())) for tag, (ends, until) in ENDS.items()}
-NOISE = frozenset("head nav aside footer form button select dialog menu label input fieldset".split())
+CONTROLS = frozenset("button input select textarea".split())
+NOISE = CONTROLS | frozenset("head nav aside footer dialog menu option optgroup datalist legend output meter progress".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+FORMS = frozenset("form fieldset".split())
 HEADERS = frozenset("header masthead topbar".split())  # not inside an article
 LINKS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs social share sharing related recommended pagination pager".split())
-NAMES = HEADERS | LINKS | frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
-    " notice newsletter subscribe signup popup modal overlay sidebar side widget footer comment comments commentlist disqus"
-    " reply replies respond login search".split()
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ADVERTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion newsletter subscribe signup".split()
 )
-OF_OTHERS = frozenset("with without no non not has".split())  # with-sidebar, no-menu
+NAMES = HEADERS | LINKS | COMMENTS | ADVERTS | frozenset(
+    "banner cookie cookies consent gdpr notice popup modal overlay sidebar side widget footer login search".split()
+)
+PLACES = frozenset(  # that a name may stand with
+    "left right top bottom upper lower primary secondary first last inner outer container wrapper wrap box block area section"
+    " list item items group row col column panel pane slot zone unit bar buttons button links link form site page global"
+    " main reader readers user users policy message thread tree children depth even odd by and the".split()
+)
+CONTENT = frozenset("layout content page main post entry story article".split())  # beside a name: the content, laid out so
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PROSE = frozenset("p blockquote pre li dt dd td th figure figcaption".split())
 LINK_SHARE = 0.3  # of the text of an element named for its links
 
 
 class Element:
-    __slots__ = ("tag", "parent", "content", "noise", "names", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = (
+        "tag", "parent", "content", "noise", "names", "control", "chars", "tags", "link_chars", "link_tags", "density", "total",
+    )
 
-    def __init__(self, tag: str, parent: Element | None, noise: bool) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
-        self.names: set[str] = set()  # that speak for leaving it out
+    def __init__(self, tag: str, parent: Element | None, attributes: str = "") -> None:
+        self.tag, self.parent = tag, parent
         self.content: list[Element | str] = []  # in page order
+        given = attributes_of(attributes)
+        self.noise = parent is not None and is_noise(tag, given, parent)
+        self.names = set() if parent is None else noise_names(tag, given, parent)  # that speak for leaving it out
+        # A control that is seen, or a label of one.
+        self.control = (tag in CONTROLS and given.get("type", "").lower() != "hidden") or (tag == "label" and "for" in given)
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Names (lower case) and values in the order of the tag; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        if name:
+            out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
 
 
-def is_noise(tag: str, attributes: str, inside: Element) -> bool:
+def is_noise(tag: str, attributes: dict[str, str], inside: Element) -> bool:
+    if tag == "footer" and within(inside, ("blockquote",)):
+        return False  # says whose words they are
     if tag in NOISE or tag in RAW:
         return True
     if tag == "header" and not within(inside, ("article", "main")):
         return True
-    if attributes and tag not in ("html", "body", "article", "main"):
-        for name, value in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name == "hidden" or (name == "role" and value.lower() in NOISE_ROLES):
-                return True
-    return False
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return "hidden" in attributes or attributes.get("role", "").lower() in NOISE_ROLES and tag not in FORMS
 
 
-def noise_names(tag: str, attributes: str, inside: Element) -> set[str]:
+def noise_names(tag: str, attributes: dict[str, str], inside: Element) -> set[str]:
     """The listed names by which the element's class or id calls the element itself."""
+    if tag in HEADINGS or tag in ("html", "body", "main"):
+        return set()
     out: set[str] = set()
-    if attributes and tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
-        for name, value in ATTRIBUTE.findall(attributes):
-            if name.lower() in ("class", "id"):
-                for one in value.strip("\"'").lower().split():
-                    parts = set(re.split("[-_]", one))
-                    if not parts & OF_OTHERS:
-                        out |= parts & NAMES
-    if out & HEADERS and within(inside, ("article", "main")):
+    for key in ("class", "id"):
+        words = [re.split("[-_]+", one) for one in attributes.get(key, "").lower().split()]
+        if any(len(parts) == 1 and parts[0] in CONTENT for parts in words):
+            return set()
+        for parts in words:
+            names = NAMES.intersection(parts)
+            if names and all(p in NAMES or p in PLACES or p.isdigit() or not p for p in parts):
+                out |= names
+    if within(inside, ("article", "main")):
         out -= HEADERS
+        if tag in PROSE:
+            out &= ADVERTS | COMMENTS
+    return out if tag != "article" else out & (ADVERTS | COMMENTS | LINKS)
+
+
+def everything(root: Element) -> list[Element]:
+    """All elements, parents first."""
+    out = [root]
+    for element in out:
+        out.extend(c for c in element.content if not isinstance(c, str))
     return out
 
 
-def named_noise(root: Element) -> None:
-    """Leave out the elements whose text agrees with their names."""
-    elements = in_order(root)
-    chars, links, paragraphs = {}, {}, {}
+def judge(root: Element) -> None:
+    """Leave out forms, labels and named elements by what they hold."""
+    elements = everything(root)
+    controls, paragraphs, holds, linked, chars = {}, {}, {}, {}, {}
     for element in reversed(elements):
-        below = children(element)
+        below = [c for c in element.content if not isinstance(c, str)]
         key = id(element)
-        chars[key] = sum(len(" ".join(c.split())) for c in element.content if isinstance(c, str)) + sum(chars[id(c)] for c in below)
-        links[key] = chars[key] if element.tag == "a" else sum(links[id(c)] for c in below)
-        paragraphs[key] = element.tag == "p" or any(paragraphs[id(c)] for c in below)
+        own = sum(len(" ".join(c.split())) for c in element.content if isinstance(c, str))
+        seen = [c for c in below if not c.noise]
+        chars[key] = own + sum(chars[id(c)] for c in seen)
+        linked[key] = chars[key] if element.tag == "a" else sum(linked[id(c)] for c in seen)
+        controls[key] = element.control + sum(controls[id(c)] for c in below)
+        paragraphs[key] = (element.tag == "p" and chars[key] > 0 and not controls[key]) + sum(paragraphs[id(c)] for c in below)
+        holds[key] = any(holds[id(c)] or c.tag in ("main", "h1") or (c.tag == "article" and not c.names) for c in seen)
+        if element.tag in FORMS and not holds[key]:
+            inside = within(element, ("article", "main")) is not None
+            element.noise = element.noise or inside or paragraphs[key] <= controls[key]
+        if element.tag == "label" and controls[key]:
+            element.noise = True
+    named = []
     for element in elements:
-        if element.names and 2 * chars[id(element)] <= chars[id(root)]:
-            linked = links[id(element)] >= LINK_SHARE * chars[id(element)] or not paragraphs[id(element)]
-            element.noise = linked or not element.names <= LINKS
+        if element.names and not element.noise and not holds[id(element)]:
+            bare = linked[id(element)] >= LINK_SHARE * chars[id(element)] or not paragraphs[id(element)]
+            if bare or not element.names <= LINKS:
+                element.noise = True
+                named.append(element)
+    if not any(text.strip() for element in in_order(root) for text in element.content if isinstance(text, str)):
+        for element in named:
+            element.noise = False
 
 
 def within(element: Element | None, tags: tuple[str, ...]) -> Element | None:
@@ -145,7 +202,7 @@ def close(open_: Element, tags, until=frozenset()) -> Element:
 
 def parsed(html: str) -> Element:
     """The page's elements under one root, which stands for the body."""
-    root = Element("body", None, False)
+    root = Element("body", None)
     open_, at = root, 0
     while True:
         found = TAG.search(html, at)
@@ -153,7 +210,7 @@ def parsed(html: str) -> Element:
         if text:
             open_.content.append(unescape(text))
         if found is None:
-            named_noise(root)
+            judge(root)
             return root
         at = found.end()
         end, tag, attributes = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
@@ -172,8 +229,7 @@ def parsed(html: str) -> Element:
             open_ = close(open_, ("p",), BLOCK - {"p"})
         if tag in ENDS:
             open_ = close(open_, *ENDS[tag])
-        element = Element(tag, open_, is_noise(tag, attributes, open_))
-        element.names = noise_names(tag, attributes, open_)
+        element = Element(tag, open_, attributes)
         open_.content.append(element)
         if tag in RAW and not attributes.endswith("/"):
             closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
