@@ -71,7 +71,15 @@ def outcome(earlier: Column) -> Column:
 def merged_headers(stored: Column, update: Column) -> Column:
     """Stored fields, the permitted ones replaced or added from the update; names in lower case."""
     none = F.expr("map()").cast("map<string,string>")
-    lower = lambda m: F.transform_keys(F.coalesce(m, none), lambda k, _: F.lower(k))
+
+    def lower(m: Column) -> Column:
+        """Of fields whose names are equal but for case, the last one counts."""
+        m = F.coalesce(m, none)
+        names = F.transform(F.map_keys(m), F.lower)
+        fields = F.arrays_zip(names.alias("name"), F.map_values(m).alias("value"))
+        last = F.filter(fields, lambda f, i: i == F.size(m) - F.array_position(F.reverse(names), f["name"]))
+        return F.map_from_entries(last)
+
     allowed = F.map_filter(lower(update), lambda k, _: k.isin(*PERMITTED))
     untouched = F.map_filter(lower(stored), lambda k, _: ~F.map_contains_key(allowed, k))
     return F.map_concat(untouched, allowed)

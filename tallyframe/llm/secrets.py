@@ -39,6 +39,8 @@ from tallyframe.llm.common import named, staged, table, text_keys
 BROADCAST_CANDIDATES = 500_000
 MOST_STRINGS = 64  # exact strings that one part of an expression may stand for
 PLACEHOLDER = "[secret]"
+STRETCH = 128  # values of an array that are summed up together
+BLOCK = 4096  # code points of a text that are cut out together
 
 
 class Rule(NamedTuple):
@@ -238,45 +240,88 @@ def secret_spans(
     return scanned.select("row", "doc_id").join(spans, "row", "left").select("doc_id", "found")
 
 
+def with_running(df: DataFrame, values: str, name: str, combine) -> DataFrame:
+    """``df`` with the column ``name``: the values of an array of longs combined from the first one up to each.
+
+    Arrays are immutable, so one grown step by step costs its length's square: it is done within
+    stretches of ``STRETCH`` values, and for the stretches' totals.
+    """
+
+    def grown(array: Column) -> Column:
+        def longer(out: Column, v: Column) -> Column:
+            return F.concat(out, F.array(F.coalesce(combine(F.try_element_at(out, F.lit(-1)), v), v)))
+
+        return F.aggregate(array, F.array().cast("array<long>"), longer)
+
+    size = F.size(values)
+    firsts = F.sequence(F.lit(0), F.floor((size - 1) / STRETCH).cast("int"))
+    stretches = F.transform(firsts, lambda i: grown(F.slice(values, i * STRETCH + 1, STRETCH)))
+    df = df.withColumn("_part", F.when(size > 0, stretches).otherwise(F.array().cast("array<array<long>>")))
+    totals = grown(F.transform("_part", lambda part: F.try_element_at(part, F.lit(-1))))
+    df = df.withColumn("_before", F.slice(F.concat(F.array(F.lit(None).cast("long")), totals), 1, F.size("_part")))
+    whole = F.transform(
+        F.arrays_zip("_part", "_before"),
+        lambda z: F.transform(z["_part"], lambda v: F.coalesce(combine(z["_before"], v), v)),
+    )
+    return df.withColumn(name, F.flatten(whole)).drop("_part", "_before")
+
+
+def stretch_of(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text that is cut into blocks of ``BLOCK``."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    skip, rest = (start % BLOCK).cast("int"), (end % BLOCK).cast("int")
+    at = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    within = F.substring(at(first), skip + 1, (end - start).cast("int"))
+    middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(at(first), skip + 1, F.lit(BLOCK)), middle, F.substring(at(last), F.lit(1), rest))
+    return F.when(first == last, within).otherwise(across)
+
+
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """``documents`` with every secret in its text replaced by ``PLACEHOLDER``.
 
     Spans are those of the original text; overlapping ones are replaced as one.
-    A null text stays null.
+    A null text stays null.  The time is about in proportion to a text's length and
+    its number of secrets.
     """
     names = documents.columns
     rows = documents.select(
         F.struct(*[documents[f"`{c}`"] for c in names]).alias("row"), documents[f"`{text_col}`"].alias("text")
     )
-    text, no_spans = F.col("text"), F.array().cast("array<struct<start: int, end: int>>")
+    text = F.col("text")
 
     def placed(rule: Rule) -> Column:
-        """(start, end) of the rule's secrets."""
-
-        def step(done: Column, p: Column) -> Column:
-            start = done["at"] + F.length(p["gap"])
-            end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-            longer = F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-            spans = F.when(F.length(p["checked"]) >= rule.least, longer).otherwise(done["spans"])
-            return F.struct(end.alias("at"), spans.alias("spans"))
-
-        none = F.struct(F.lit(0).alias("at"), no_spans.alias("spans"))
-        return F.when(verified(rule, text), F.aggregate(parts(rule, text), none, step, lambda done: done["spans"]))
-
-    def shown(done: Column, span: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, span["start"] - done["at"])
-        more = F.concat(done["pieces"], F.array(F.concat(gap, F.lit(PLACEHOLDER))))
-        apart = span["start"] >= done["at"]
-        return F.struct(
-            F.greatest(done["at"], span["end"]).alias("at"), F.when(apart, more).otherwise(done["pieces"]).alias("pieces")
-        )
-
-    spans = F.array_sort(F.flatten(F.array_compact(F.array(*[placed(rule) for rule in rules]))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
-    rest = F.substring(text, F.col("done.at") + 1, F.length(text))
-    covered = F.when(F.size("done.pieces") > 0, F.concat(F.array_join("done.pieces", ""), rest)).otherwise(text)
-    out = with_kinds(rows, rules).select("row", "text", spans.alias("spans"))
-    out = out.select("row", "text", F.aggregate("spans", start, shown).alias("done"))
+        """(size of gap and hit, hit, whether it is a secret) of the rule's matches.  They cover the text, so one more
+        of minus its length takes a running sum back to zero."""
+
+        def sizes(p: Column) -> Column:
+            hit = F.coalesce(F.length(p["hit"]), F.lit(0))
+            secret = F.coalesce(F.length(p["checked"]) >= rule.least, F.lit(False))
+            return F.struct((F.length(p["gap"]) + hit).cast("long").alias("size"), hit.alias("hit"), secret.alias("secret"))
+
+        back = F.struct((-F.length(text)).cast("long").alias("size"), F.lit(0).alias("hit"), F.lit(False).alias("secret"))
+        return F.when(verified(rule, text), F.concat(F.transform(parts(rule, text), sizes), F.array(back)))
+
+    found = F.flatten(F.array_compact(F.array(*[placed(rule) for rule in rules])))
+    out = with_kinds(rows, rules).select("row", "text", found.alias("found")).withColumn("size", F.col("found.size"))
+    out = with_running(out, "size", "end", lambda a, b: a + b)
+    spans = F.transform(
+        F.filter(F.arrays_zip("found", "end"), lambda z: z["found"]["secret"]),
+        lambda z: F.struct((z["end"] - z["found"]["hit"]).alias("start"), z["end"].alias("end")),
+    )
+    out = out.select("row", "text", F.array_sort(spans).alias("spans")).withColumn("end", F.col("spans.end"))
+    # Null before the first.
+    out = with_running(out, "end", "reached", lambda a, b: F.greatest(a, b) + a * 0)
+    starts = F.slice(F.concat(F.array(F.lit(0).cast("long")), "reached"), 1, F.size("spans"))
+    heads = F.filter(F.arrays_zip(F.col("spans").alias("span"), starts.alias("at")), lambda z: z["span"]["start"] >= z["at"])
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    out = out.select(
+        "row", "text", "reached", F.when(F.size("spans") > 0, heads).alias("heads"), F.when(F.size("spans") > 0, blocks).alias("blocks"),
+    )
+    block = F.col("blocks")
+    pieces = F.transform("heads", lambda z: F.concat(stretch_of(block, z["at"], z["span"]["start"]), F.lit(PLACEHOLDER)))
+    rest = stretch_of(block, F.try_element_at("reached", F.lit(-1)), F.length("text").cast("long"))
+    covered = F.when(F.col("heads").isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
     return out.select(*[covered.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tallyframe.llm.revisits as revisits
-from tallyframe.llm.revisits import canonical_url, resolve_revisits
+from tallyframe.llm.revisits import canonical_url, merged_headers, resolve_revisits
 
 SCHEMA = (
     "record_id long, kind string, url string, fetched long, status int, etag string, last_modified long, digest string,"
@@ -77,3 +77,13 @@ def test_hot_url_over_many_slices_matches_brute_force(spark, monkeypatch, slice_
 
 def test_empty(spark):
     assert resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_header_names_that_differ_in_case_only(spark):
+    """The last of them counts, on either side."""
+    both = [("ETag", "1"), ("Date", "a"), ("etag", "2"), ("date", "b"), ("X", "y")]
+    df = spark.range(1).select(
+        F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in both) + ")").alias("stored"),
+        F.expr("map('EXPIRES', 'p', 'Expires', 'q', 'expires', 'r', 'Content-Length', '5')").alias("update"))
+    merged, alone = df.select(merged_headers(F.col("stored"), F.col("update")), merged_headers(F.col("stored"), F.lit(None).cast("map<string,string>"))).first()
+    assert merged == {"etag": "2", "date": "b", "x": "y", "expires": "r"} and alone == {"etag": "2", "date": "b", "x": "y"}

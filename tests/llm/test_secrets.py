@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import itertools
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import tallyframe.llm.secrets as secrets
 from tallyframe.llm.secrets import ANY, BASE_RULES, RULES, Rule, redacted, secret_spans, trigram_query
@@ -119,3 +122,34 @@ def test_overlapping_secrets_are_covered_as_one(spark):
     assert got[0] == "[secret]db" and got[2] == "a [secret]x b"
     assert got == {i: merged(text) for i, text in enumerate(texts)}
     assert all(not brute_force(text) for text in got.values())
+
+
+def test_many_secrets_in_one_text_take_linear_time(spark):
+    one = "é𝒳 token=abcdef0123456789abcdef012345 and plain words "
+
+    def seconds(hits):
+        df = spark.createDataFrame([(1, one * hits)], "doc_id long, text string")
+        t = time.perf_counter()
+        (row,) = redacted(df).collect()
+        assert row.text == merged(one) * hits
+        return time.perf_counter() - t
+
+    seconds(100)
+    half, whole = seconds(8_000), seconds(16_000)
+    assert whole < 2 * half + 5
+
+
+@pytest.mark.parametrize("size", [0, 1, 127, 128, 129, 1000])
+def test_running_sums_and_maxima(spark, size):
+    values = [(i * 37) % 101 for i in range(size)]
+    df = spark.createDataFrame([(values,)], "v array<long>")
+    df = secrets.with_running(df, "v", "sums", lambda a, b: a + b)
+    (row,) = secrets.with_running(df, "v", "most", lambda a, b: F.greatest(a, b) + a * 0).collect()
+    assert row.sums == list(itertools.accumulate(values)) and row.most == list(itertools.accumulate(values, max))
+
+
+def test_stretches_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    texts = ["", "a", "é𝒳b", "token=abcdef", "é𝒳x token=abcdef yé𝒳 token=abcdefg" * 3, "no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in redacted(df).collect()} == {i: merged(t) for i, t in enumerate(texts)}
