@@ -26,8 +26,9 @@ from tallyframe.operators.fines import (
     schedule_means,
 )
 from tallyframe.operators.heavy import heavy_top_k
+from tallyframe.operators.intervals import in_intervals
 from tallyframe.operators.joins import keep_keys, null_safe_join
-from tallyframe.operators.lift import share_lift, spread
+from tallyframe.operators.lift import exceptional_shares, share_lift, spread
 from tallyframe.operators.recode import mode_from_counts, mode_of, recode_counts, recode_sentinel
 from tallyframe.operators.topk import (
     counted_top_k_per_group,
@@ -49,8 +50,10 @@ __all__ = [
     "crosstab_counts",
     "distinct_count",
     "drop_sentinel",
+    "exceptional_shares",
     "fine_totals",
     "heavy_top_k",
+    "in_intervals",
     "in_year",
     "keep_keys",
     "mode_of",

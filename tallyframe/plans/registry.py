@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from tallyframe.operators.distinct_store import stored_distinct, value_bitmaps, value_numbers
 from tallyframe.operators.fines import rate_schedule
 from tallyframe.operators.heavy import heavy_top_k
+from tallyframe.operators.intervals import in_intervals
+from tallyframe.operators.lift import exceptional_shares
 from tallyframe.plans import questions as q
 from tallyframe.sources import testdata as td
 from tallyframe.sources.intake import take_in, text_records
@@ -127,6 +129,25 @@ def _staged_year(spark: SparkSession, sf: str) -> DataFrame:
     return q.season_counts(q.seasons(staged.one(td.ORDERS_YEAR)))
 
 
+def _exceptional_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every (precinct, code) with its z and whether the code is exceptionally frequent there."""
+    pairs = _tk(spark, sf).groupBy("Issuer_Precinct", "Violation_Code").agg(F.count(F.lit(1)).alias("n"))
+    stored = StageFolder(spark, shared_root(spark)).write(pairs, "pairs")
+    found = exceptional_shares(stored, "Issuer_Precinct", "Violation_Code", "n")
+    return found.select("Issuer_Precinct", "Violation_Code", "n", F.round("z", 6).alias("z"), "exceptional")
+
+
+def _order_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Tickets within the interval that each order stands for (many, overlapping), by its priority."""
+    start = "timestampadd(MINUTE, CAST(o_orderkey * 37 % 44640 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00')"
+    end = f"timestampadd(MINUTE, CAST(1 + o_custkey % 20 AS INT), {start})"
+    orders = td.table(spark, sf, "orders")
+    intervals = orders.select(F.expr(start).alias("start"), F.expr(end).alias("end"), F.col("o_orderpriority").alias("priority"))
+    events = td.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    found = in_intervals(events, "ts", intervals, "start", "end", "priority")
+    return found.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"))
+
+
 QUERIES: dict[str, Query] = {
     "q01_rows_in_file": lambda s, d: q.rows(td.order_tickets(s, d)),
     "q02_rows_in_year": lambda s, d: q.rows_in_year(td.order_tickets(s, d), td.ORDERS_YEAR),
@@ -196,10 +217,13 @@ QUERIES: dict[str, Query] = {
     "a4_stored_distinct": _stored_distinct,
     "a6_delivered_again": _delivered_again,
     "s8_staged_year": _staged_year,
+    "e4_exceptional_codes": _exceptional_codes,
+    "f9_order_intervals": _order_intervals,
     "q23_season_parts": lambda s, d: q.season_top_codes(q.seasons(td.lineitem_tickets(s, d)), 3),
 }
 
 # Queries over tables that they derive from the fixtures and store first.
-STORED = ("s1_mixed_headers", "s1_rejected_values", "t4_heavy_parts", "a4_stored_distinct", "a6_delivered_again", "s8_staged_year")
+STORED = ("s1_mixed_headers", "s1_rejected_values", "t4_heavy_parts", "a4_stored_distinct", "a6_delivered_again", "s8_staged_year",
+          "e4_exceptional_codes", "f9_order_intervals")
 
 FLAGSHIP = "q23_season_top_codes"
