@@ -26,18 +26,18 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import named, staged, table, text_udf
+from tallyframe.llm.common import named, staged, table, text_keys, text_udf
 
 WINDOW = 10
 FOLLOWERS = 8  # likely characters after a given one in prose (3 bits a character)
-BLOCK_BYTES = 16 << 20  # of windows and item ids searched at once, the broadcast's bound
+BLOCK_BYTES = 4 << 20  # of windows and item ids searched at once; their tables take some 16 times as much in a worker
 # Word characters are digits, letters (lower-cased) and everything beyond ASCII.
 _FOLD = bytearray(b" " * 128 + bytes(range(128, 256)))
 _FOLD[ord("0") : ord("9") + 1] = b"0123456789"
@@ -156,18 +156,33 @@ def benchmark_hits(
     size = windows.agg(F.sum(F.length("window") + F.size("items") * 16)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     rows = named(documents, **{**(keep or {}), "_text": text_col})
+    # A text is named by its hashes, so no text is staged: a block's hits are rows of these, once a text.
+    keys = [c.alias(f"_{c_}") for c, c_ in zip(text_keys(F.col("_text")), ("k1", "k2"))]
+    first, others = None, []
     for block in range(blocks):
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast(Searcher({bytes(r["window"]): r["items"] for r in part.collect()}))
-        rows = rows.withColumn(f"_{block}", searched(sent)("_text"))
-        if blocks > 1:
-            rows = staged(rows, f"benchmark-hits-{block}")
-            sent.destroy()
-    each = [F.col(f"_{block}") for block in range(blocks)]
-    merged = lambda field: F.array_sort(F.array_distinct(F.concat(*[c[field] for c in each])))
-    return rows.select(
-        *(keep or {}), each[0]["n_words"].alias("n_words"),
-        merged("hit_words").alias("hit_words"), merged("items").alias("items"),
+        if not block:
+            first = rows.select(*(keep or {}), *keys, searched(sent)("_text").alias("_hits"))
+            if blocks > 1:
+                first = staged(first, "benchmark-hits-0")
+                sent.destroy()
+            continue
+        found = rows.select(*keys, searched(sent)("_text").alias("_hits")).filter(F.size("_hits.items") > 0)
+        others.append(staged(found.dropDuplicates(["_k1", "_k2"]), f"benchmark-hits-{block}"))
+        sent.destroy()
+    fields = ("hit_words", "items")
+    if not others:
+        return first.select(*(keep or {}), F.col("_hits.n_words").alias("n_words"),
+                            *[F.array_sort(F.array_distinct(f"_hits.{f}")).alias(f) for f in fields])
+    more = reduce(DataFrame.unionAll, others).groupBy("_k1", "_k2").agg(  # a row a block at most
+        *[F.flatten(F.collect_list(f"_hits.{f}")).alias(f"_{f}") for f in fields]
+    )
+    joined = first.join(more, ["_k1", "_k2"], "left")
+    return joined.select(
+        *(keep or {}), F.col("_hits.n_words").alias("n_words"),
+        *[F.array_sort(F.array_distinct(F.when(F.col(f"_{f}").isNull(), F.col(f"_hits.{f}"))
+                                        .otherwise(F.concat(f"_hits.{f}", f"_{f}")))).alias(f) for f in fields],
     )
 
 

@@ -41,7 +41,6 @@ from pyspark.sql import types as T
 from tallyframe.llm.common import named, staged, table, text_keys, text_udf
 
 MAX_TRAINING_ROWS = 30_000
-MAX_FEATURES = 50_000
 LEAST_TOXIC = 3  # documents of a half in which a feature must occur
 THRESHOLD = 0.7
 COUNTED_WORDS = 400_000  # a task hands on its character counts after so many different words
@@ -72,7 +71,7 @@ DRAWN_OUT = re.compile(r"(.)\1\1", re.S)
 LONG_RUN = re.compile(r"(.)\1{3,}", re.S)
 MEMO = 700_000  # tokens that a worker remembers; it starts anew when full
 JOINTS = re.compile(f"[^\\w{re.escape(''.join({*LOOKALIKES, *MASKS}))}]|_")
-LONGEST = 32  # longer words do not count for the model; longer tokens are not remembered
+LONGEST = 32  # longer tokens are not remembered
 
 
 @cache
@@ -89,7 +88,7 @@ def counted(words: Counter) -> np.ndarray:
     plain: Counter = Counter()
     for word, n in words.items():
         plain[word.strip(TRIM + "!")] += n
-    kept = [word for word in plain if word.isalpha() and len(word) <= LONGEST]
+    kept = [word for word in plain if word.isalpha()]
     if not kept:
         return np.zeros(SIZE**3, "i8")
     text = np.frombuffer("  ".join(["", *kept, ""]).encode("utf-32-le"), "<u4")
@@ -194,13 +193,12 @@ def words_within(run: str, model: np.ndarray) -> set[str]:
     Borders may stand between any two signs.  A word counts if the best way to
     cut the run up to its end so that it comes last is at most ``MARGIN`` worse
     than the best way at all; the model knows trigrams only, so its first choice
-    alone would miss words.  Beginnings that are further behind are given up, and
-    so are those of more than ``LONGEST`` signs, which are no words.
+    alone would miss words.  Beginnings that are further behind are given up.
     """
     out: set[str] = set()
     begun = [{(EDGE, EDGE): (0.0, None)}]  # paths by the sign that their word begins with
     for options in lattice(run):
-        begun = [extended(paths, options, model) for paths in begun[-LONGEST:]]
+        begun = [extended(paths, options, model) for paths in begun]
         best = max(score for paths in begun for score, _ in paths.values())
         begun = [paths for paths in begun if max(paths.values(), key=itemgetter(0))[0] >= best - MARGIN]
         ends = [ended(paths, model) for paths in begun]
@@ -212,7 +210,7 @@ def words_within(run: str, model: np.ndarray) -> set[str]:
 
 def shortened(token: str) -> str:
     """Runs of one sign cut to three, beyond which they add nothing; masks stand for a letter each."""
-    return LONG_RUN.sub(lambda run: run[1] * (min(len(run[0]), LONGEST) if run[1] in MASKS else 3), token)
+    return LONG_RUN.sub(lambda run: run[1] * (len(run[0]) if run[1] in MASKS else 3), token)
 
 
 class Restorer:
@@ -364,7 +362,8 @@ def remainder(doc_id: Column) -> Column:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Sample of (half, toxic, text): labelled, not held out, equal texts once."""
+    """Sample of (half, toxic, text): labelled, not held out, equal texts once (toxic if any of
+    them is labelled so)."""
     usable = labels.filter((remainder(F.col("doc_id")) != 1) & F.col("toxic").isin(0, 1))
     rows = usable.count()
     kept = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(rows, 1)))
@@ -372,7 +371,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int) -> DataFra
         documents.filter((remainder(F.col("doc_id")) != 1) & kept)
         .join(usable, "doc_id")
         .select("toxic", "text", *text_keys(F.col("text")))
-        .dropDuplicates(["k1", "k2"])
+        .groupBy("k1", "k2")
+        .agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
         .select(F.pmod("k2", F.lit(2)).alias("half"), "toxic", "text")
     )
 
@@ -411,9 +411,8 @@ def toxicity(
         .groupBy("feature")
         .agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
         .filter(F.greatest("t0", "t1", F.col("t0") + F.col("t1") - LEAST_TOXIC) >= LEAST_TOXIC)
-        .orderBy((F.col("t0") + F.col("t1")).desc(), (F.col("c0") + F.col("c1")), "feature")
-        .limit(MAX_FEATURES)
-        .collect()
+        .orderBy("feature")
+        .collect()  # of the bounded sample, each in some toxic texts
     )
     weights = [
         {r["feature"]: log_odds(r["t0"], r["c0"], size[1], size[0]) for r in counts if r["t0"] >= LEAST_TOXIC},

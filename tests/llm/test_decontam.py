@@ -5,6 +5,7 @@ import random
 import pytest
 
 import tallyframe.llm.decontam as decontam
+from tallyframe.llm.common import staged
 from tallyframe.llm.decontam import WuManber, benchmark_hits, folded, windows_of
 
 
@@ -47,9 +48,12 @@ def test_hits_match_brute_force(spark, monkeypatch, block):
     texts += [None, "", "ZZ, yy! twice GIVEN id", f"x {items[4][1].upper()} x", "zz yyy", *[items[5][1]] * 2]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    written = []
+    monkeypatch.setattr(decontam, "staged", lambda df, name: written.append(df.columns) or staged(df, name))
     got = {r.doc_id: (r.n_words, r.hit_words, r["items"]) for r in
            benchmark_hits(docs, bench, keep={"doc_id": "doc_id"}).collect()}
     assert got == {i: brute_force(text, items) for i, text in enumerate(texts)}
+    assert (len(written) > 5) == (block == 60) and not any("text" in c for columns in written for c in columns)
 
 
 def test_odd_rows_and_empty_tables(spark, odd, empty):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -22,7 +23,7 @@ def model(spark):
 def test_trigram_counts():
     words = Counter({"ab": 2, "ab,": 1, "é日x": 3, "a1": 5, "": 1, "z" * (LONGEST + 1): 1, "aaa!": 1})
     want = Counter()
-    for word, n in {"ab": 3, "é日x": 3, "aaa": 1}.items():
+    for word, n in {"ab": 3, "é日x": 3, "aaa": 1, "z" * (LONGEST + 1): 1}.items():
         ids = [EDGE, EDGE, *(INDEX.get(c, OTHER) for c in word), EDGE]
         for a, b, c in zip(ids, ids[1:], ids[2:]):
             want[(a * SIZE + b) * SIZE + c] += n
@@ -99,3 +100,62 @@ def test_odd_rows_and_labels(spark, odd, empty):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert {r.score for r in toxicity(odd, labels.limit(0)).collect()} == {0.0}
     assert toxicity(empty, labels).count() == 0
+
+
+def readings(token, model):
+    """Every reading of a token with its score, by enumeration of the lattice."""
+    out = {}
+    for choice in itertools.product(*tox.lattice(token)):
+        ids = [letter for letter, _ in choice if letter >= 0]
+        states = [EDGE, EDGE, *ids, EDGE]
+        score = -sum(cost for _, cost in choice) + sum(float(model[a, b, c]) for a, b, c in zip(states, states[1:], states[2:]))
+        word = "".join(tox.LETTERS[i] if i < OTHER else "�" for i in ids)
+        out[word] = max(out.get(word, -1e9), score)
+    return out
+
+
+@pytest.mark.parametrize("token", ["1d1", "a*b", "l00l", "4$$", "ooo", "i.d.1", "b|b", "é1é", "t4$h"])
+def test_viterbi_equals_enumeration(model, token):
+    found = readings(token, model)
+    best = max(found.values())
+    assert found[tox.decoded(token, model)] == pytest.approx(best, abs=1e-4)
+
+
+@pytest.mark.parametrize("run", ["aidiot", "theand", "1d10t", "abab", "is4tit"])
+def test_cuts_into_words_equal_enumeration(model, monkeypatch, run):
+    """With a margin that gives up nothing on the way, the words are those of every cut within it."""
+    best = {0: 0.0}  # of the cuts up to each place
+    ending = {}
+    for end in range(1, len(run) + 1):
+        scores = {}
+        for start in range(end):
+            for word, score in readings_between(run, start, end, model).items():
+                scores[word] = max(scores.get(word, -1e9), best[start] + score)
+        best[end], ending[end] = max(scores.values()), scores
+    for margin in (6.0, 30.0):
+        monkeypatch.setattr(tox, "MARGIN", margin)
+        want = {word for end, scores in ending.items() for word, score in scores.items() if word and score >= best[end] - margin - 1e-4}
+        # The search keeps the best reading of each beginning, so it finds the best one behind it.
+        got = tox.words_within(run, model)
+        assert got <= want and {max(s, key=s.get) for s in ending.values() if max(s, key=s.get)} <= got | {""}
+
+
+def readings_between(run, start, end, model):
+    whole, out = tox.lattice(run)[start:end], {}
+    for choice in itertools.product(*whole):
+        ids = [letter for letter, _ in choice if letter >= 0]
+        states = [EDGE, EDGE, *ids, EDGE]
+        score = -sum(cost for _, cost in choice) + sum(float(model[a, b, c]) for a, b, c in zip(states, states[1:], states[2:]))
+        word = "".join(tox.LETTERS[i] if i < OTHER else "�" for i in ids)
+        out[word] = max(out.get(word, -1e9), score)
+    return out
+
+
+def test_equal_texts_with_different_labels_count_as_toxic(spark):
+    rows = [(i, "same words here", i % 2) for i in range(40)] + [(100 + i, f"other {i}", 0) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    for parts in (1, 7):
+        got = tox.training_rows(docs.repartition(parts), labels, 1000).collect()
+        assert [r.toxic for r in got if r.text == "same words here"] == [1]
+        assert len({r.text for r in got}) == len(got)
