@@ -15,15 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.functions.buckets import bucket_members
 from tallyframe.operators.distinct_store import stored_distinct, value_bitmaps, value_numbers
 from tallyframe.operators.fines import rate_schedule
 from tallyframe.operators.heavy import heavy_top_k
 from tallyframe.operators.intervals import in_intervals
 from tallyframe.operators.lift import exceptional_shares
 from tallyframe.plans import questions as q
+from tallyframe.plans.statements import statement
 from tallyframe.sources import testdata as td
 from tallyframe.sources.intake import take_in, text_records
 from tallyframe.sources.partials import PartTable, StoredCounts
+from tallyframe.sources.ranked import RankedCounts
 from tallyframe.sources.records import normalize_columns, register_stage
 from tallyframe.sources.stage import StageFolder, shared_root
 
@@ -121,6 +124,24 @@ def _delivered_again(spark: SparkSession, sf: str) -> DataFrame:
     return stored.totals("Registration_State", "Num_Of_Entries")
 
 
+def _ranked_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The season ranking of parts from counts stored by year, read down to the depth that proves it."""
+    items = q.with_calendar(td.lineitem_tickets(spark, sf))
+    items = items.withColumn("Seasonality", bucket_members("Issue_Month", q.SEASONS))
+    stored = RankedCounts(spark, f"{shared_root(spark)}/ranked-{uuid.uuid4().hex}", "Issue_Year", "Seasonality", "Violation_Code")
+    stored.deliver_all(items)
+    return stored.top_k(3, StageFolder(spark, shared_root(spark)), "ticket_count")
+
+
+def _ranked_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent words of each source, from counts stored by language."""
+    words = F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
+    docs = td.table(spark, sf, "documents").select("source", "lang", words.alias("word"))
+    stored = RankedCounts(spark, f"{shared_root(spark)}/ranked-{uuid.uuid4().hex}", "lang", "source", "word", "string")
+    stored.deliver_all(docs)
+    return stored.top_k(3, StageFolder(spark, shared_root(spark)))
+
+
 def _staged_year(spark: SparkSession, sf: str) -> DataFrame:
     """The year's season counts from a table staged by year, of which one folder is read."""
     orders = td.order_tickets(spark, sf).withColumn("Issue_Year", F.year("Issue_Date"))
@@ -209,6 +230,16 @@ QUERIES: dict[str, Query] = {
         "Summons_Number", "Registration_State"
     ),
     "s3_season_codes_sql": _seasons_in_sql,
+    "s3_precinct_mix_sql": lambda s, d: statement(
+        s, "precinct_mix", {"tickets": td.event_tickets(s, d, None)}, precinct=19, year=td.EVENTS_YEAR, k=5
+    ),
+    "s3_repaired_states_sql": lambda s, d: statement(
+        s, "repaired_states", {"tickets": td.order_tickets(s, d)}, sentinel=td.STATE_SENTINEL
+    ),
+    "s3_bins_of_codes_sql": lambda s, d: statement(s, "bins_of_codes", {"tickets": _bins(s, d)}, k=3),
+    "s3_code_revenue_sql": lambda s, d: statement(
+        s, "code_revenue", {"tickets": _tk(s, d), "rates": rate_schedule(s)}, k=3
+    ),
     "f4_literal_precinct_mix": lambda s, d: q.precinct_code_mix(_tk(s, d), 19, 5),
     "f5_numeric_sentinel_rows": lambda s, d: q.sentinel_rows(td.coded_tickets(s, d), 42),
     "s1_mixed_headers": _mixed_headers,
@@ -216,6 +247,8 @@ QUERIES: dict[str, Query] = {
     "t4_heavy_parts": lambda s, d: heavy_top_k(td.lineitem_tickets(s, d), "Violation_Code", 5),
     "a4_stored_distinct": _stored_distinct,
     "a6_delivered_again": _delivered_again,
+    "w1_ranked_parts": _ranked_parts,
+    "w1_ranked_words": _ranked_words,
     "s8_staged_year": _staged_year,
     "e4_exceptional_codes": _exceptional_codes,
     "f9_order_intervals": _order_intervals,
@@ -223,7 +256,7 @@ QUERIES: dict[str, Query] = {
 }
 
 # Queries over tables that they derive from the fixtures and store first.
-STORED = ("s1_mixed_headers", "s1_rejected_values", "t4_heavy_parts", "a4_stored_distinct", "a6_delivered_again", "s8_staged_year",
-          "e4_exceptional_codes", "f9_order_intervals")
+STORED = ("s1_mixed_headers", "s1_rejected_values", "t4_heavy_parts", "a4_stored_distinct", "a6_delivered_again", "w1_ranked_parts",
+          "w1_ranked_words", "s8_staged_year", "e4_exceptional_codes", "f9_order_intervals")
 
 FLAGSHIP = "q23_season_top_codes"

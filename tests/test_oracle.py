@@ -15,7 +15,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import LIBRARY, SF01
 
-TABLES = ("customer", "part", "orders", "events", "lineitem")
+TABLES = ("customer", "part", "orders", "events", "lineitem", "documents")
 
 
 @pytest.fixture(scope="module")
