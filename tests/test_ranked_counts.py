@@ -46,23 +46,61 @@ def test_equal_to_the_window_over_all_rows(spark, tmp_path, ties):
         assert got == want and {g for g, *_ in got} == {None, "a", "b", "d"}
 
 
+def rows_scanned(df, monkeypatch):
+    """Rows that each filter on the stored lists lets through, as ``top_k`` asks for them."""
+    asked, whole = [], RankedCounts.read
+    plain = type(df).filter
+
+    def read(self):
+        lists = whole(self)
+
+        def watched(condition):
+            rows = plain(lists, condition)
+            asked.append(rows)
+            return rows
+
+        lists.filter = watched
+        return lists
+
+    monkeypatch.setattr(RankedCounts, "read", read)
+    return asked
+
+
 def test_a_proven_cut_reads_a_small_share(spark, tmp_path, monkeypatch):
     df = skewed(spark).filter("g IN ('a', 'b')").cache()
     counts = stored(spark, tmp_path, df)
-    rows, read = [], RankedCounts.read
-
-    def counted(self, depth=None):
-        rows.append(read(self, depth).count())
-        return read(self, depth)
-
     whole = counts.read().count()
-    monkeypatch.setattr(RankedCounts, "read", counted)
-    got, want = both(spark, tmp_path, counts, df, 3, "dense")
-    assert got == want and 0 < sum(rows) < whole / 10
-    plan = read(counts, 2)._jdf.queryExecution().executedPlan().toString()
+    asked = rows_scanned(df, monkeypatch)
+    with StageFolder(spark, str(tmp_path / "stage")) as stage:
+        got = [tuple(r) for r in counts.top_k(3, stage).collect()]
+    assert got == [tuple(r) for r in counted_top_k_per_group(df, "g", "i", 3).collect()]
+    assert 0 < sum(rows.count() for rows in asked) < whole / 10
+    plan = asked[0]._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(depth" in plan and "PushedFilters: []" in plan
 
 
+def test_candidates_are_looked_up_only_where_they_were_not_met(spark, tmp_path, monkeypatch):
+    """Part 1 is large and names the first items; part 2 is small and hardly knows them."""
+    rows = [(1, "a", i) for i in range(400) for _ in range(900 // (i + 1))]
+    rows += [(2, "a", 1000 + i) for i in range(20) for _ in range(1 + i % 9)] + [(2, "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    counts = stored(spark, tmp_path, df)
+    asked = rows_scanned(df, monkeypatch)
+    with StageFolder(spark, str(tmp_path / "stage")) as stage:
+        got = [tuple(r) for r in counts.top_k(2, stage).collect()]
+    assert got == [("a", 0, 901), ("a", 1, 450)]
+    assert [{r.part for r in rows.select("part").distinct().collect()} for rows in asked] == [{1, 2}, {2}]
+
+
+def test_bounds_that_ties_break_are_counted_in_full(spark, tmp_path):
+    """Two items look different above and are equal in total, so a third rank must be found."""
+    rows = [(1, "a", i) for i, n in ((1, 40), (2, 37), (3, 9), (4, 1)) for _ in range(n)]
+    rows += [(2, "a", i) for i, n in ((5, 16), (2, 4), (1, 1), (3, 1)) for _ in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got, want = both(spark, tmp_path, stored(spark, tmp_path, df), df, 2, "dense")
+    assert got == want == [("a", 1, 41), ("a", 2, 41), ("a", 5, 16)]
+
+
 def test_an_item_low_in_every_part_wins(spark, tmp_path):
     """Item 9 is second everywhere and first in total; each part has another first one."""
     rows = [(p, "a", i) for p in range(5) for i, n in ((p, 40), (9, 11), (100 + p, 9)) for _ in range(n)]
