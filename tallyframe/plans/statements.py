@@ -23,11 +23,12 @@ STATEMENTS = {
         GROUP BY violation_code, issuer_precinct
         ORDER BY Frequency_of_Tickets DESC, Violation_Code NULLS FIRST
         LIMIT :k""",
-    # States with the sentinel counted as the most frequent other state (of equal ones the first).
+    # States with the sentinel counted as the most frequent other state (of equal ones the first).  The filter stands in
+    # the aggregate: as a WHERE it would reach one branch's scan, and the counts would be made twice.
     "repaired_states": """
         WITH counted AS (
           SELECT registration_state AS state, count(registration_state) AS n FROM IDENTIFIER(:tickets) GROUP BY ALL),
-        mode AS (SELECT min_by(state, struct(-n, state)) AS state FROM counted WHERE state <> :sentinel)
+        mode AS (SELECT min_by(state, struct(-n, state)) FILTER (WHERE state <> :sentinel) AS state FROM counted)
         SELECT if(c.state = :sentinel, m.state, c.state) AS Registration_State, sum(c.n) AS Num_Of_Entries
         FROM counted c CROSS JOIN mode m
         GROUP BY ALL""",
