@@ -16,30 +16,20 @@ stage before kept:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import staged, table, text_keys
+from tallyframe.llm.common import drop_staged, scratch, staged, table
 from tallyframe.llm.decontam import benchmark_hits
 from tallyframe.llm.packing import pack_documents
+from tallyframe.llm.positions import POSITION, outside, positioned
 from tallyframe.llm.quality import cleaned
 from tallyframe.llm.secrets import redacted
 from tallyframe.llm.simhash import near_duplicates
 
 
-BROADCAST_KEYS = 1_000_000  # 16 bytes each
-
-
-def bounded(keys: DataFrame) -> DataFrame:
-    """A staged table of keys, to be broadcast if its count is within the bound."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
-def whole_rows(docs: DataFrame) -> DataFrame:
-    """Each row as one struct, so that no operator's column can clash with its own."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-
-
 def with_length(docs: DataFrame) -> DataFrame:
     """The column n_chars, if there is one, for texts that a stage has changed."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -50,31 +40,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Rows are named by a hash of id and text, so texts need no shuffle and no copy.
-    rows = whole_rows(docs).select("row", "row.doc_id", "row.text").select(
-        "*", F.xxhash64("doc_id", F.lit(1), "text").alias("k1"), F.xxhash64(F.lit(2), "doc_id", F.lit(3), "text").alias("k2")
-    )
-    found = staged(near_duplicates(rows, more={"k1": "k1", "k2": "k2"}), "pipeline-components")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.k1", "first.k2")
-    out = staged(found.join(first, ["root", "k1", "k2"], "left_anti").select("k1", "k2").distinct(), "pipeline-dropped")
-    twice = staged(
-        found.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").join(out, ["k1", "k2"], "left_anti")
-        .select("k1", "k2"),
-        "pipeline-twice",
-    )
-    kept = rows.join(bounded(out), ["k1", "k2"], "left_anti")
-    once = kept.join(bounded(twice), ["k1", "k2"], "left_anti")
-    again = kept.join(bounded(twice), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    return once.select("row.*").unionByName(again.select("row.*"))
+    rows = positioned(docs)
+    known = rows.select("row.doc_id", "row.text", *POSITION)
+    found = staged(near_duplicates(known, more={c: c for c in POSITION}), "pipeline-components")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *POSITION)
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", *[f"first.{c}" for c in POSITION])
+    return outside(rows, found.join(first, ["root", *POSITION], "left_anti")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Only texts go through Python; the rows find their verdict by the text's hash.
-    rows = whole_rows(docs).select("row", "row.text").select("*", *text_keys(F.col("text")))
-    found = benchmark_hits(rows, table(spark, sf_dir, "benchmark"), keep={"k1": "k1", "k2": "k2"})
-    hit = staged(found.filter(F.size("hit_words") > 0).select("k1", "k2").distinct(), "pipeline-contaminated")
-    return rows.join(bounded(hit), ["k1", "k2"], "left_anti").select("row.*")
+    # Only texts go through Python; rows find their verdict by position.
+    rows = positioned(docs)
+    found = benchmark_hits(rows.select("row.text", *POSITION), table(spark, sf_dir, "benchmark"), keep={c: c for c in POSITION})
+    return outside(rows, found.filter(F.size("hit_words") > 0)).select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -98,8 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each reads what the one before wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each reads what the one before wrote.
+
+    A stage's own tables go once its result is written, and that once the next one's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        scope = f"stage-{name}-{uuid.uuid4().hex}"
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), "rows", scope=scope)
+        if last:
+            drop_staged(spark, last)
+        last = scope
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,16 +43,31 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/corpus/{spark.sparkContext.applicationId}"
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete what this application has staged, once its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+SCOPE: ContextVar[str] = ContextVar("scope", default=".")  # the staging folder's part in use
+
+
+def drop_staged(spark: SparkSession, scope: str = ".") -> None:
+    """Delete what this application has staged (in one scope), once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{staging_folder(spark)}/{scope}")
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at the end, so what is read later must be staged in a scope of its own."""
+    scope = f"scratch-{uuid.uuid4().hex}"
+    token = SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        SCOPE.reset(token)
+        drop_staged(spark, scope)
+
+
+def staged(df: DataFrame, name: str, compression: str | None = None, scope: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to a new folder in the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{scope or SCOPE.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 

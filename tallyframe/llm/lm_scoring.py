@@ -20,8 +20,8 @@ bigrams, and a hot word costs one entry a block.  A bigram's part depends on bot
 bigrams after a hot word are spread over all parts.
 
 Which rows are the target's is a join with the labelled ids, broadcast while
-there are at most ``BROADCAST_IDS``, which is counted first, and shuffled
-beyond that.
+there are at most ``BROADCAST_IDS``, which is counted first; beyond that
+narrow rows are joined, and bitmaps of positions choose the target's rows.
 
 Defined results: null and empty texts have no tokens and score 0; ids labelled
 more than once count once; rows with a null id are never target rows; repeated
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -46,6 +47,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyframe.llm.common import TEXTS_AT_ONCE, give_back, named, staged, table
 from tallyframe.llm.decontam import folded
+from tallyframe.llm.positions import POSITION, inside, outside, positioned
 
 # In OP8_SQL a number for every word and a bucket for every bigram.
 VOCABULARY = (1 << 31) - 2
@@ -60,13 +62,18 @@ BLOCK_BITS = 20  # block number: task in the upper, its block in the lower bits
 DOCS, WORDS, BIGRAMS, TOTAL = range(4)  # kinds of rows
 
 
-def with_target(rows: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``rows`` with the column target, 1 or 0."""
+def with_target(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, target) of every row; target is 1 or 0."""
     ids = named(target_ids, doc_id="doc_id").dropna().distinct()
     if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    found = rows.join(ids.withColumn("target", F.lit(1)), "doc_id", "left")
-    return found.withColumn("target", F.coalesce("target", F.lit(0)))
+        rows = named(documents, doc_id=id_col, text=text_col)
+        found = rows.join(F.broadcast(ids.withColumn("target", F.lit(1))), "doc_id", "left")
+        return found.select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+    rows = positioned(documents)
+    marks = rows.select(*POSITION, F.col("row")[id_col].alias("doc_id")).join(ids, "doc_id", "left_semi")
+    id_, text = F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text")
+    sides = ((inside(rows, marks), 1), (outside(rows, marks), 0))
+    return reduce(DataFrame.unionAll, [side.select(id_, text, F.lit(target).alias("target")) for side, target in sides])
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -281,7 +288,7 @@ def scored(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(usual, min(size // PART_BYTES, 1 << 24))
-    flagged = with_target(rows, target_ids).select("doc_id", "text", "target")
+    flagged = with_target(documents, target_ids, id_col, text_col)
     blocks = flagged.mapInArrow(lambda it: blocks_of(it, arrow, parts), schema)
     answers = staged(blocks.groupBy("kind", "part").applyInArrow(answered, schema), "lm-answers")
     totals = answers.filter(F.col("kind") == TOTAL).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "target")]).first()

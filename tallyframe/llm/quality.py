@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.llm.common import named, staged, table, text_udf
+from tallyframe.llm.positions import POSITION, inside, outside, positioned
 
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -160,26 +161,26 @@ def judged(
 def cleaned(documents: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``documents`` without the rejected ones and without the lines above the limit.
 
-    A verdict depends on host and text, so it finds its rows by their hash; the
-    verdicts other than "keep as it is" are broadcast while they hold at most
-    ``BROADCAST_NUMBERS``, counted first, and shuffled beyond that.
+    A verdict finds its row by position.  The verdicts other than "keep as it is" are
+    broadcast while they hold at most ``BROADCAST_NUMBERS``, counted first; beyond that the
+    rows without one pass by bitmaps of positions, and only rows that lose lines are shuffled.
     """
     names = documents.columns
-    text, host = documents[f"`{text_col}`"], documents[f"`{host_col}`"]
-    rows = documents.select(
-        F.struct(*[documents[f"`{c}`"] for c in names]).alias("row"), text.alias("text"), host.alias("host"),
-        F.xxhash64(text, F.lit(1), host).alias("k1"), F.xxhash64(F.lit(2), text, F.lit(3), host).alias("k2"),
-    )
-    verdicts = judged(rows, {"k1": "k1", "k2": "k2"}, host_col="host")
+    rows = positioned(documents)
+    rows = rows.select(*POSITION, "row", F.col("row")[text_col].alias("text"), F.col("row")[host_col].alias("host"))
+    verdicts = judged(rows, {c: c for c in POSITION}, host_col="host")
     verdicts = staged(
-        verdicts.filter(~F.col("kept") | F.col("places").isNotNull()).select("k1", "k2", "kept", "places")
-        .dropDuplicates(["k1", "k2"]),
-        "quality-verdicts",
+        verdicts.filter(~F.col("kept") | F.col("places").isNotNull()).select(*POSITION, "kept", "places"), "quality-verdicts"
     )
     numbers = verdicts.agg(F.sum(F.lit(4) + F.coalesce(F.size("places"), F.lit(0)))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
-        verdicts = F.broadcast(verdicts)
-    out = rows.join(verdicts, ["k1", "k2"], "left").filter(F.coalesce("kept", F.lit(True)))
+        out = rows.join(F.broadcast(verdicts), POSITION, "left").filter(F.coalesce("kept", F.lit(True)))
+    else:
+        positions = rows.select(*POSITION, "row")
+        shorter = verdicts.filter("kept")
+        out = inside(positions, shorter).join(shorter, POSITION).select("row", "places").unionByName(
+            outside(positions, verdicts).select("row"), allowMissingColumns=True
+        ).withColumn("text", F.col("row")[text_col])
     lines = F.filter(F.split("text", "\n", -1), lambda _, place: ~F.array_contains("places", place))
     shorter = F.when(F.col("places").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col("text"))
     return out.select(*[shorter.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in names])

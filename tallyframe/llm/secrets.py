@@ -16,7 +16,7 @@ window over the matches of one document.
 Scale: the index carries 128-bit text hashes, not texts, and copies of a text
 share their postings.  Texts are scanned in place; candidates reach them by a
 broadcast while there are at most ``BROADCAST_CANDIDATES``, counted on the
-staged table, and by a shuffle join beyond that.
+staged table; beyond that they are chosen by position, and only they are shuffled.
 
 Defined results: null counts as empty and holds nothing; repeated rows and
 null ids are kept; an empty table gives an empty result; other columns are
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import named, staged, table, text_keys
+from tallyframe.llm.positions import POSITION, inside, outside, positioned
 
 BROADCAST_CANDIDATES = 500_000
 MOST_STRINGS = 64  # exact strings that one part of an expression may stand for
@@ -172,12 +173,17 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def with_kinds(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``rows`` (with a column text) and the indexed kinds to verify, in place of its hashes."""
+    """``rows`` (with a column text) and the indexed kinds to verify."""
     found = candidates(rows.select("text"), rules)
     if found.count() <= BROADCAST_CANDIDATES:
-        found = F.broadcast(found)
-    keyed = rows.select("*", *text_keys(F.col("text")))
-    return keyed.join(found, ["k1", "k2"], "left").drop("k1", "k2")
+        keyed = rows.select("*", *text_keys(F.col("text")))
+        return keyed.join(F.broadcast(found), ["k1", "k2"], "left").drop("k1", "k2")
+    # Only candidates are shuffled, chosen by their positions.
+    placed = positioned(rows)
+    keys = text_keys(F.col("row.text"))
+    marks = placed.select(*POSITION, *keys).join(found, ["k1", "k2"], "left_semi")
+    few = inside(placed, marks).select("row", *keys).join(found, ["k1", "k2"]).select("row.*", "kinds")
+    return few.unionByName(outside(placed, marks).select("row.*"), allowMissingColumns=True)
 
 
 def verified(rule: Rule, text: Column) -> Column:
