@@ -165,8 +165,8 @@ def _order_intervals(spark: SparkSession, sf: str) -> DataFrame:
     orders = td.table(spark, sf, "orders")
     intervals = orders.select(F.expr(start).alias("start"), F.expr(end).alias("end"), F.col("o_orderpriority").alias("priority"))
     events = td.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    found = in_intervals(events, "ts", intervals, "start", "end", "priority")
-    return found.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_events"))
+    found = in_intervals(events, "ts", intervals, "start", "end", "priority", times="times")
+    return found.groupBy("priority").agg(F.sum("times").alias("n"), F.count_distinct("event_id").alias("n_events"))
 
 
 QUERIES: dict[str, Query] = {

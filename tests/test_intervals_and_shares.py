@@ -110,3 +110,53 @@ def test_a_small_group_is_not_exceptional_by_lift_alone(spark):
     rows = [(g, i, 500) for g in range(20) for i in range(10)] + [(99, 0, 1)]
     df = spark.createDataFrame(rows, "g int, i int, n long")
     assert not any(r.exceptional for r in exceptional_shares(df, "g", "i", "n").collect())
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 0])
+def test_numbers_of_alike_rows_add_up(spark, monkeypatch, bound):
+    monkeypatch.setattr(module, "BROADCAST_CELLS", bound)
+    rng = random.Random(10)
+    values = [rng.randint(-400, 400) for _ in range(100)] + [0, 0, None]
+    bounds = [(low := rng.randint(-300, 300), low + rng.choice([-1, 0, 1, 16, 17, 300]), rng.choice("ab")) for _ in range(400)] + [(None, 5, "a")]
+    table = spark.createDataFrame(bounds, "low long, high long, label string")
+    found = in_intervals(spark.createDataFrame([(v,) for v in values], "v long"), "v", table, "low", "high", "label", times="n").collect()
+    got = Counter()
+    for r in found:
+        got[r.v, r.label] += r.n
+    assert got == held(values, bounds)
+    assert len(found) <= 3 * 2 * len(values)  # sizes, labels
+
+
+@pytest.mark.parametrize("step", [datetime.timedelta(microseconds=1), datetime.timedelta(milliseconds=250), datetime.timedelta(minutes=1), datetime.timedelta(days=1)])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_borders_in_whole_spans_and_values_in_between(spark, step, kind):
+    rng = random.Random(11)
+    zero = datetime.datetime(1970, 1, 1)  # values on both sides of it
+    bounds = [(zero + (low := rng.randint(-40, 40)) * step, zero + (low + rng.randint(0, 30)) * step, i) for i in range(60)]
+    micro = datetime.timedelta(microseconds=1)
+    values = [at + d for low, high, _ in bounds for at in (low, high) for d in (-micro, 0 * micro, micro)]
+    df, table = spark.createDataFrame([(v,) for v in values], "v timestamp_ntz"), spark.createDataFrame(bounds, "low timestamp_ntz, high timestamp_ntz, label int")
+    df, table = df.select(F.col("v").cast(kind)), table.select(*[F.col(c).cast(kind) for c in ("low", "high")], "label")
+    found = in_intervals(df, "v", table, "low", "high", "label").select(F.col("v").cast("timestamp_ntz"), "label")
+    assert Counter((r.v, r.label) for r in found.collect()) == held(values, bounds)
+
+
+def test_joined_rows_do_not_grow_with_the_orders(spark, monkeypatch, tmp_path):
+    from tallyframe.plans import registry
+
+    joined = []
+
+    def spied(*args, **options):
+        joined.append(in_intervals(*args, **options))
+        return joined[-1]
+
+    monkeypatch.setattr(registry, "in_intervals", spied)
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    copies = spark.range(8).withColumnRenamed("id", "copy")
+    more = orders.crossJoin(copies).withColumn("o_orderkey", F.col("o_orderkey") + F.col("copy") * 1_000_000).drop("copy")
+    more.write.parquet(f"{tmp_path}/orders.parquet")
+    events = spark.read.parquet(f"{SF01}/events.parquet")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["f9_order_intervals"](spark, str(tmp_path)).collect()
+    sizes, priorities = 2, len(found)
+    assert joined[0].count() <= events.count() * sizes * priorities < sum(r.n for r in found)
