@@ -12,7 +12,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -134,7 +134,12 @@ def give_back() -> None:
 
 
 def text_udf(function: Callable[[str | None], object], returns: T.DataType) -> Callable[..., Column]:
-    """A function of one text as a column function, by Arrow batches.
+    """A function of one text as a column function, by Arrow batches."""
+    return texts_udf(lambda texts: map(function, texts), returns)
+
+
+def texts_udf(function: Callable[[list[str | None]], Iterable[object]], returns: T.DataType) -> Callable[..., Column]:
+    """A function of many texts, one result each, as a column function, by Arrow batches.
 
     A batch stays in Arrow's memory; only ``TEXTS_AT_ONCE`` of its texts are
     Python strings at a time.  A struct is returned as a tuple.
@@ -146,7 +151,7 @@ def text_udf(function: Callable[[str | None], object], returns: T.DataType) -> C
         for batch in batches:
             done = []
             for at in range(0, len(batch), TEXTS_AT_ONCE):
-                part = map(function, batch.slice(at, TEXTS_AT_ONCE).to_pylist())
+                part = function(batch.slice(at, TEXTS_AT_ONCE).to_pylist())
                 done.append(pa.array(list(part), arrow_type))
             yield pa.concat_arrays(done) if done else pa.array([], arrow_type)
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +46,37 @@ def test_memo_starts_anew_when_full(tokenizer, monkeypatch):
         assert b"".join(encoder.pieces(text, 4096, 1)) == np.array(ids_of(tokenizer, text), "<u4").tobytes()
 
 
+def test_words_met_again_stay_in_the_memo(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 60)
+    encoder, handed = WordEncoder(PATH), Counter()
+    letters, runs = encoder.letters, getattr(encoder, "runs", None)
+    encoder.letters = lambda run: (handed.update([run]), letters(run))[1]
+    encoder.runs = lambda many: (handed.update(many), runs(many))[1]
+    often = [f"often{c}" for c in "abcdefghijklmnopqrst"]
+    once = ("once" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(10**6))
+    for _ in range(200):
+        encoder.pieces(" ".join([*often, *islice(once, 10)]), 4096, 1)
+    assert max(handed[word] for word in often) <= 2
+
+
+def test_texts_at_once_give_the_tokenizers_ids(tokenizer):
+    rng = random.Random(5)
+    latin = [chr(i) for i in range(256)]
+    abc = [latin, latin + list("'stremvld''., " * 4), [chr(i) for i in range(32, 127)], [*latin, "İ", "Σ", "\u0301", "<|endoftext|>", "ﬁ", "日"]]
+    texts = [*(f"a{c}b {c * 3}." for c in latin), *("".join(rng.choices(rng.choice(abc), k=rng.randint(0, 60))) for _ in range(1500)), None, ""]
+    encoder = WordEncoder(PATH)
+    for at in range(0, len(texts), 100):
+        for text, got in zip(texts[at : at + 100], encoder.all_pieces(texts[at : at + 100], 4096, 1), strict=True):
+            assert b"".join(got) == np.array(ids_of(tokenizer, text), "<u4").tobytes()
+
+
+def test_a_vocabulary_that_does_not_mark_last_tokens(tokenizer):
+    encoder = WordEncoder(PATH)
+    encoder.last = np.zeros_like(encoder.last)
+    text = "Alpha, été bravo\nand 3 more. ünïcode"
+    assert encoder.pieces(text, 4096, 1) == [np.array(ids_of(tokenizer, text), "<u4").tobytes()]
+
+
 def test_sweep_takes_the_smallest_gap_that_is_left():
     matches, left, gaps, new = sweep([(7, 0, 2), (5, 0, 1), (4, 3, 3)], [(9, 10, 1), (7, 20, 1), (6, 30, 1), (3, 40, 1)])
     assert matches == [(7, 0, 1, 1, 20, 7), (7, 1, 1, 1, 10, 9), (5, 0, 1, 1, 30, 6)]
